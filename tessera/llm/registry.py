@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import token_counts
+from . import fingerprints, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op6_packing": packing.op6_packing,
 }
 
 SQL: dict[str, str] = {}
