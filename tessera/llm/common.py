@@ -107,8 +107,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of some texts: byte spans, 64-bit hashes, and where each text's words begin."""
 
-    def __init__(self, column: pa.Array, lower: bool = False) -> None:
-        data, offsets = utf8(column)
+    def __init__(self, column: pa.Array | None, lower: bool = False, raw: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        data, offsets = raw if raw is not None else utf8(column)
         self.data, n = data, len(data)
         inside = ~WHITE[data]
         begins, ends = inside.copy(), inside.copy()

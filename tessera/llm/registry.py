@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, license_scan, packing, quality_rules, token_counts
+from . import fingerprints, license_scan, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_packing": packing.op6_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op3_license_scan": license_scan.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
