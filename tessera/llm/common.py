@@ -7,6 +7,7 @@ prefix array and finalised; a window's hash is the same over the hashes of its w
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -151,3 +152,18 @@ def texts(column: pa.Array) -> list[str]:
 def crc32_split(doc_id: str, folds: int, held: int) -> str:
     """SQL: the row belongs to the held-out fold (crc32 of the id as text, modulo folds)."""
     return f"coalesce(pmod(crc32(cast({doc_id} as string)), {folds}) = {held}, false)"
+
+
+def drop_scratch(df: DataFrame) -> None:
+    """Delete the files of a table made by ``materialize`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+        if "/tessera-" in path.toString():
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to let go of finished plans, so that their shuffle files are removed from the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()

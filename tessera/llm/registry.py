@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, license_scan, packing, quality_rules, substring_dedup, token_counts
+from . import fingerprints, license_scan, ngram_join, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -14,11 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": license_scan.op3_license_scan,
     "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op6_packing": packing.op6_packing,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 SQL: dict[str, str] = {
     "op3_license_scan": license_scan.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
+    "op7_ngram_join": ngram_join.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
