@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, license_scan, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import fingerprints, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing.op6_packing,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
