@@ -25,7 +25,13 @@ _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python a thousand at a time, which bounds what a worker holds beside its own arrays."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -75,7 +81,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0..n-1 of the base and of its inverse, modulo 2**64; kept by the worker."""
     have = len(_POWERS[0])
     if have < n:
-        size = max(n, 2 * have, 1 << 16)
+        size = max(n, have * 3 // 2, 1 << 16)
         for k, base in enumerate((_BASE, _BASE_INV)):
             steps = np.full(size, base, dtype=U64)
             steps[0] = 1
@@ -125,15 +131,19 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of first word, text, hash) of each run of ``size`` words inside one text."""
+    def places(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of first word, text) of each run of ``size`` words inside one text."""
         per = np.maximum(self.counts - size + 1, 0)
         text = np.repeat(np.arange(len(per)), per)
-        at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.first[:-1], per)
+        return np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.first[:-1], per), text
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same with each run's hash."""
+        at, text = self.places(size)
         return at, text, spans(self.hashes, at, at + size)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 400_000) -> Iterator[pa.RecordBatch]:
     """The batches cut between rows to about ``limit`` bytes of text; a longer text comes alone."""
     for batch in batches:
         offsets, begin = utf8(batch.column(text))[1], 0

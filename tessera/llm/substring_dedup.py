@@ -3,7 +3,7 @@
 A window is ``size`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one document; a word goes if a window over it also starts in a
 document with a smaller doc_id. Windows are judged on the input.
 
-1. Sharding by content. Each window is dealt by its minimizer, the least hash of its word triples. A run of windows with the
+1. Sharding by content. Each window is dealt by its minimizer, the least hash of its word pairs. A run of windows with the
    same minimizer (a stretch) travels as one piece of text with the documents that hold it; equal windows always meet in one
    shard. The number of shards grows with the text, so that a shard has about ``shard_bytes`` of it; within a batch, equal
    stretches travel once, with a list of their documents, so that copies cost some bytes each and no task gets all of them.
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import U64, Words, documents, mix, parallelism, slices, spans, texts
 from .fm_index import FMIndex
 
-SIZE, TRIPLE = 13, 3
+SIZE, GRAM = 13, 2
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,17 +53,13 @@ class Outbox:
         self.shards, self.parts, self.bytes = shards, [], 0
 
     def add(self, words: Words, doc: np.ndarray, tag: np.ndarray, size: int) -> None:
-        at, text, _ = words.windows(size)
         self.bytes += len(words.data)
+        at, text = words.places(size)
         if not len(at):
             return
-        triples = words.windows(1)[2] if size < TRIPLE else None
-
-
-        if triples is None:
-            places = np.arange(len(words.hashes) - TRIPLE + 1)
-            triples = spans(words.hashes, places, places + TRIPLE)
-        least = _least(triples, size - min(size, TRIPLE) + 1)[at]
+        gram = min(size, GRAM)
+        places = np.arange(len(words.hashes) - gram + 1)
+        least = _least(spans(words.hashes, places, places + gram), size - gram + 1)[at]
         begins = np.ones(len(at), dtype=bool)
         begins[1:] = (least[1:] != least[:-1]) | (text[1:] != text[:-1])
         first = np.flatnonzero(begins)
@@ -88,7 +84,7 @@ class Outbox:
         heads = np.flatnonzero(new)
         copies = np.diff(np.append(heads, len(shard)))
         cuts = np.flatnonzero(np.diff(shard[heads])) + 1
-        packer = zstandard.ZstdCompressor(level=3)
+        packer = zstandard.ZstdCompressor(level=6)
         raw = data.tobytes()
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(heads))):
             own = slice(heads[a], heads[b - 1] + copies[b - 1])
@@ -170,7 +166,7 @@ def shard_intervals(blobs: list[bytes], size: int) -> dict[str, np.ndarray]:
     return {"doc_id": doc[entry[a]], "tag": tag[entry[a]], "low": place[entry[a]] + offset[a], "high": place[entry[a]] + offset[b] + size}
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 3_000_000, batch_bytes: int = 24_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 1_200_000, batch_bytes: int = 12_000_000) -> DataFrame:
     """doc_id, tag (crc32 of the text) and the word intervals [low, high) to remove, of docs(doc_id, text)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -199,9 +195,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 3_000_0
     return dealt.groupBy("shard").applyInPandas(search, "doc_id long, tag long, low long, high long")
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, **options: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = SIZE, joined_by_space: bool = False, **options: int) -> DataFrame:
     """All columns of docs(doc_id, text, ...) with the text's remaining words, joined by one space, and _n_words and
-    _n_removed. Other columns must not be named like those two or like _tag and _spans."""
+    _n_removed. A text that loses nothing stays as it is, unless ``joined_by_space``. Other columns must not be named like those two or like _tag and _spans."""
     found = repeated_spans(docs, size, **options)
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_t")).agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
     columns = docs.columns
@@ -223,7 +219,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, **options: int) -> DataFra
                     free = np.cumsum(steps[:-1]) == 0
                     words = [w for w, f in zip(words, free.tolist()) if f]
                 gone.append(counts[-1] - len(words))
-                kept.append(b" ".join(words).decode())
+                kept.append(b" ".join(words).decode() if gone[-1] or joined_by_space else text)
             arrays = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*columns, "_n_words", "_n_removed"])
 
@@ -231,7 +227,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, **options: int) -> DataFra
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), joined_by_space=True)
     return kept.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
