@@ -24,7 +24,7 @@ same("url_roundtrip", f"with links as ({_LINKS}), p as ({_PARSED}) select url, c
 same("url_flags", f"with links as ({_LINKS}), p as ({_PARSED}) select url, protocol <> 'file' as is_remote, protocol = 'file' and plugin is null as has_stdio_name, rx(url, '^[a-z]*://') as is_url from p")
 same(
     "route_urls",
-    f"with links as ({_LINKS} union all select 'file:///a/b.galapix' union all select 'builtin://mandelbrot' union all select 'buildin://mandelbrot' union all select 'file:///z/ImageProperties.xml') select url, case when url like '%.galapix' then 'workspace' when url like 'builtin://%' or url like 'buildin://%' then 'builtin' when url like '%ImageProperties.xml' then 'zoomify' else 'database' end as route from links",
+    f"with links as ({_LINKS} union all select 'file:///a/b.workspace' union all select 'builtin://mandelbrot' union all select 'buildin://mandelbrot' union all select 'file:///z/ImageProperties.xml') select url, case when url like '%.workspace' then 'workspace' when url like 'builtin://%' or url like 'buildin://%' then 'builtin' when url like '%ImageProperties.xml' then 'zoomify' else 'database' end as route from links",
 )
 
 
