@@ -353,6 +353,77 @@ def test_toxicity_tolerates_gaps():
     assert (model.score(pa.array(texts)) >= 0.5).tolist() == [False, True, True, True, True]
 
 
+def brute_kept(docs, size=13):
+    """Texts without repeated passages; a text that loses nothing stays as it is."""
+    counts = brute_dedup(docs, size)
+    first, out = {}, {}
+    tokens = {i: re.findall("[^\x20\x09-\x0d]+", t or "") for i, t in docs}
+    for i in sorted(tokens):
+        for p in range(len(tokens[i]) - size + 1):
+            first.setdefault(tuple(tokens[i][p : p + size]), i)
+    for i, text in docs:
+        gone = {q for p in range(len(tokens[i]) - size + 1) if first[tuple(tokens[i][p : p + size])] < i for q in range(p, p + size)}
+        assert counts[i][1] == len(gone)
+        out[i] = " ".join(w for p, w in enumerate(tokens[i]) if p not in gone) if gone else text or ""
+    return out
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir):
+    """Each stage on what the one before kept, against brute force; the mix by its rules, packing by the tokenizer."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near duplicates", "substring dedup", "mixing", "packing"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+
+    def step(name, frame):
+        out = corpus_pipeline.materialize(stages[name](spark, frame, sf_dir))
+        if name != "packing":
+            assert out.columns == columns
+        return out
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    clean = {i for i, t in texts.items() if model.score(pa.array([t], pa.string()))[0] < 0.5}
+    kept = step("toxicity", docs)
+    assert {r.doc_id for r in kept.collect()} == clean and len(clean) > 0.8 * len(texts)
+
+    unique = step("near duplicates", kept)
+    rows_in = [(r.doc_id, r.text) for r in kept.collect()]
+    found = {r.doc_id: r.text for r in unique.collect()}
+    assert set(found) == {i for i, (_, c) in brute_components(rows_in).items() if c == i}
+
+    cut = step("substring dedup", unique)
+    want = brute_kept(list(found.items()))
+    got = {r.doc_id: (r.text or "", r.n_chars) for r in cut.collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+    mixed = step("mixing", cut)
+    size = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t or ""))
+    before = {r.doc_id: r for r in cut.collect()}
+    copies = Counter(r.doc_id for r in mixed.collect())
+    assert max(copies.values()) <= 3 and all(tuple(before[r.doc_id]) == tuple(r) for r in mixed.collect())
+    names = sorted({r.source for r in before.values()})
+    sums = [sum(size(r.text) for r in before.values() if r.source == n) for n in names]
+    goal = mixing.targets(sums, [mixing.WEIGHTS[k % 3] for k in range(len(names))], sum(sums))
+    for name, target in zip(names, goal):
+        own = [r for r in before.values() if r.source == name]
+        taken = sum(copies[r.doc_id] * size(r.text) for r in own)
+        assert abs(taken - target) <= max(size(r.text) for r in own) / 2 + 1
+
+    exact = Tokenizer.from_file(token_counts.tokenizer_path(packing.VOCABULARY))
+    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in step("packing", mixed).collect())
+    want = Counter()
+    for r in mixed.collect():
+        ids, start = np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for n in packing.binary_lengths(len(ids)):
+            want[(r.doc_id, start, n, zlib.crc32(ids[start : start + n].tobytes()))] += 1
+            start += n
+    assert pieces == want
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
