@@ -178,7 +178,7 @@ def bag(text: str) -> list[bytes]:
     """A text's different words."""
     symbols, edge, _ = words_of(pa.array([text]))
     raw = symbols.tobytes()
-    return sorted({raw[a + 1 : b] for a, b in zip(edge.tolist(), [*edge.tolist()[1:], len(raw)])} - {b""})
+    return sorted(set(raw.split(b"\0")) - {b""})  # 0 is in front of each word
 
 
 def train(words: list[bytes], y: np.ndarray, weight: np.ndarray, landmarks: list[bytes]) -> Model:
@@ -210,35 +210,36 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
         free[:-1] &= full[:-1] > 0
 
 
-def fit_texts(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int = 4, negatives: int = 3000) -> Model:
+def fit_texts(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: int = 5, negatives: int = 4000) -> Model:
     bags, clear = [bag(t) for t in toxic], [bag(t) for t in clean]
     if not any(bags) or not any(clear):
         return Model(spread(np.zeros(1 << 18, dtype=np.float32)), -1.0)
 
     def heads(w: bytes) -> set[bytes]:
-        return {w[:k] for k in range(4, len(w) + 1)}
+        return {w[:k] for k in range(4, min(len(w), 8) + 1)}
 
     # words that begin like words of so many more toxic than clean texts that chance would give less than one such beginning
     among = Counter(h for b in bags for h in set().union(*map(heads, b)))
     against = Counter(h for b in clear for h in set().union(*map(heads, b)) if h in among)
     share = len(bags) / (len(bags) + len(clear))
+    least = math.log(max(len(among), 2))
 
     def telling(n: int, m: int) -> bool:
         rate = n / (n + m)
         if n * len(clear) < 8 * m * len(bags) or rate <= share:
             return False
         bits = rate * math.log(rate / share) + ((1 - rate) * math.log((1 - rate) / (1 - share)) if m else 0)
-        return (n + m) * bits > math.log(max(len(among), 2))
+        return (n + m) * bits > least
 
     strong = {h for h, n in among.items() if n > 1 and telling(n, against[h])}
     seeds = Counter(w for b in bags for w in b if not strong.isdisjoint(heads(w)))
+    del among, against, strong
     positive = dict((seeds or Counter(w for b in bags for w in b)).most_common(1000))
     common = Counter(w for b in clear for w in b)
     every = sorted(common)
     hard = ({w for w, _ in common.most_common(negatives // 2)} | set(every[:: max(1, 2 * len(every) // negatives)])) - set(positive)
     listed = sorted(set(every).union(*bags))
     place = {w: k for k, w in enumerate(listed)}
-    symbols, edge = lay_out(listed)
     model = None
     for turn in range(rounds):
         good = [w for w, _ in sorted(positive.items(), key=lambda x: (-x[1], x[0]))]
@@ -247,31 +248,32 @@ def fit_texts(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: i
         words = [*good, *sorted(hard)]
         y = np.array([1.0] * len(good) + [-1.0] * len(hard))
         told = np.sqrt([positive[w] for w in good])  # words that more texts name count more
-        weight = np.concatenate([told / told.sum(), np.full(len(hard), 1 / len(hard))])
+        weight = np.concatenate([told / told.sum(), np.full(len(hard), 4 / len(hard))])
         model = train(words, y, weight, list(dict.fromkeys(marks)))
         if turn == rounds - 1:
             break
-        value = normed_sums(symbols, edge, model.tables) + model.bias
+        value = np.concatenate([normed_sums(*lay_out(listed[i : i + 50_000]), model.tables) for i in range(0, len(listed), 50_000)]) + model.bias
         # every toxic text names its highest word; clean texts name theirs where it is near or over the margin
         named: Counter = Counter()
         for b in bags:
             if b:
                 top = max(b, key=lambda w: value[place[w]])
-                if value[place[top]] > -0.5:
+                if value[place[top]] > 0.3:
                     named[top] += 1
-        named = Counter({w: n for w, n in named.items() if n * len(clear) > 3 * common[w] * len(bags)})
+        named = Counter({w: n for w, n in named.items() if telling(n, common[w])})
         positive = {w: n for w, n in positive.items() if value[place[w]] > -0.2}
         positive |= {w: max(n, positive.get(w, 0)) for w, n in named.items()}
-        hard |= {w for w in sorted(common, key=lambda w: -value[place[w]])[: negatives // 4] if value[place[w]] > -1.0}
+        hard |= {w for w in sorted(common, key=lambda w: -value[place[w]])[: negatives // 2] if value[place[w]] > -1.0}
         hard -= set(positive)
         if not positive:
             positive = dict(seeds.most_common(1000)) or {bags[0][0]: 1}
-    seen = np.vstack([model.features(pa.array(t, pa.string())) for t in (toxic, clean)])
+    every_text = [*toxic, *clean]
+    seen = np.vstack([model.features(pa.array(every_text[i : i + 32], pa.string())) for i in range(0, len(every_text), 32)])
     model.slope, model.intercept = logistic(seen, np.array([1.0] * len(toxic) + [0.0] * len(clean)))
     return model
 
 
-def fit(docs: DataFrame, labelled: DataFrame, most_toxic: int = 1500, most_clean: int = 3000) -> Model:
+def fit(docs: DataFrame, labelled: DataFrame, most_toxic: int = 1000, most_clean: int = 2000) -> Model:
     known = labelled.where("doc_id is not null and toxic in (0, 1)").where("not " + crc32_split("doc_id", FOLDS, HELD)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     order = F.xxhash64("doc_id")
     rows = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
