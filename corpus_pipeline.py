@@ -17,23 +17,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_join, packing, substring_dedup, toxicity
-from tessera.llm.common import documents, labels, materialize
+from tessera.llm.common import documents, labels, materialize, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.fit(docs, labels(spark, sf_dir))
     return toxicity.scores(docs, model).where("_predicted = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = ngram_join.link_components(docs.select("doc_id", "text"))
     stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(stay, docs["doc_id"] == stay["_id"], "left").where("doc_id is null or _id is not null").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     cut = substring_dedup.remove_repeats(docs)
     # a text that loses nothing stays as it is
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -44,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 
