@@ -18,6 +18,9 @@ for a link, and every candidate pair is verified on the sets.
 5. Candidates without all pairs of a block. Only classes of linked documents are asked for, so a block is first compared with one
    pivot, in a linear number of pairs; documents found connected need no further comparison. Some rounds with other pivots
    follow on blocks that still hold several classes, and at last all pairs between different classes of a block.
+   A pair of n and m tokens needs an overlap of 3/7 (n + m), so both must have as many tokens that other sets have. Two sets
+   that meet by a combination have all of their rare tokens in the prefix, and if they share one they meet by it; so for them
+   the frequent tokens alone must be as many. Copies with many changes of their own drop out before they meet.
 6. Pairs meet their sets by joins; links go to connected components. No group is collected anywhere.
 
 Null and empty texts have empty sets and are linked with nothing. Repeated rows with one doc_id give one row each; a null
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, documents, drop_scratch, free_shuffles, materialize, mix, parallelism, slices, spans
 from .components import connected_components
 
-SHINGLE, RARE, FILTER_BITS, ROUNDS = 5, 8, 1 << 25, 3
+SHINGLE, RARE, FILTER_BITS, ROUNDS = 5, 24, 1 << 25, 3
 
 
 def alpha(n: np.ndarray) -> np.ndarray:
@@ -95,7 +98,7 @@ class Dealer:
     """(key, document, value) triples of one task, sent as packed blobs by shard; documents are given as a table and places
     in it, with the differences of their ids, which pack well."""
 
-    def __init__(self, shards: int, most: int = 3_000_000) -> None:
+    def __init__(self, shards: int, most: int = 1_000_000) -> None:
         self.shards, self.most, self.parts, self.held = shards, most, [], 0
 
     def add(self, shard: np.ndarray, token: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -203,21 +206,27 @@ def _classes(n: int) -> list[tuple[int, int]]:
     return [(b, int(extra(np.int64(1 << b)))) for b in range(low, top + 1)]
 
 
-def index_keys(n: int, token: np.ndarray, df: np.ndarray, rare: int = RARE) -> np.ndarray:
-    """The keys under which a set is indexed. token: those that other sets have, by number of sets and then hash."""
+def index_keys(n: int, token: np.ndarray, df: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set's rare tokens and those of its frequent ones. token: those that other sets have, by number of sets
+    and then hash. Frequent tokens have no keys if they are too few for the least overlap with the smallest partner."""
     alone = n - len(token)
-    spare = n - int(alpha(np.int64(n))) - alone
+    least = int(alpha(np.int64(n)))
+    spare = n - least - alone
+    none = np.zeros(0, dtype=U64)
     if spare + int(extra(np.int64(n))) <= 0:
-        return np.zeros(0, dtype=U64)
-    keys = []
+        return none, none
+    singles, pairs = [none], [none]
+    enough = 7 * int((df > rare).sum()) >= 3 * (n + least)
     for b, k in _classes(n):
         head = token[: max(0, spare + k)]
         some = df[: len(head)] > rare
-        keys.append(head[~some])
+        singles.append(head[~some])
         often = head[some]
+        if not enough:
+            continue
         salt = mix(np.array([b + 1], dtype=U64))[0]
         if k < 2:
-            keys.append(mix(often ^ salt))
+            pairs.append(mix(often ^ salt))
             continue
         group = (mix(often + salt) % U64(k - 1)).astype(np.int64)
         order = np.lexsort((often, group))
@@ -226,12 +235,13 @@ def index_keys(n: int, token: np.ndarray, df: np.ndarray, rare: int = RARE) -> n
         times = ends - np.arange(len(often)) - 1
         first = np.repeat(np.arange(len(often)), times)
         second = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + first + 1
-        keys.append(mix(mix(often[first] ^ salt) + often[second]))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, dtype=U64)
+        pairs.append(mix(mix(often[first] ^ salt) + often[second]))
+    return np.unique(np.concatenate(singles)), np.unique(np.concatenate(pairs))
 
 
 def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
-    """(key, node, n) of all index keys, from sets(node, n, tokens)."""
+    """(key, node, n, s) of all index keys, from sets(node, n, tokens); s bounds the tokens that two sets
+    with this key have in common: for a rare token those that other sets have, for a combination the frequent ones."""
     spark = sets.sparkSession
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +264,7 @@ def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
 
     def keys(key: tuple, shared: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(shared):
-            return pd.DataFrame({"key": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
+            return pd.DataFrame({"key": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "s": np.zeros(0, np.int64)})
         opened = [_unpack(b) for b in shared["blob"]]
         doc = np.concatenate([np.cumsum(o[0]) for o in opened])
         token, df = (np.concatenate([o[k] for o in opened]) for k in (1, 2))
@@ -262,13 +272,15 @@ def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
         doc, token, df = doc[order], token[order], df[order]
         cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         size = dict(zip(own["node"].tolist(), own["n"].tolist()))
-        found, nodes = [], []
+        found, nodes, common = [], [], []
         for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
             node = int(doc[a])
-            found.append(index_keys(size[node], token[a:b], df[a:b], rare))
-            nodes.append(node)
+            both = index_keys(size[node], token[a:b], df[a:b], rare)
+            found += both
+            nodes += [node, node]
+            common += [b - a, int((df[a:b] > rare).sum())]
         times = [len(f) for f in found]
-        return pd.DataFrame({"key": np.concatenate(found).view(np.int64), "node": np.repeat(nodes, times), "n": np.repeat([size[x] for x in nodes], times)})
+        return pd.DataFrame({"key": np.concatenate(found).view(np.int64), "node": np.repeat(nodes, times), "n": np.repeat([size[x] for x in nodes], times), "s": np.repeat(common, times)})
 
     parts = parallelism(spark)
     counted = sets.mapInArrow(deal, "shard long, blob binary").repartition(parts, "shard").groupBy("shard").applyInPandas(count, "home long, blob binary")
@@ -280,11 +292,12 @@ def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), batch.column("node"), batch.column("n")], ["home", "node", "n"])
 
     sizes = sets.select("node", "n").mapInArrow(homes, "home long, node long, n long")
-    return counted.groupBy("home").cogroup(sizes.groupBy("home")).applyInPandas(keys, "key long, node long, n long")
+    return counted.groupBy("home").cogroup(sizes.groupBy("home")).applyInPandas(keys, "key long, node long, n long, s long")
 
 
-def _fits(a: str, b: str) -> str:
-    return f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})"
+def _fits(n: str, s: str, m: str, t: str) -> str:
+    """Sizes n and m, of which s and t tokens are in other sets too, allow a link: an overlap of 3/7 of n + m."""
+    return f"4 * least({n}, {m}) >= 3 * greatest({n}, {m}) and 7 * least({s}, {t}) >= 3 * ({n} + {m})"
 
 
 def verify(pairs: DataFrame, sets: DataFrame, share: int = 75) -> DataFrame:
@@ -338,15 +351,16 @@ def candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return marked.mapInArrow(sets, "node long, n long, tokens binary, short binary")
 
 
-def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = RARE, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text)."""
+def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = RARE, rounds: int = ROUNDS, few: int = 20) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs(doc_id, text). Where open blocks have no more than ``few``
+    partners a row, all of their pairs are compared at once instead of by pivots."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = materialize(node_table(docs))
     real = nodes.where("doc_id is not null and n > 0")
     copies = real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    shards = total // shard_bytes + 2 * parallelism(spark)
+    shards = total // shard_bytes + parallelism(spark)
 
     shared = candidate_documents(docs.where("doc_id is not null and text is not null"), shards)
     likely = real.join(shared, "doc_id").where("shared >= greatest(1, ((3 * n + 3) div 4) div 20)").join(copies.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -360,27 +374,38 @@ def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = R
     blocks = materialize(blocks)
     free_shuffles(spark)
 
-    several = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("p")).where("c > 1")
-    pairs = blocks.join(several, "key").where(f"node <> p.node and {_fits('n', 'p.n')}").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+    several = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n", "s")).alias("p")).where("c > 1")
+    pairs = blocks.join(several, "key").where(f"node <> p.node and {_fits('n', 's', 'p.n', 'p.s')}").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(pairs)
     links = materialize(verify(tried, sets))
-    classes = materialize(connected_components(links))
+    classes = connected_components(links)
+    held = blocks.select("key", "node", "n", "s")
     for turn in range(rounds):
-        labelled = blocks.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).select("key", "node", "n", "class")
-        open_keys = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min_by(F.struct("node", "n", "class"), F.xxhash64("node", F.lit(turn))).alias("p")).where("lo <> hi").drop("lo", "hi")
-        if turn < rounds - 1:
-            new = labelled.join(open_keys, "key").where(f"class <> p.class and {_fits('n', 'p.n')}").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        # only blocks that still hold several classes go on; when none do, all links are told
+        labelled = held.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).select("key", "node", "n", "s", "class")
+        open_keys = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c"), F.min_by(F.struct("node", "n", "s", "class"), F.xxhash64("node", F.lit(turn))).alias("p")).where("lo <> hi").drop("lo", "hi")
+        labelled = materialize(labelled.join(open_keys, "key"))
+        size = labelled.agg(F.count("*").alias("rows"), F.sum(F.col("c") - 1).alias("pairs")).first()
+        if not size["rows"]:
+            break
+        held = labelled.select("key", "node", "n", "s")
+        if turn < rounds - 1 and size["pairs"] > few * size["rows"]:
+            new = labelled.where(f"class <> p.class and {_fits('n', 's', 'p.n', 'p.s')}").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+            last = False
         else:
-            left = labelled.join(open_keys.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("class").alias("to"))
-            new = left.join(right, "key").where(f"node < other and class <> to and {_fits('n', 'm')}").select(F.col("node").alias("a"), F.col("other").alias("b"))
+            right = labelled.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("class").alias("to"))
+            new = labelled.join(right, "key").where(f"node < other and class <> to and {_fits('n', 's', 'm', 't')}").select(F.col("node").alias("a"), F.col("other").alias("b"))
+            last = True
         new = materialize(new.distinct().join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            continue
-        links = materialize(links.union(verify(new, sets)))
-        tried = materialize(tried.union(new))
-        classes = materialize(connected_components(links))
+        if not new.isEmpty():
+            found = materialize(verify(new, sets))
+            tried = tried.union(new)
+            if not found.isEmpty():
+                links = links.union(found)
+                classes = connected_components(links)
         free_shuffles(spark)
+        if last:
+            break
     of_set = copies.join(classes, copies["rep"] == classes["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = nodes.join(of_set, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("case when doc_id is not null then coalesce(component_id, doc_id) end").alias("component_id"))
