@@ -5,12 +5,18 @@ P answers the equality of any two spans: (P_(i+m) - P_i) * B^-i does not depend
 
 * The longest common extension of two texts from two places is found by binary search over span equality
   (``longest_common_extension``).
-* A fingerprint of bounded size: the hash of the whole text, and the prefix values at up to ``anchors`` places, those whose
-  following window of ``window`` code points has the smallest hashes. Places so chosen move with the content. Two
-  fingerprints are compared after places that only one has are dropped: prefix values still give the hash of the span
-  between any two places that remain. Also, the prefix values at up to 32 multiples of a power of two, of which the longest
-  common beginning is found by binary search. Likeness is the share of code points in spans that both have, or in that
-  common beginning if it is longer (as where a text repeats itself and has few places of its own).
+* A fingerprint: the hash of the whole text, and the prefix values at places chosen by content, those whose following window
+  of ``window`` code points has a hash in the lowest ``1 / spacing`` of all hashes, or at the ``anchors`` lowest if these are
+  more. So there is about one place to ``spacing`` code points at every length (of a repeated window, the first place), and
+  an edit costs the same few code points in a long text as in a short one. Two fingerprints are compared after places that
+  only one has are dropped: prefix values still give the hash of the span between any two places that remain. Also, the
+  prefix values at up to 32 multiples of a power of two, of which the longest common beginning is found by binary search.
+  ``likeness`` is the share of code points in spans that both have, or in that common beginning if it is longer (as where a
+  text repeats itself and has few places of its own).
+
+``near_edited`` and ``near_next`` have the prefix arrays of both texts at hand: each common place, the beginning and the end are
+extended both ways as far as the texts agree, and the code points in such stretches are counted once in each text
+(``extended_likeness``).
 
 The form is ``length:whole hash:place,window hash,prefix value;...:prefix value;...`` with hexadecimal numbers. Texts of
 fewer than eight windows' length use windows of a quarter of the length. Equal texts have equal
@@ -96,6 +102,17 @@ def longest_common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> in
     return low
 
 
+def extensions(a: PrefixHash, i: np.ndarray, b: PrefixHash, j: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """``longest_common_extension`` from many pairs of places at once; where ``back`` holds, towards the beginning."""
+    low, high = np.zeros(len(i), dtype=np.int64), np.where(back, np.minimum(i, j), np.minimum(a.n - i, b.n - j))
+    while (low < high).any():
+        mid = np.minimum((low + high + 1) // 2, 2 * low + 32)  # most extensions are short
+        before, behind = np.where(back, mid, 0), np.where(back, 0, mid)
+        same = a.hashes(i - before, i + behind) == b.hashes(j - before, j + behind)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    return low
+
+
 def _scramble(h: np.ndarray) -> np.ndarray:
     h = h * U64(0x9E3779B97F4A7C15)
     h ^= h >> U64(29)
@@ -132,8 +149,11 @@ class Fingerprint:
         return Fingerprint(int(n, 16), int(whole, 16), at, window, value, np.array([int(v, 16) for v in grid.split(";") if v], dtype=U64))
 
 
-def fingerprint(text: str, anchors: int = 64, window: int = 12) -> Fingerprint:
-    hashed = PrefixHash(text)
+def fingerprint(text: str, anchors: int = 64, window: int = 12, spacing: int = 32) -> Fingerprint:
+    return marked(PrefixHash(text), anchors, window, spacing)
+
+
+def marked(hashed: PrefixHash, anchors: int = 64, window: int = 12, spacing: int = 32) -> Fingerprint:
     n = hashed.n
     whole = int(hashed.values(np.array([n]))[0])
     step = grid_step(n)
@@ -144,12 +164,17 @@ def fingerprint(text: str, anchors: int = 64, window: int = 12) -> Fingerprint:
         return Fingerprint(n, whole, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), grid)
     starts = np.arange(1, n - window + 1)
     order = _scramble(hashed.hashes(starts, starts + window))
-    if len(order) > 8 * anchors:
-        low = np.flatnonzero(order <= np.partition(order, 4 * anchors)[4 * anchors])
-        if len(np.unique(order[low])) > anchors:  # else windows repeat so often that all must be looked at
-            starts, order = starts[low], order[low]
-    chosen, first = np.unique(order, return_index=True)  # of a repeated window, the first place
-    at, chosen = starts[first[:anchors]], chosen[:anchors]
+    low = np.flatnonzero(order < U64((1 << 32) // spacing))
+    chosen, first = np.unique(order[low], return_index=True)  # of a repeated window, the first place
+    if len(chosen) >= anchors:
+        at = starts[low][first]
+    else:
+        if len(order) > 8 * anchors:
+            low = np.flatnonzero(order <= np.partition(order, 4 * anchors)[4 * anchors])
+            if len(np.unique(order[low])) > anchors:  # else windows repeat so often that all must be looked at
+                starts, order = starts[low], order[low]
+        chosen, first = np.unique(order, return_index=True)
+        at, chosen = starts[first[:anchors]], chosen[:anchors]
     by = np.argsort(at)
     return Fingerprint(n, whole, at[by], chosen[by], hashed.values(at[by]), grid)
 
@@ -193,6 +218,35 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
     return min(1.0, max(shared, common_beginning(a, b)) / max(a.n, b.n))
 
 
+def _covered(start: np.ndarray, end: np.ndarray) -> int:
+    """The number of places in at least one of the ranges."""
+    by = np.argsort(start)
+    start, end = start[by], np.maximum.accumulate(end[by])
+    return int(np.maximum(0, end - np.maximum(start, np.concatenate([[0], end[:-1]]))).sum())
+
+
+def extended_likeness(x: PrefixHash, a: Fingerprint, y: PrefixHash, b: Fingerprint) -> float:
+    """The share of code points (of the longer text) in stretches that both have, with the prefix arrays of both texts."""
+    if a.n == b.n and a.whole == b.whole:
+        return 1.0
+    if not a.n or not b.n:
+        return 0.0
+    _, p, q = np.intersect1d(a.window, b.window, assume_unique=True, return_indices=True)
+    i, j = np.concatenate([[0], a.at[p], [a.n]]), np.concatenate([[0], b.at[q], [b.n]])
+    by = np.lexsort((i, i - j))
+    i, j = i[by], j[by]
+    # Places of one diagonal with equal spans between them are one run; only a run's ends are extended.
+    linked = np.diff(i - j) == 0
+    linked[linked] = x.hashes(i[:-1][linked], i[1:][linked]) == y.hashes(j[:-1][linked], j[1:][linked])
+    first, last = np.concatenate([[True], ~linked]), np.concatenate([~linked, [True]])
+    left, right = i[first], i[last]
+    back = np.arange(2 * len(left)) < len(left)
+    more = extensions(x, np.concatenate([left, right]), y, np.concatenate([j[first], j[last]]), back)
+    before, behind = more[: len(left)], more[len(left) :]
+    shared = min(_covered(left - before, right + behind), _covered(j[first] - before, j[last] + behind))
+    return shared / max(a.n, b.n)
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points replaced by the first as many (or all) of the following text."""
     quarter = len(text) // 4
@@ -228,7 +282,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, anchors: int = 64, window: int = 12) -> DataFrame:
+def fingerprints(docs: DataFrame, anchors: int = 64, window: int = 12, spacing: int = 32) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's.
 
     The next row is that of the next doc_id in ascending order, null ids first and equal ids by text; the last row's is the
@@ -236,20 +290,23 @@ def fingerprints(docs: DataFrame, anchors: int = 64, window: int = 12) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (bucket, doc_id, text, fingerprint) of the row whose next one is still to come
+        last = None  # (bucket, doc_id, text, prefix arrays, fingerprint) of the row whose next one is still to come
         for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text, bucket, peek in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), batch.column("bucket").to_pylist(), batch.column("peek").to_pylist()):
                 if peek and (last is None or last[0] != bucket):
                     continue  # a further row with the peeked id
-                mark = fingerprint(text, anchors, window)
+                hashed = PrefixHash(text)
+                mark = marked(hashed, anchors, window, spacing)
                 if last is not None and last[0] == bucket:
-                    _, own_id, own, own_mark = last
+                    _, own_id, own, own_hashed, own_mark = last
                     changed = edited(own, text)
-                    changed_mark = fingerprint(changed, anchors, window)
+                    changed_hashed = PrefixHash(changed)
+                    changed_mark = marked(changed_hashed, anchors, window, spacing)
                     digest = hashlib.sha256(changed.encode("utf-8")).hexdigest()
-                    rows.append((own_id, len(own), digest, str(own_mark), str(changed_mark), likeness(own_mark, changed_mark), likeness(own_mark, mark)))
-                last = None if peek else (bucket, doc_id, text, mark)
+                    near = (extended_likeness(own_hashed, own_mark, *other) for other in ((changed_hashed, changed_mark), (hashed, mark)))
+                    rows.append((own_id, len(own), digest, str(own_mark), str(changed_mark), *near))
+                last = None if peek else (bucket, doc_id, text, hashed, mark)
             yield pa.RecordBatch.from_pylist([dict(zip(NAMES, r)) for r in rows], schema=ARROW)
 
     parts = parallelism(docs.sparkSession)

@@ -121,6 +121,34 @@ def test_longest_common_extension():
     assert str(fingerprints.Fingerprint.parse(str(mark))) == str(mark)
 
 
+def test_likeness_at_every_length():
+    random.seed(8)
+    for n, rate, least in ((2_000, 0.005, 0.9), (10_000, 0.005, 0.9), (120_000, 0.005, 0.9), (120_000, 0.001, 0.97)):
+        text = random.choices("abcdefghijklmnopqrstuvwxyz ", k=n)
+        near = list(text)
+        for k in random.sample(range(n), int(n * rate)):
+            near[k] = "#"
+        del near[n // 3]
+        both = [fingerprints.PrefixHash("".join(t)) for t in (text, near)]
+        a, b = (fingerprints.marked(x) for x in both)
+        assert least < fingerprints.extended_likeness(both[0], a, both[1], b) <= 1 - rate
+        assert 0.6 < fingerprints.likeness(a, b) <= 1 - rate
+        other = fingerprints.PrefixHash("".join(random.choices("abcdefghijklmnopqrstuvwxyz ", k=n)))
+        assert fingerprints.extended_likeness(both[0], a, other, fingerprints.marked(other)) < 0.01
+
+
+def test_extensions_count_shared_stretches():
+    def near(a, b):
+        x, y = fingerprints.PrefixHash(a), fingerprints.PrefixHash(b)
+        return fingerprints.extended_likeness(x, fingerprints.marked(x), y, fingerprints.marked(y))
+
+    random.seed(9)
+    s, t, u = ("".join(random.choices("abcdefghijklmnop", k=3_000)) for _ in range(3))
+    assert near(s + t, t + s) > 0.99 and abs(near(s + t, s + u) - 0.5) < 0.01
+    assert near("x " * 500, "x " * 400) == 0.8 and near("", s) == 0.0 and near("", "") == near(s, s) == 1.0
+    assert abs(near(s * 4, s) - 0.25) < 0.01 and near(s, s * 4) == near(s * 4, s)
+
+
 def test_license_places(spark, odd):
     lower = str.maketrans(license_scan.UPPER, license_scan.LOWER)
     found = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.op3_license_scan(spark, odd).collect())
