@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import THUMBNAIL
-from tessera.plans.dialect import Family, fixture
+from tessera.plans.dialect import Family, fixture, run
 
 FAMILY = Family()
 same, own = FAMILY.same, FAMILY.own
@@ -70,12 +70,17 @@ same("scale_nearest", "with d as (select dx, [[0 : 4]] as dy from (select [[0 :
 same("crop", "select img, x - 2 as x, y - 3 as y, r, g, b from img_colours where x >= 2 and x < 7 and y >= 3 and y < 8")
 same("blit", "select d.img, d.x, d.y, cast(coalesce(s.g * 128 ~/ 255, d.g) as int) as g from img_pixels d left join img_pixels s on s.img = d.img + 1 and s.x = d.x - 3 and s.y = d.y - 3")
 same("transform_rot90", "select img, 7 - y as x, x as y, g from img_pixels")
-same(
-    "transform_all",
-    """select p.img, m.name, case m.name when 'Rot0' then x when 'Rot90' then 7 - y when 'Rot180' then 7 - x when 'Rot270' then y when 'Rot0Flip' then x when 'Rot90Flip' then 7 - y when 'Rot180Flip' then 7 - x else y end as x,
+_TURNS = """select p.img, m.name, case m.name when 'Rot0' then x when 'Rot90' then 7 - y when 'Rot180' then 7 - x when 'Rot270' then y when 'Rot0Flip' then x when 'Rot90Flip' then 7 - y when 'Rot180Flip' then 7 - x else y end as x,
  case m.name when 'Rot0' then y when 'Rot90' then x when 'Rot180' then 7 - y when 'Rot270' then 7 - x when 'Rot0Flip' then 7 - y when 'Rot90Flip' then 7 - x when 'Rot180Flip' then y else x end as y, g
-from img_pixels p cross join (values ('Rot0'), ('Rot90'), ('Rot180'), ('Rot270'), ('Rot0Flip'), ('Rot90Flip'), ('Rot180Flip'), ('Rot270Flip')) as m(name) where p.img % 10 = 0""",
-)
+from img_pixels p cross join (values ('Rot0'), ('Rot90'), ('Rot180'), ('Rot270'), ('Rot0Flip'), ('Rot90Flip'), ('Rot180Flip'), ('Rot270Flip')) as m(name)"""
+
+
+@own("transform_all", f"{_TURNS} where p.img % 10 = 0")
+def transform_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight transformations of every surface; the SQL has those of every tenth."""
+    return run(spark, sf_dir, _TURNS)
+
+
 same("to_rgb", "select img, x, y, r, g, b from (select *, 255 - r as a from img_colours) q")
 same("average_color", "select img, cast(sum(r) ~/ count(*) as int) as r, cast(sum(g) ~/ count(*) as int) as g, cast(sum(b) ~/ count(*) as int) as b from img_colours group by img")
 same("merge_images", "select x, y, cast(floor(round(255d * greatest(0d, least(1d, power(s / n, 2.2d))), 6)) as int) as v from (select x, y, sum(power(g / 255d, 0.4545d)) as s, count(*) as n from img_pixels group by x, y) q")

@@ -4,6 +4,7 @@ import functools
 import os
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import glob_to_regex, halvings, natural_key, normalize_path
 from tessera.operators import catalog, raster, spatial
-from tessera.plans.dialect import render
+from tessera.plans.dialect import fixture, render
 from tessera.plans.registry import QUERIES, SQL
 
 
@@ -38,6 +39,17 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert types[0] == types[1]
 
 
+def test_transform_all_takes_every_surface(spark, sf_dir, duck):
+    pixels = fixture(spark, sf_dir, "img_pixels").collect()
+    turns = {"Rot0": lambda x, y: (x, y), "Rot90": lambda x, y: (7 - y, x), "Rot180": lambda x, y: (7 - x, 7 - y), "Rot270": lambda x, y: (y, 7 - x)}
+    want = Counter((p.img, name, *turn(p.x, p.y), p.g) for p in pixels for name, turn in turns.items())
+    want += Counter((p.img, f"{name}Flip", x, 7 - y, p.g) for p in pixels for name, turn in turns.items() for x, y in [turn(p.x, p.y)])
+    found = Counter((r.img, r.name, r.x, r.y, r.g) for r in QUERIES["transform_all"](spark, sf_dir).select("img", "name", "x", "y", "g").collect())
+    assert found == want
+    theirs = duck.execute(f"select img, name, x, y, g from ({SQL['transform_all']})").fetchall()
+    assert Counter(theirs) == Counter({k: c for k, c in found.items() if k[0] % 10 == 0})
+
+
 def test_entry(spark):
     import __spark_entry__
 
