@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans.dialect import Family, fixture
+from tessera.plans.dialect import Family, fixture, run
 
 FAMILY = Family()
 same, own = FAMILY.same, FAMILY.own
@@ -100,7 +100,15 @@ same("isolate_selection", f"{_SELECTED} select i.* from img_rects i where exists
 same("move_selection", f"{_SELECTED} select i.ord, i.l + case when s.ord is null then 0d else 40d end as l, i.t + case when s.ord is null then 0d else -25d end as t from img_rects i left join s on s.ord = i.ord")
 same("scale_selection", f"{_SELECTED}, c as (select avg((i.l + i.r) / 2d) as x, avg((i.t + i.b) / 2d) as y from img_rects i join s on s.ord = i.ord) select i.ord, round(c.x + ((i.l + i.r) / 2d - c.x) * 2d, 5) as x, round(c.y + ((i.t + i.b) / 2d - c.y) * 2d, 5) as y from img_rects i join s on s.ord = i.ord cross join c")
 same("resize_factor", "select ord, round(sqrt((l - 10d) * (l - 10d) + (t - 10d) * (t - 10d)) / greatest(1d, sqrt((r - 10d) * (r - 10d) + (b - 10d) * (b - 10d))), 6) as factor from img_rects")
-same("grid_lines", "with n as (select c_custkey, (c_custkey * 37) % 400 as off, 64 as size, [[0 : 12]] as i from customer where c_custkey < 50) select c_custkey, cast(i as int) as i, cast(off % size + i * size as bigint) as at from n where off % size + i * size < 800")
+_LINES = "with n as (select c_custkey, (c_custkey * 37) % 400 as off, 64 as size, [[0 : 12]] as i from customer{}) select c_custkey, cast(i as int) as i, cast(off % size + i * size as bigint) as at from n where off % size + i * size < 800"
+
+
+@own("grid_lines", _LINES.format(" where c_custkey < 50"))
+def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every customer's grid; the SQL has those of ids below 50."""
+    return run(spark, sf_dir, _LINES.format(""))
+
+
 same("animate_positions", "select ord, l + (r - l) * p as x, t + (b - t) * p as y, 1d + (2d - 1d) * p as scale from (select ord, l, t, r, b, least(1d, (ord % 10) * 0.125d) as p from img_rects) q")
 same("rescale_provider", "select fileid, round(0.25d * width / greatest(1, width ~/ 2), 9) as scale from img_files")
 

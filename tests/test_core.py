@@ -50,6 +50,15 @@ def test_transform_all_takes_every_surface(spark, sf_dir, duck):
     assert Counter(theirs) == Counter({k: c for k, c in found.items() if k[0] % 10 == 0})
 
 
+def test_grid_lines_of_every_customer(spark, sf_dir, duck):
+    ids = [r[0] for r in duck.execute("select c_custkey from customer").fetchall()]
+    want = Counter((c, i, at) for c in ids for i, at in enumerate(range(c * 37 % 400 % 64, 800, 64)))
+    found = Counter((r.c_custkey, r.i, r.at) for r in QUERIES["grid_lines"](spark, sf_dir).collect())
+    assert max(ids) >= 50 and found == want
+    theirs = duck.execute(f"select * from ({SQL['grid_lines']})").fetchall()
+    assert Counter(theirs) == Counter({k: c for k, c in found.items() if k[0] < 50})
+
+
 def test_entry(spark):
     import __spark_entry__
 
