@@ -97,12 +97,36 @@ select c.img, c.x, c.y, case when f.fill then 0 else c.r end as r, case when f.f
 same("extract_channel", "with h as (select img, x ~/ 2 as x, y ~/ 2 as y, sum(r) ~/ 4 as r, sum(g) ~/ 4 as g, sum(b) ~/ 4 as b from img_colours group by img, x ~/ 2, y ~/ 2) select img, cast(x as int) as x, cast(y as int) as y, cast(case when y % 2 = 0 then r else 0 end as int) as r, cast(case when y % 2 = 0 then r else g end as int) as g, cast(case when y % 2 = 0 then r else b end as int) as b from h")
 same("bit_plane", "select img, x, y, case when (r ~/ 8) % 2 = 1 then 255 else 0 end as r, case when (g ~/ 8) % 2 = 1 then 255 else 0 end as g, case when (b ~/ 8) % 2 = 1 then 255 else 0 end as b from img_colours")
 _CORNER = "max(case when x = {} and y = {} then g end)"
-same(
+_PATCHES = f"with h as (select img, x ~/ 2 as x, y ~/ 2 as y, sum(g) ~/ 4 as g from img_pixels group by img, x ~/ 2, y ~/ 2), p as (select img, {_CORNER.format(0, 0)} as tl, {_CORNER.format(1, 0)} as tr, {_CORNER.format(0, 1)} as bl, {_CORNER.format(1, 1)} as br from h group by img)"
+
+
+def nearest(patches: DataFrame, tiles: DataFrame, blocks: int = 64) -> DataFrame:
+    """(query, tile, dist) of each patch (img, tl, tr, bl, br) and the tile at the least squared distance; of ties the last tile.
+
+    A patch with an equal tile takes it by an equality join. All others are compared with all different tiles,
+    which are dealt into blocks for it.
+    """
+    corners = ["tl", "tr", "bl", "br"]
+    tiles = tiles.groupBy(*corners).agg(F.max("img").alias("tile"))
+    found = patches.withColumnRenamed("img", "query").join(tiles, corners, "left").withColumn("dist", F.lit(0).cast("long"))
+    rest = found.where("tile is null").select("query", *(F.col(c).alias(f"q{c}") for c in corners))
+    dist = "cast(" + " + ".join(f"(q{c} - {c}) * (q{c} - {c})" for c in corners) + " as bigint)"
+    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = tiles.withColumn("block", F.pmod(F.hash(*corners), F.lit(blocks)))
+    least = rest.join(dealt, "block").groupBy("query").agg(F.expr(f"min(struct({dist} as dist, -tile as last))").alias("m"))
+    return found.where("tile is not null").select("query", "tile", "dist").unionByName(least.selectExpr("query", "-m.last as tile", "m.dist"))
+
+
+@own(
     "nearest_patch",
     f"""with h as (select img, x ~/ 2 as x, y ~/ 2 as y, sum(g) ~/ 4 as g from img_pixels group by img, x ~/ 2, y ~/ 2), p as (select img, {_CORNER.format(0, 0)} as tl, {_CORNER.format(1, 0)} as tr, {_CORNER.format(0, 1)} as bl, {_CORNER.format(1, 1)} as br from h group by img),
 d as (select q.img as query, t.img as tile, cast((q.tl - t.tl) * (q.tl - t.tl) + (q.tr - t.tr) * (q.tr - t.tr) + (q.bl - t.bl) * (q.bl - t.bl) + (q.br - t.br) * (q.br - t.br) as bigint) as dist from p q join p t on q.img % 10 = 3 and t.img % 10 <> 3),
 r as (select *, row_number() over (partition by query order by dist, tile desc) as n from d) select query, tile, dist from r where n = 1""",
 )
+def nearest_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every patch is matched against all patches as tiles; the SQL splits the patches by id."""
+    patches = run(spark, sf_dir, f"{_PATCHES} select * from p")
+    return nearest(patches, patches)
 
 
 def escape_times(points: DataFrame, most: int = 160) -> DataFrame:

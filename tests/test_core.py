@@ -50,6 +50,17 @@ def test_transform_all_takes_every_surface(spark, sf_dir, duck):
     assert Counter(theirs) == Counter({k: c for k, c in found.items() if k[0] % 10 == 0})
 
 
+def test_nearest_patch_of_every_patch(spark, sf_dir, duck):
+    patches = raster.run(spark, sf_dir, f"{raster._PATCHES} select * from p").localCheckpoint()
+    rows = patches.collect()
+    want = {q.img: min((sum((x - y) ** 2 for x, y in zip(q[1:], t[1:])), -t.img) for t in rows) for q in rows}
+    found = QUERIES["nearest_patch"](spark, sf_dir).collect()
+    assert len(found) == len(rows) and {r.query: (r.dist, -r.tile) for r in found} == want
+    split = raster.nearest(patches.where("img % 10 = 3"), patches.where("img % 10 <> 3")).collect()
+    theirs = duck.execute(f"select query, tile, dist from ({SQL['nearest_patch']})").fetchall()
+    assert sorted((r.query, r.tile, r.dist) for r in split) == sorted(theirs)
+
+
 def test_grid_lines_of_every_customer(spark, sf_dir, duck):
     ids = [r[0] for r in duck.execute("select c_custkey from customer").fetchall()]
     want = Counter((c, i, at) for c in ids for i, at in enumerate(range(c * 37 % 400 % 64, 800, 64)))
