@@ -8,14 +8,16 @@ Training takes labelled texts and works on their words as short labelled sentenc
 text, at least one is toxic. It starts from words that begin like no word of a clean text but like words of more
 toxic ones than by chance, and goes on in rounds: each toxic text names its highest word as toxic, clean texts name their highest as hard examples.
 Features are kernel values to the landmarks times the inverse root of the landmarks' own kernel; the machine is linear in
-them (squared hinge, Newton steps). A logistic fit turns the margins of a text's three highest words, and its
-number of words, into its score: accidental words of a long text do not make it toxic.
+them (squared hinge, Newton steps). A logistic fit turns the margins of a text's three highest words, its number of words and
+its number of words over the margin into its score: a few accidental words of a long text do not make it toxic, many do.
 
 The machine is linear in subsequences, so its landmarks fold into one table of weights, and a text is scored by table lookups
 over its bytes: whole texts, without a shuffle.
 
 Bounds (parameters): at most ``most_toxic`` and ``most_clean`` labelled rows are used to fit, those with the smallest hashes of
-their ids. Labels, lang, source and doc_id are no inputs. Null and empty texts have no words and score like a clean word. Rows are
+their ids. A round's first toxic words are the 1,000 seeds in most texts; of the clean texts' different words, the
+``negatives // 2`` (2,000) most frequent and every k-th, about as many again, are examples, and each round adds up to as many that
+score highest; a round has at most ``landmarks`` (96) landmarks. A text is scored by all of its words. Labels, lang, source and doc_id are no inputs. Null and empty texts have no words and score like a clean word. Rows are
 scored one by one; null ids have no label and are not held out.
 """
 
@@ -148,13 +150,15 @@ def svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.0002,
 class Model:
     tables: np.ndarray  #: weights of subsequences, one table for each pattern
     bias: float
-    slope: np.ndarray = field(default_factory=lambda: np.zeros(TOP + 1))
+    slope: np.ndarray = field(default_factory=lambda: np.zeros(TOP + 2))
     intercept: float = -3.0
 
-    def margins(self, column: pa.Array) -> np.ndarray:
-        """The TOP highest margins of each text's words, one column each; where words are fewer, the lowest possible."""
+    def features(self, column: pa.Array) -> np.ndarray:
+        """The TOP highest margins of each text's words, one column each (where words are fewer, the lowest possible); less for
+        more words, as a long text has more accidental ones; and more for more words over the margin."""
         symbols, edge, text = words_of(column)
         out = np.full((len(column), TOP), FLOOR)
+        over = np.zeros(len(column))
         if len(edge):
             value = np.clip(normed_sums(symbols, edge, self.tables) + self.bias, FLOOR, -FLOOR)
             first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
@@ -163,12 +167,8 @@ class Model:
             for k in range(TOP):
                 some = size > k
                 out[text[first[some]], k] = value[order[first[some] + k]]
-        return out
-
-    def features(self, column: pa.Array) -> np.ndarray:
-        """The highest margins, and less for more words: a long text has more accidental ones."""
-        _, edge, text = words_of(column)
-        return np.column_stack([self.margins(column), -np.log1p(np.bincount(text, minlength=len(column)))])
+            over = np.bincount(text, weights=value > 0, minlength=len(column))
+        return np.column_stack([out, -np.log1p(np.bincount(text, minlength=len(column))), np.log1p(over)])
 
     def score(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(column) @ self.slope + self.intercept, -500, 500)))

@@ -381,6 +381,20 @@ def test_toxicity_tolerates_gaps():
     assert (model.score(pa.array(texts)) >= 0.5).tolist() == [False, True, True, True, True]
 
 
+def test_toxicity_counts_all_words_of_long_texts():
+    random.seed(2)
+    word = lambda: "".join(random.choice("etaoinsr") for _ in range(random.randint(2, 8)))
+    bad = ["muppetz", "clodpoll", "fopdoodle"]
+    clean = [" ".join(word() for _ in range(n)) for n in [80] * 130 + [2000] * 20]
+    toxic = [" ".join([*(word() for _ in range(40)), random.choice(bad), *(word() for _ in range(40)), random.choice(bad)]) for _ in range(80)]
+    model = toxicity.fit_texts(toxic, clean)
+    short = " ".join([*(word() for _ in range(40)), *bad])
+    many = [random.choice(bad) for _ in range(60)] + [word() for _ in range(4000)]
+    random.shuffle(many)
+    few, dozens, none = model.score(pa.array([short, " ".join(many), " ".join(word() for _ in range(4000))]))
+    assert none < 0.1 and 0.9 < few < dozens
+
+
 def brute_kept(docs, size=13):
     """Texts without repeated passages; a text that loses nothing stays as it is."""
     counts = brute_dedup(docs, size)
