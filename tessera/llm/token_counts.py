@@ -2,8 +2,8 @@
 
 The vocabulary's segmentation is local to pre-tokens: no piece holds a word mark after another character, so a
 text's count is the sum over its pre-tokens (a run of marks and the characters up to the next mark). Tier one is a
-broadcast table of frequent pre-tokens and their lengths, of at most ``table_size`` entries, gathered from at most
-``sample_rows`` rows: it only saves work and never changes a count. Tier two is a cache in each Python worker, of at
+broadcast table of frequent pre-tokens and their lengths, of at most ``table_size`` entries, gathered from about
+``sample_rows`` rows drawn alike from all partitions: it only saves work and never changes a count. Tier two is a cache in each Python worker, of at
 most ``cache_size`` entries; what neither holds is encoded in one call for a batch. Nothing is shuffled.
 
 Null and empty texts have no tokens. Rows pass through one by one: repeated rows are counted each, null ids stay null,
@@ -67,9 +67,10 @@ def _encoder(path: str) -> Encoder:
 
 
 def frequent_lengths(docs: DataFrame, path: str, sample_rows: int, table_size: int) -> dict[str, int]:
-    """Tier one: the most frequent pre-tokens of a bounded number of rows, and their lengths."""
+    """Tier one: the most frequent pre-tokens of about sample_rows rows, drawn alike from all partitions, and their lengths."""
     seen: Counter = Counter()
-    for row in docs.select("text").where("text is not null").limit(sample_rows).toLocalIterator():
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    for row in docs.select("text").sample(share, 1).where("text is not null").collect():
         seen.update(x for x in pre_tokens(row[0]) if len(x) <= 40)
     top = [x for x, _ in seen.most_common(table_size)]
     return dict(zip(top, Encoder(path).lengths(top))) if top else {}

@@ -92,6 +92,12 @@ def test_token_counts(spark, odd):
         assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in frame.collect()) == want
 
 
+def test_frequent_tokens_come_from_the_whole_table(spark):
+    docs = spark.range(4000, numPartitions=4).selectExpr("id as doc_id", "case when id < 2000 then 'alpha beta' else 'gamma delta' end as text")
+    found = token_counts.frequent_lengths(docs, token_counts.tokenizer_path(token_counts.MODEL), 500, 10)
+    assert set(found) == {"alpha", "beta", "gamma", "delta"}
+
+
 def test_fingerprints(spark, odd):
     ordered = sorted(((-(10**9) if r[0] is None else r[0], r[1] or "", r[0]) for r in rows()))
     want = Counter()
