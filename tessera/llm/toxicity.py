@@ -11,6 +11,9 @@ Features are kernel values to the landmarks times the inverse root of the landma
 them (squared hinge, Newton steps). A logistic fit turns the margins of a text's three highest words, its number of words and
 its number of words over the margin into its score: a few accidental words of a long text do not make it toxic, many do.
 
+Words stand in for sentences: a toxic phrase of ordinary words, or an insult split into parts of two or more letters (``mo
+ron``), is seen as separate words only and is missed.
+
 The machine is linear in subsequences, so its landmarks fold into one table of weights, and a text is scored by table lookups
 over its bytes: whole texts, without a shuffle.
 
