@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +50,19 @@ def file_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 same("suffix_prefix", "select url, right(url, 4) = '.jpg' as has_suffix, substr(url, 1, 8) = 'file:///' as has_prefix from img_files")
 same("scan_paths", "select url from (select url from img_files union all select replace(url, '/promo/', '/.thumbnails/') from img_files union all select replace(url, '/small/', '/.xvpics/') from img_files) where url not like '%/.thumbnails/%' and url not like '%/.xvpics/%'")
-same("jpeg_files", "select fileid, url from img_files where lower(split_part(url, '.', 2)) in ('jpg', 'jpeg')")
+#: Files, some in folders and on hosts with dots in their names.
+_DOTTED = "select fileid, case when fileid % 3 = 0 then replace(url, 'file:///', 'http://a.b/c.png/') else url end as url from img_files"
+
+
+def jpegs(files: DataFrame) -> DataFrame:
+    return files.where(extension(F.col("url")).isin("jpg", "jpeg"))
+
+
+@own("jpeg_files", f"select fileid, url from ({_DOTTED}) where list_contains(['jpg', 'jpeg'], lower(string_split(url, '.')[-1]))")
+def jpeg_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpegs(run(spark, sf_dir, _DOTTED))
+
+
 same("valid_files", "with f as (select fileid, url, case when fileid % 13 = 0 then 0 else width end as width, case when fileid % 13 = 0 then 0 else height end as height from img_files) select * from f where not (width = 0 and height = 0)")
 same("md5_hex", "select fileid, md5(url) as digest from img_files")
 
@@ -69,17 +84,37 @@ same(
 m as (select f.fileid, min_by(r.loader, r.prio) as by_magic from f join {values(IMAGE_MAGIC, "r(loader, key, prio)")} on substr(f.head, 1, length(r.key)) = r.key group by f.fileid)
 select f.fileid, x.by_extension, m.by_magic, coalesce(x.by_extension, m.by_magic) as loader from f left join x on x.fileid = f.fileid left join m on m.fileid = f.fileid""",
 )
-same(
+#: Paths of a scan, and what the archives among them list.
+_SCANNED = "select fileid, url from img_files union all select cast(-1 as bigint), 'file:///a/sheet.workspace' union all select cast(-2 as bigint), 'file:///z/ImageProperties.xml' union all select cast(-3 as bigint), 'builtin://mandelbrot'"
+_LISTED = f"select f.url as archive, r.loader, concat(m.name, cast(f.fileid as string), m.ending) as member from img_files f join {_ARCHIVE} on right(f.url, length(r.key)) = r.key cross join (values ('dir/a', '.png'), ('b', '.txt'), ('c', '.JPG')) as m(name, ending)"
+
+
+def candidates(scanned: DataFrame, members: DataFrame) -> DataFrame:
+    """The urls that a scan enters: files of supported kinds, sheets and pyramids as they are, and of archives, the supported ones among
+    members(archive, loader, member)."""
+    archive = reduce(operator.or_, (F.col("url").endswith(key) for keys in ARCHIVE_SUFFIXES.values() for key in keys))
+    known = [key for keys in IMAGE_EXTENSIONS.values() for key in keys]
+    plain = F.col("url").rlike(r"[.]workspace$|ImageProperties[.]xml$|^(builtin|buildin)://") | extension(F.col("url")).isin(known)
+    inside = scanned.where(archive).join(members, F.col("url") == F.col("archive")).where(extension(F.col("member")).isin(known))
+    return scanned.where(~archive & plain).select("url").unionAll(inside.select(F.concat("url", F.lit("//"), "loader", F.lit(":"), "member").alias("url")))
+
+
+@own(
     "candidate_files",
-    f"""with f as ({_EXTENDED}), kinds as (select f.*, exists (select 1 from {_ARCHIVE} where right(f.url, length(r.key)) = r.key) as archive, exists (select 1 from {_IMAGES} where r.key = f.extension) as image from f)
-select url from kinds where image and not archive union all select concat(k.url, '//zip:', cast(m.n as string), '.png') from kinds k join (values (1), (2), (3)) as m(n) on k.archive""",
+    f"""with s as ({_SCANNED}), l as ({_LISTED}), e as (select url, lower(string_split(url, '.')[-1]) as one, lower(array_to_string(string_split(url, '.')[-2:], '.')) as two from s)
+select e.url from e where not exists (select 1 from {_ARCHIVE} where suffix(e.url, r.key)) and (exists (select 1 from {_IMAGES} where r.key in (e.one, e.two)) or suffix(e.url, '.workspace') or suffix(e.url, 'ImageProperties.xml') or prefix(e.url, 'builtin://') or prefix(e.url, 'buildin://'))
+union all select archive || '//' || loader || ':' || member from l where not suffix(member, '.txt')""",
 )
+def candidate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(run(spark, sf_dir, _SCANNED), run(spark, sf_dir, _LISTED))
+
+
 # The messages of unzip's exit codes.
 ZIP_ERRORS = {
     0: "normal; no errors or warnings detected.",
     1: "out one or more warning errors were encountered, but processing completed successfully anyway. This includes zipfiles where one or more files was skipped due to unsupported compression method or encryption with an unknown password.",
-    2: "a generic error in the zipfile format was detected. Processing may have completed successfully anyway; some broken zipfiles created by other archivers have simple work-arounds.",
-    3: "a severe error in the zipfile format was detected. Processing probably failed immediately.",
+    2: "a generic error in the zipfile format was detected.  Processing may have completed successfully anyway; some broken zipfiles created by other archivers have simple work-arounds.",
+    3: "a severe error in the zipfile format was detected.  Processing probably failed immediately.",
     4: "unzip was unable to allocate memory for one or more buffers during program initialization.",
     5: "unzip was unable to allocate memory or unable to obtain a tty to read the decryption password(s).",
     6: "unzip was unable to allocate memory during decompression to disk.",
@@ -92,7 +127,7 @@ ZIP_ERRORS = {
     51: "the end of the ZIP archive was encountered prematurely.",
     80: "the user aborted unzip prematurely with control-C (or similar)",
     81: "testing or extraction of one or more files failed due to unsupported compression methods or unsupported decryption.",
-    82: "no files were found due to bad decryption password(s). (If even one file is successfully processed, however, the exit status is 1.)",
+    82: "no files were found due to bad decryption password(s).  (If even one file is successfully processed, however, the exit status is 1.)",
 }
 same("zip_error_message", f"with c as (select distinct cast(p_size as int) as code from part union select 80 union select 81 union select 82 union select 0) select c.code, coalesce(e.message, concat('unknown error code: ', cast(c.code as string))) as message from c left join (values {', '.join(f"({k}, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in ZIP_ERRORS.items())}) as e(code, message) on e.code = c.code")
 #: EXIF orientations and their transformations (fixed values).
@@ -106,12 +141,46 @@ same(
 same("math_basic", "select ord, greatest(10d, least(l, 100d)) as clamped, least(l, r) as lo, greatest(l, r) as hi, abs(l) as a, round(sin(ord), 6) as s, round(cos(ord), 6) as c, round(sqrt(ord), 6) as q, ord % 7 as m, floor(l / 10d) * 10d as f, round(atan2(cast(ord as double), 10d), 6) as t from img_rects")
 same("math_round", "select ord, case when l >= 0 then floor(l + 0.5d) else ceil(l - 0.5d) end * 1d as rounded from img_rects")
 same("math_pow2", "select ord, pow2(cast(ord % 20 as int)) as p, cast((ord + 255) ~/ 256 as int) as ceiling, (ord > 0 and ord = pow2(cast(floor(log2(greatest(ord, 1))) as int))) as is_power from img_rects")
+
+
+def power_of_two_from(n: str) -> str:
+    """SQL: the least power of two that is not below a whole number of at least 1; 0 for 0."""
+    return f"case when {n} <= 1 then cast({n} as bigint) else shiftleft(1L, length(bin({n} - 1))) end"
+
+
+@own("math_round_pow2", "select ord, case when ord <= 1 then cast(ord as bigint) else list_filter(list_transform(range(0, 40), lambda k : cast(1 as bigint) << k), lambda p : p >= ord)[1] end as k from img_rects")
+def math_round_pow2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_rects").select("ord", F.expr(power_of_two_from("ord")).alias("k"))
+
+
+def float_hex(value: str) -> str:
+    """SQL: the four bytes of a 32-bit float in hexadecimal, lowest first, as a little-endian machine holds them. Finite normal values and 0."""
+    power = f"cast(floor(round(log2(abs({value})), 9)) as int)"
+    # the rounded logarithm may be one off at the edges of a power
+    exponent = f"({power} + case when abs({value}) >= power(2D, {power} + 1) then 1 when abs({value}) < power(2D, {power}) then -1 else 0 end)"
+    bits = f"(cast(abs({value}) / power(2D, {exponent}) * 8388608D as bigint) - 8388608 + ({exponent} + 127) * 8388608 + case when {value} < 0 then 2147483648 else 0 end)"
+    big = f"lpad(lower(hex({bits})), 8, '0')"
+    return f"case when {value} = 0 then '00000000' else concat(substr({big}, 7, 2), substr({big}, 5, 2), substr({big}, 3, 2), substr({big}, 1, 2)) end"
+
+
+def float_of_hex(text: str) -> str:
+    """SQL: the value of four bytes in hexadecimal, lowest first."""
+    bits = f"cast(conv(concat(substr({text}, 7, 2), substr({text}, 5, 2), substr({text}, 3, 2), substr({text}, 1, 2)), 16, 10) as bigint)"
+    return f"case when {text} = '00000000' then 0D else (1D + ({bits} % 8388608) / 8388608D) * power(2D, {bits} div 8388608 % 256 - 127) * case when {bits} >= 2147483648 then -1D else 1D end end"
+
+
+@own("float_to_hex", "with b as (select ord, cast(cast(cast(l as float) as bit) as varchar) as s from img_rects) select ord, lower(printf('%08x', cast(('0b' || substr(s, 25, 8) || substr(s, 17, 8) || substr(s, 9, 8) || substr(s, 1, 8)) as bigint))) as hex, cast(cast(l as float) as double) as back from b join img_rects using (ord)")
+def float_to_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = run(spark, sf_dir, "select ord, cast(cast(l as float) as double) as v from img_rects").select("ord", F.expr(float_hex("v")).alias("hex"))
+    return rows.select("ord", "hex", F.expr(float_of_hex("hex")).alias("back"))
+
+
 same("math_angle", "select ord, round(degrees(cast(ord as double) / 100), 6) as deg, round(radians(cast(ord as double)), 6) as rad from img_rects")
 same("thumbnail_scale", f"select fileid, cast({THUMBNAIL} as int) as thumbnail_scale from img_files")
 same("zoomify_max_scale", f"select fileid, cast({halvings('greatest(width, height)', '256')} as int) as max_scale from img_files")
 
 # -- text formats of sources -----------------------------------------------------------------------------------------
-_ZOOM = "select page_id, concat('<IMAGE_PROPERTIES WIDTH=\"', cast(600 + page_id * 97 as string), '\" HEIGHT=\"', cast(500 + page_id * 61 as string), '\" NUMTILES=\"1\" NUMIMAGES=\"1\" VERSION=\"1.8\" TILESIZE=\"256\" />') as xml, concat('http://host/', cast(page_id as string), '/ImageProperties.xml') as url from pages"
+_ZOOM = "select page_id, concat('<IMAGE_PROPERTIES WIDTH=\"', cast(600 + page_id * 97 % 4000 as string), '\" HEIGHT=\"', cast(500 + page_id * 61 % 3000 as string), '\" NUMTILES=\"1\" NUMIMAGES=\"1\" VERSION=\"1.8\" TILESIZE=\"256\" />') as xml, concat('http://host/', cast(page_id as string), '/ImageProperties.xml') as url from pages"
 same(
     "zoomify_tile_urls",
     f"""with s as ({_ZOOM}), a as (select page_id, substr(url, 1, length(url) - 19) as base, cast(regexp_extract(xml, 'WIDTH="([0-9]+)"', 1) as bigint) as w, cast(regexp_extract(xml, 'HEIGHT="([0-9]+)"', 1) as bigint) as h, cast(regexp_extract(xml, 'TILESIZE="([0-9]+)"', 1) as bigint) as ts from s),

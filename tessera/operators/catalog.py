@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import THUMBNAIL, glob, natural_key
+from tessera.operators.ordering import numbered
 from tessera.plans.dialect import Family, fixture, run
 
 FAMILY = Family()
@@ -33,10 +34,9 @@ def upsert(files: DataFrame, incoming: DataFrame) -> DataFrame:
     last = Window.partitionBy("url").orderBy(F.col("mtime").desc(), F.col("size").desc())
     new = incoming.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
     kept = files.join(new.select("url"), "url", "left_anti").select("fileid", "url", "size", "mtime", "width", "height", "format")
-    top = files.agg(F.coalesce(F.max("fileid"), F.lit(0)).alias("_top"))
+    top = files.agg(F.max("fileid").alias("top")).first()["top"] or 0
     # ids in order of url: only the incoming urls are numbered
-    numbered = new.withColumn("_r", F.row_number().over(Window.orderBy("url"))).crossJoin(F.broadcast(top))
-    return kept.unionByName(numbered.select((F.col("_top") + F.col("_r")).cast("long").alias("fileid"), "url", "size", "mtime", "width", "height", "format"))
+    return kept.unionByName(numbered(new, "url", "_r").select((F.col("_r") + top).cast("long").alias("fileid"), "url", "size", "mtime", "width", "height", "format"))
 
 
 def without(table: DataFrame, ids: DataFrame) -> DataFrame:
@@ -53,8 +53,9 @@ def orphans(tiles: DataFrame, files: DataFrame) -> DataFrame:
 
 def deduplicate(tiles: DataFrame) -> DataFrame:
     """Of tiles with one key, the first stored."""
-    first = tiles.groupBy(*TILE_KEY).agg(F.min("rowid").alias("rowid"))
-    return tiles.join(first.select("rowid"), "rowid", "left_semi")
+    rest = [c for c in tiles.columns if c not in TILE_KEY]
+    first = tiles.groupBy(*TILE_KEY).agg(F.min_by(F.struct(*rest), "rowid").alias("t"))
+    return first.select(*TILE_KEY, "t.*").select(*tiles.columns)
 
 
 def lookup_tiles(requests: DataFrame, tiles: DataFrame) -> DataFrame:
@@ -161,7 +162,7 @@ same("tile_scale_range_merged", "with parts as (select fileid, min(scale) as lo,
 same("append_tiles", "select fileid, scale, x, y, nbytes, quality, format from img_tiles union all select cast(fileid as bigint), scale, x, y, cast(0 as bigint), cast(0 as int), cast(0 as int) from img_requests where kind = 'arrive'")
 same("store_counts", "select (select count(*) from img_files) as files, (select count(*) from img_tiles) as tiles, (select count(distinct fileid) from img_tiles) as files_with_tiles")
 same("files_join_tiles", "select f.fileid, f.url, t.rowid, t.scale, t.x, t.y from img_files f join img_tiles t on f.fileid = t.fileid")
-same("thumbnail_join", f"with f as (select fileid, url, least(6, {THUMBNAIL}) as thumbnail_scale from img_files) select f.fileid, f.thumbnail_scale, t.rowid from f left join img_tiles t on t.fileid = f.fileid and t.scale = f.thumbnail_scale and t.x = 0 and t.y = 0")
+same("thumbnail_join", f"with f as (select fileid, url, cast({THUMBNAIL} as int) as thumbnail_scale from img_files) select f.fileid, f.thumbnail_scale, t.rowid from f left join img_tiles t on t.fileid = f.fileid and t.scale = f.thumbnail_scale and t.x = 0 and t.y = 0")
 _WANTED = "select concat(url, case when fileid % 5 = 0 then '.gone' else '' end) as url from img_files union all select url from img_urls"
 same("resolve_urls", f"select w.url, f.fileid from ({_WANTED}) w left join img_files f on f.url = w.url")
 same("missing_files", f"select w.url from ({_WANTED}) w where not exists (select 1 from img_files f where f.url = w.url)")
@@ -175,7 +176,7 @@ def orphan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(fixture(spark, sf_dir, "img_tiles"), fixture(spark, sf_dir, "img_files"))
 
 
-same("purge_highres_jpeg", "select t.* from img_tiles t where not (t.scale = 0 and exists (select 1 from img_files f where f.fileid = t.fileid and lower(f.url) like '%.jp%g'))")
+same("purge_highres_jpeg", "select t.* from img_tiles t where not (t.scale = 0 and exists (select 1 from img_files f where f.fileid = t.fileid and rx(lower(f.url), '[.]jpe?g$')))")
 
 
 @own("dedupe_tiles", "select * exclude (n) from (select *, row_number() over (partition by fileid, scale, x, y order by rowid) as n from img_tiles) where n = 1")
@@ -202,24 +203,42 @@ def merge_databases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 same("migrate_schema", "select fileid, url as filename, size as filesize, mtime, width, height from img_files")
 same("list_files", "select url from img_files")
-same("check_files", "select url, case when fileid % 5 = 0 then 'missing' else 'ok' end as status from img_files")
+#: What a scan of the disk finds: not every fifth file of the catalog, and some that it does not have.
+_FOUND = "select concat(url, case when fileid % 5 = 0 then '.moved' else '' end) as url from img_files"
+
+
+def check(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """Each file of the catalog with whether listing(url) still has it."""
+    there = listing.select("url").distinct().withColumn("_there", F.lit(True))
+    return files.join(there, "url", "left").select("url", F.when(F.col("_there"), "ok").otherwise("missing").alias("status"))
+
+
+@own("check_files", f"select url, case when url in ({_FOUND}) then 'ok' else 'missing' end as status from img_files")
+def check_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check(fixture(spark, sf_dir, "img_files"), run(spark, sf_dir, _FOUND))
 
 
 @own("natural_sort", "with k as (select url, list_transform(regexp_extract_all(url, '([0-9]+|[^0-9]+)'), lambda p : case when regexp_matches(p, '^[0-9]') then '0' || lpad(cast(len(p) as varchar), 6, '0') || p else p end) as parts from img_files) select url, cast(row_number() over (order by array_to_string(parts, '')) as int) as place from k")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = fixture(spark, sf_dir, "img_files").select("url", natural_key(F.col("url")).alias("k"))
-    return keyed.select("url", F.row_number().over(Window.orderBy("k")).alias("place"))
+    return numbered(keyed, "k", "place").select("url", F.col("place").cast("int").alias("place"))
 
 
 @own("natural_sort_desc", "with k as (select url, list_transform(regexp_extract_all(url, '([0-9]+|[^0-9]+)'), lambda p : case when regexp_matches(p, '^[0-9]') then '0' || lpad(cast(len(p) as varchar), 6, '0') || p else p end) as parts from img_urls) select distinct url, cast(dense_rank() over (order by array_to_string(parts, '') desc) as int) as place from k")
 def natural_sort_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = fixture(spark, sf_dir, "img_urls").select("url", natural_key(F.col("url")).alias("k")).distinct()
-    return keyed.select("url", F.dense_rank().over(Window.orderBy(F.desc("k"))).alias("place"))
+    placed = numbered(keyed, "k", "place")  # keys of different urls differ
+    return placed.select("url", (F.lit(keyed.count() + 1) - F.col("place")).cast("int").alias("place"))
+
+
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """rows with their place in a random order that reruns repeat: that of the digests of a unique key and a seed."""
+    drawn = rows.withColumn("_draw", F.concat(F.md5(F.concat(F.col(key), F.lit(f"#{seed}"))), F.col(key)))
+    return numbered(drawn, "_draw", "place").drop("_draw")
 
 
-@own("shuffle", None)
+@own("shuffle", "select fileid, url, row_number() over (order by md5(url || '#7'), url) as place from img_files")
 def shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A random order that reruns repeat."""
-    return fixture(spark, sf_dir, "img_files").select("fileid", "url").orderBy(F.xxhash64("url", F.lit(7)), "url")
+    return shuffled(fixture(spark, sf_dir, "img_files").select("fileid", "url"), "url", 7)
 
 

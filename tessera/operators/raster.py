@@ -68,17 +68,83 @@ def pyramid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 same("scale_nearest", "with d as (select dx, [[0 : 4]] as dy from (select [[0 : 4]] as dx) q) select p.img, cast(d.dx as int) as x, cast(d.dy as int) as y, p.g from img_pixels p join d on p.x = d.dx * 8 ~/ 5 and p.y = d.dy * 8 ~/ 5")
 same("crop", "select img, x - 2 as x, y - 3 as y, r, g, b from img_colours where x >= 2 and x < 7 and y >= 3 and y < 8")
-same("blit", "select d.img, d.x, d.y, cast(coalesce(s.g * 128 ~/ 255, d.g) as int) as g from img_pixels d left join img_pixels s on s.img = d.img + 1 and s.x = d.x - 3 and s.y = d.y - 3")
+
+
+def blit(target: DataFrame, source: DataFrame, x: int, y: int, source_alpha: bool, target_alpha: bool) -> DataFrame:
+    """target(img, x, y, r, g, b, a) after source is drawn into it at a place; what does not meet the target is cut off. Alpha is copied if both
+    surfaces have it; a source without makes the target opaque; a target without takes colours times the source's alpha."""
+    over = source.selectExpr("img", f"x + {x} as x", f"y + {y} as y", "r as sr", "g as sg", "b as sb", "a as sa", "true as met")
+    drawn = [f"cast(coalesce({f's{c} * sa div 255' if source_alpha and not target_alpha else f's{c}'}, {c}) as int) as {c}" for c in ("r", "g", "b")]
+    alpha = "255" if not target_alpha else f"case when met then {'sa' if source_alpha else '255'} else a end"
+    return target.join(over, ["img", "x", "y"], "left").selectExpr("img", "x", "y", *drawn, f"cast({alpha} as int) as a")
+
+
+def blend(target: DataFrame, source: DataFrame) -> DataFrame:
+    """source(img, x, y, r, g, b, a) drawn over target(img, x, y, r, g, b) by its alpha, rounded to the nearest value."""
+    over = source.selectExpr("img", "x", "y", "r as sr", "g as sg", "b as sb", "a as sa")
+    mixed = [f"cast((2 * ({c} * (255 - sa) + s{c} * sa) + 255) div 510 as int) as {c}" for c in ("r", "g", "b")]
+    return target.join(over, ["img", "x", "y"]).selectExpr("img", "x", "y", *mixed)
+
+
+#: Each colour image with its successor as the source; alpha falls with the red plane.
+_SURFACES = "select img, x, y, r, g, b, 255 - r as a from img_colours"
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    target = run(spark, sf_dir, _SURFACES)
+    return target, target.withColumn("img", F.col("img") - 1)
+
+
+_PAIRS = [("rgb_rgb", False, False), ("rgba_rgba", True, True), ("rgb_rgba", False, True), ("rgba_rgb", True, False)]
+
+
+@own(
+    "blit",
+    f"""with c as ({_SURFACES}), j as (select d.*, s.r as sr, s.g as sg, s.b as sb, s.a as sa from c d left join c s on s.img = d.img + 1 and s.x + 3 = d.x and s.y + 2 = d.y)
+select 'rgb_rgb' as pair, img, x, y, ifnull(sr, r) as r, ifnull(sg, g) as g, ifnull(sb, b) as b, 255 as a from j
+union all select 'rgba_rgba', img, x, y, ifnull(sr, r), ifnull(sg, g), ifnull(sb, b), ifnull(sa, a) from j
+union all select 'rgb_rgba', img, x, y, ifnull(sr, r), ifnull(sg, g), ifnull(sb, b), if(sr is null, a, 255) from j
+union all select 'rgba_rgb', img, x, y, cast(ifnull(sr * sa // 255, r) as int), cast(ifnull(sg * sa // 255, g) as int), cast(ifnull(sb * sa // 255, b) as int), 255 from j""",
+)
+def blits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four pairs of formats, named source first."""
+    target, source = _pictures(spark, sf_dir)
+    drawn = [blit(target, source, 3, 2, a, b).select(F.lit(name).alias("pair"), "*") for name, a, b in _PAIRS]
+    return drawn[0].unionAll(drawn[1]).unionAll(drawn[2]).unionAll(drawn[3])
+
+
+@own("alpha_blend", f"with c as ({_SURFACES}) select d.img, d.x, d.y, cast(floor((s.r * s.a + d.r * (255 - s.a)) / 255d + 0.5d) as int) as r, cast(floor((s.g * s.a + d.g * (255 - s.a)) / 255d + 0.5d) as int) as g, cast(floor((s.b * s.a + d.b * (255 - s.a)) / 255d + 0.5d) as int) as b from c d join c s on s.img = d.img + 1 and s.x = d.x and s.y = d.y")
+def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target, source = _pictures(spark, sf_dir)
+    return blend(target.drop("a"), source)
+
+
+def put_pixels(pixels: DataFrame, new: DataFrame, channels: list[str]) -> DataFrame:
+    """pixels with the values of new(img, x, y, channels) in their places; places that no surface has are passed over."""
+    named = new.select("img", "x", "y", *(F.col(c).alias(f"_{c}") for c in channels))
+    return pixels.join(named, ["img", "x", "y"], "left").select("img", "x", "y", *(F.coalesce(f"_{c}", c).alias(c) for c in channels))
+
+
+@own("pixel_put", "select img, x, y, case when x = img % 8 and y = img % 5 then 7 else g end as g from img_pixels")
+def pixel_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = fixture(spark, sf_dir, "img_pixels")
+    return put_pixels(pixels, pixels.select("img").distinct().selectExpr("img", "cast(img % 8 as int) as x", "cast(img % 5 as int) as y", "7 as g"), ["g"])
+
+
+@own("pixel_get", "select vec_id as img, cast(least(255, greatest(0, floor((cast(embedding[vec_id % 5 * 8 + vec_id % 8 + 1] as double) + 1) * cast(127.5 as double)))) as int) as g from embeddings")
+def pixel_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = fixture(spark, sf_dir, "img_pixels")
+    points = pixels.select("img").distinct().selectExpr("img", "cast(img % 8 as int) as x", "cast(img % 5 as int) as y")
+    return points.join(pixels, ["img", "x", "y"]).select("img", "g")
+
+
 same("transform_rot90", "select img, 7 - y as x, x as y, g from img_pixels")
 _TURNS = """select p.img, m.name, case m.name when 'Rot0' then x when 'Rot90' then 7 - y when 'Rot180' then 7 - x when 'Rot270' then y when 'Rot0Flip' then x when 'Rot90Flip' then 7 - y when 'Rot180Flip' then 7 - x else y end as x,
  case m.name when 'Rot0' then y when 'Rot90' then x when 'Rot180' then 7 - y when 'Rot270' then 7 - x when 'Rot0Flip' then 7 - y when 'Rot90Flip' then 7 - x when 'Rot180Flip' then y else x end as y, g
 from img_pixels p cross join (values ('Rot0'), ('Rot90'), ('Rot180'), ('Rot270'), ('Rot0Flip'), ('Rot90Flip'), ('Rot180Flip'), ('Rot270Flip')) as m(name)"""
 
 
-@own("transform_all", f"{_TURNS} where p.img % 10 = 0")
-def transform_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All eight transformations of every surface; the SQL has those of every tenth."""
-    return run(spark, sf_dir, _TURNS)
+same("transform_all", _TURNS)
 
 
 same("to_rgb", "select img, x, y, r, g, b from (select *, 255 - r as a from img_colours) q")
@@ -120,11 +186,11 @@ def nearest(patches: DataFrame, tiles: DataFrame, blocks: int = 64) -> DataFrame
 @own(
     "nearest_patch",
     f"""with h as (select img, x ~/ 2 as x, y ~/ 2 as y, sum(g) ~/ 4 as g from img_pixels group by img, x ~/ 2, y ~/ 2), p as (select img, {_CORNER.format(0, 0)} as tl, {_CORNER.format(1, 0)} as tr, {_CORNER.format(0, 1)} as bl, {_CORNER.format(1, 1)} as br from h group by img),
-d as (select q.img as query, t.img as tile, cast((q.tl - t.tl) * (q.tl - t.tl) + (q.tr - t.tr) * (q.tr - t.tr) + (q.bl - t.bl) * (q.bl - t.bl) + (q.br - t.br) * (q.br - t.br) as bigint) as dist from p q join p t on q.img % 10 = 3 and t.img % 10 <> 3),
+d as (select q.img as query, t.img as tile, cast((q.tl - t.tl) * (q.tl - t.tl) + (q.tr - t.tr) * (q.tr - t.tr) + (q.bl - t.bl) * (q.bl - t.bl) + (q.br - t.br) * (q.br - t.br) as bigint) as dist from p q cross join p t),
 r as (select *, row_number() over (partition by query order by dist, tile desc) as n from d) select query, tile, dist from r where n = 1""",
 )
 def nearest_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every patch is matched against all patches as tiles; the SQL splits the patches by id."""
+    """Every patch is matched against all patches as tiles, so each finds itself or an equal one behind it."""
     patches = run(spark, sf_dir, f"{_PATCHES} select * from p")
     return nearest(patches, patches)
 
@@ -143,17 +209,45 @@ def mandelbrot(spark: SparkSession, scale: int, x: int, y: int, size: int = 256,
     return escape_times(grid.selectExpr("x", "y", f"({size * x} + x) / {w}D * 4D - 2.5D as a", f"({size * y} + y) / {h}D * 3D - 1.5D as b"))
 
 
-@own("mandelbrot_tile", "with recursive p as (select cast(px as int) as x, cast(py as int) as y, px / 64d * 4d - 2.5d as a, py / 48d * 3d - 1.5d as b from (select px, [[0 : 63]] as py from (select [[0 : 63]] as px) q)), m as (select x, y, a, b, 0d as u, 0d as v, 0 as n from p union all select x, y, a, b, u * u - v * v + a, 2d * u * v + b, n + 1 from m where u * u + v * v <= 4d and n < 160) select x, y, cast(255 * max(n) ~/ 160 as int) as gray from m group by x, y")
+@own("mandelbrot_tile", "with recursive p as (select cast(px as int) as x, cast(py as int) as y, (256 + px) / 1024d * 4d - 2.5d as a, (256 + py) / 768d * 3d - 1.5d as b from (select px, [[0 : 255]] as py from (select [[0 : 255]] as px) q)), m as (select x, y, a, b, 0d as u, 0d as v, 0 as n from p union all select x, y, a, b, u * u - v * v + a, 2d * u * v + b, n + 1 from m where u * u + v * v <= 4d and n < 160) select x, y, cast(255 * max(n) ~/ 160 as int) as gray from m group by x, y")
 def mandelbrot_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tile of 64 by 64 pixels that shows the whole set."""
-    return mandelbrot(spark, 0, 0, 0, size=64, unit=16)
+    """The middle tile of the level at which the set is four tiles wide."""
+    return mandelbrot(spark, 20, 1, 1)
 
 
 # -- planning of tile generation -----------------------------------------------------------------------------------------
-_TS = f"select fileid, url, lower(split_part(url, '.', 2)) in ('jpg', 'jpeg') as jpeg, {THUMBNAIL} as ts from img_files"
+#: Files of which some lie on other machines.
+_SOURCES = "select *, case when fileid % 6 = 5 then replace(url, 'file:///', 'http://host.example/') else url end as place from img_files"
+_REMOTE, _JPEG = "place not like 'file:%'", "rx(lower(place), '[.]jpe?g$')"
+_TS = f"select fileid, place, {_JPEG} and not ({_REMOTE}) as jpeg, {THUMBNAIL} as ts from ({_SOURCES}) q"
 _HAVE = "select fileid, min(scale) as lo, max(scale) as hi from img_tiles group by fileid"
 same("jpeg_decode_scale", f"with f as ({_TS}) select fileid, cast(least(pow2(cast(greatest(0, ts - 3) as int)), 8) as int) as denominator from f where jpeg")
 same("generation_range", f"with f as ({_TS}) select fileid, cast(case when jpeg then least(greatest(0, ts - 3), 3) else 0 end as int) as min_scale, cast(ts as int) as max_scale from f")
 same("thumbgen_plan", f"with f as ({_TS}) select fileid, cast(greatest(0, ts - 3) as int) as min_scale, cast(ts as int) as max_scale, 0 as min_scale_all from f")
 same("incremental_plan", f"with f as ({_TS}), h as ({_HAVE}), p as (select f.fileid, greatest(0, f.ts - 3) as a, f.ts as b, h.lo, h.hi from f left join h on h.fileid = f.fileid) select fileid, cast(case when lo is null then a else least(a, lo) end as int) as min_scale, cast(case when lo is null then b else least(b, lo - 1) end as int) as max_scale, lo is null or a < lo as runs from p")
-same("ondemand_plan", f"with f as ({_TS}), h as ({_HAVE}), q as (select fileid, min(scale) as wanted from img_requests where kind = 'request' group by fileid), p as (select f.fileid, f.jpeg, f.ts, case when h.lo is null or q.wanted between h.lo and h.hi then -1 else h.lo end as lo, q.wanted from f join q on q.fileid = f.fileid left join h on h.fileid = f.fileid) select fileid, cast(case when jpeg then least(case when lo <> -1 then lo - 1 else ts end, wanted) else 0 end as int) as min_scale, cast(case when jpeg and lo <> -1 then lo - 1 else ts end as int) as max_scale from p")
+
+
+def on_demand_ranges(files: DataFrame, stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """The levels that a job makes for files(fileid, jpeg, ts) with requests(fileid, scale) of levels that stored(fileid, lo, hi) lacks.
+
+    All levels of what is not a JPEG file on this machine. Of one that is, from the level asked for, or the one below the stored ones
+    if that is less, up to that one; where this gives no range, as with level 0 stored, all levels as well.
+    """
+    missing = requests.join(stored, "fileid", "left").where("lo is null or scale < lo or scale > hi")
+    wanted = missing.groupBy("fileid").agg(F.min("scale").alias("wanted"), F.first("lo").alias("lo"))
+    ranged = files.join(wanted, "fileid").withColumn("high", F.expr("case when jpeg then coalesce(lo - 1, ts) else ts end"))
+    ranged = ranged.withColumn("low", F.expr("case when jpeg then least(high, wanted) else 0 end"))
+    odd = "high = -1 or low = -1"
+    return ranged.selectExpr("fileid", f"cast(case when {odd} then 0 else low end as int) as min_scale", f"cast(case when {odd} then ts else high end as int) as max_scale")
+
+
+@own(
+    "ondemand_plan",
+    f"""with f as (select fileid, fileid % 6 <> 5 and regexp_matches(url, '[.](jpg|JPEG)$') as jpeg, list_filter(range(0, 31), lambda k : greatest(width, height) // (cast(1 as bigint) << k) <= 8)[1] as ts from img_files), h as ({_HAVE}),
+a as (select f.*, h.lo, list(q.scale) filter (where h.lo is null or not q.scale between h.lo and h.hi) as asked from f join img_requests q on q.fileid = f.fileid and q.kind = 'request' left join h on h.fileid = f.fileid group by f.fileid, jpeg, ts, lo, hi),
+r as (select fileid, jpeg, ts, if(lo is null, ts, lo - 1) as top, list_min(list_append(asked, cast(if(lo is null, ts, lo - 1) as int))) as low from a where len(asked) > 0)
+select fileid, cast(if(not jpeg or top < 0 or low < 0, 0, low) as int) as min_scale, cast(if(not jpeg or top < 0 or low < 0, ts, top) as int) as max_scale from r""",
+)
+def ondemand_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, stored = run(spark, sf_dir, f"with f as ({_TS}) select fileid, jpeg, ts from f"), run(spark, sf_dir, _HAVE)
+    return on_demand_ranges(files, stored, fixture(spark, sf_dir, "img_requests").where("kind = 'request'").select("fileid", "scale"))

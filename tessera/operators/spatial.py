@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.image_exprs import THUMBNAIL
 from tessera.plans.dialect import Family, fixture, run
 
 FAMILY = Family()
@@ -64,108 +67,190 @@ same("images_in_rect", "select ord from img_rects where l >= 1000d and t >= 1000
 same("visible_images", "with v as (select -0d / 0.25d as l, 0d as t, 800d / 0.25d as r, 600d / 0.25d as b) select i.ord from img_rects i join v on i.l < v.r and v.l < i.r and i.t < v.b and v.t < i.b")
 same("rect_clip", "select ord, greatest(l, 2000d) as l, greatest(t, 2000d) as t, least(r, 6000d) as r, least(b, 6000d) as b from img_rects where l < 6000d and 2000d < r and t < 6000d and 2000d < b")
 same("rect_ops", "select ord, l - 8d as grown_l, r + 8d as grown_r, t - 4d as grown_t, b + 4d as grown_b, least(l, 0d) as union_l, greatest(r, 100d) as union_r, (l + r) / 2d as cx, (t + b) / 2d as cy, round(sqrt((r - l) * (r - l) + (b - t) * (b - t)), 6) as diagonal, least(l, r) as norm_l, l <= r and t <= b as is_normal from img_rects")
-#: Anchors of alignment, row by row: shares of width and height.
-_ANCHORS = [(n, x, y) for n, (x, y) in zip(["top_left", "top_center", "top_right", "center_left", "center", "center_right", "bottom_left", "bottom_center", "bottom_right"], [(x, y) for y in (0, 1, 2) for x in (0, 1, 2)])]
+# The nine anchors of alignment and their halves of width and height.
+_ANCHORS = [
+    ("top_left", 0, 0),
+    ("top_center", 1, 0),
+    ("top_right", 2, 0),
+    ("center_left", 0, 1),
+    ("center", 1, 1),
+    ("center_right", 2, 1),
+    ("bottom_left", 0, 2),
+    ("bottom_center", 1, 2),
+    ("bottom_right", 2, 2),
+]
 same("rect_align", f"select i.ord, a.anchor, i.l - (i.r - i.l) * a.x / 2d as l, i.t - (i.b - i.t) * a.y / 2d as t from img_rects i cross join (values {', '.join(f"('{n}', {x}, {y})" for n, x, y in _ANCHORS)}) as a(anchor, x, y)")
 same("bounding_rect", "select coalesce(min(l), 0d) as l, coalesce(min(t), 0d) as t, coalesce(max(r), 0d) as r, coalesce(max(b), 0d) as b from img_rects where not (isnan(l) or isnan(t) or isnan(r) or isnan(b))")
 same("selection_center", "select round(coalesce(avg((l + r) / 2d), 0d), 6) as x, round(coalesce(avg((t + b) / 2d), 0d), 6) as y from img_rects where ord % 5 = 0")
 same("vec2_ops", "select ord, round(l * cos(0.2451d) - t * sin(0.2451d), 6) as rx, round(l * sin(0.2451d) + t * cos(0.2451d), 6) as ry, round(sqrt(l * l + t * t), 6) as magnitude, round(l * r + t * b, 6) as dot, case when l = 0d and t = 0d then 0d else round(l / sqrt(l * l + t * t), 6) end as unit_x from img_rects")
 same("vec3_ops", "select ord, l + r as sx, t + b as sy, l - r as dx, round(sqrt((l - r) * (l - r) + (t - b) * (t - b) + 4d), 6) as distance, l + (r - l) * 0.25d as lerp_x, t + (b - t) * 0.25d as lerp_y, round(t * cos(0.5d) - l * sin(0.5d), 6) as rot_y from img_rects")
 same("mat2_ops", "select ord, l * b - t * r as det, case when l * b - t * r = 0d then null else round(b / (l * b - t * r), 9) end as inv00, l * l + t * r as sq00, l * t + t * b as sq01, r * l + b * r as sq10, r * t + b * b as sq11 from img_rects")
-_MATRIX = "select (vec_id ~/ 2) as m, vec_id % 2 as side, cast(x ~/ 2 as int) as i, cast(y ~/ 2 as int) as j, g from (select img as vec_id, x, y, g from img_pixels where x % 2 = 0 and y % 2 = 0) p"
-same("matmul_long", f"with e as ({_MATRIX}) select a.m, a.i, b.j, cast(sum(a.g * b.g) as bigint) as v from e a join e b on a.m = b.m and a.side = 0 and b.side = 1 and a.j = b.i group by a.m, a.i, b.j")
 same("screen_to_world", "select ord, (l - 100d) / 0.25d as x, (t - 50d) / 0.25d as y from img_rects")
-same("camera_zoom", "select ord, 0.25d * 1.5d as scale, l + (10d - l) * 1.5d as ox, t + (20d - t) * 1.5d as oy, round(l + 5d * cos(-0.3d) - 7d * sin(-0.3d), 6) as mx, round(t + 5d * sin(-0.3d) + 7d * cos(-0.3d), 6) as my from img_rects")
+
+
+def turned(x: str, y: str, degrees: float, width: float, height: float) -> tuple[str, str]:
+    """SQL: a point on a display turned back about the display's middle."""
+    c, s, mx, my = (f"{v!r}D" for v in (math.cos(-math.radians(degrees)), math.sin(-math.radians(degrees)), width / 2, height / 2))
+    return f"(({x}) - {mx}) * {c} - (({y}) - {my}) * {s} + {mx}", f"(({x}) - {mx}) * {s} + (({y}) - {my}) * {c} + {my}"
+
+
+def zoomed(views: DataFrame, factor: float, x: float, y: float, degrees: float, width: float, height: float) -> DataFrame:
+    """views(scale, ox, oy) after zooming by a factor about a point of a display that is turned by some degrees."""
+    px, py = turned(f"{x!r}D", f"{y!r}D", degrees, width, height)
+    return views.withColumns({"scale": F.expr(f"scale * {factor!r}D"), "ox": F.expr(f"{px} - ({px} - ox) * {factor!r}D"), "oy": F.expr(f"{py} - ({py} - oy) * {factor!r}D")})
+
+
+def moved(views: DataFrame, dx: float, dy: float, degrees: float) -> DataFrame:
+    """views(ox, oy) after moving by a way on a display that is turned by some degrees."""
+    x, y = turned(f"{dx!r}D", f"{dy!r}D", degrees, 0.0, 0.0)
+    return views.withColumns({"ox": F.expr(f"ox + ({x})"), "oy": F.expr(f"oy + ({y})")})
+
+
+@own(
+    "camera_zoom",
+    "with a as (select radians(-30d) as a), p as (select 400d + (10d - 400d) * cos(a) - (20d - 300d) * sin(a) as px, 300d + (10d - 400d) * sin(a) + (20d - 300d) * cos(a) as py, 5d * cos(a) + 7d * sin(a) as dx, 5d * sin(a) - 7d * cos(a) as dy from a) select ord, 0.375d as scale, round(px - (px - l) * 1.5d, 5) as ox, round(py - (py - t) * 1.5d, 5) as oy, round(l + dx, 5) as mx, round(t + dy, 5) as my from img_rects cross join p",
+)
+def camera_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = run(spark, sf_dir, "select ord, 0.25d as scale, l as ox, t as oy, l, t from img_rects")
+    zoom = zoomed(views, 1.5, 10.0, 20.0, 30.0, 800.0, 600.0).select("ord", "scale", "ox", "oy", "l", "t")
+    both = moved(zoom.withColumnsRenamed({"ox": "zx", "oy": "zy", "l": "ox", "t": "oy"}), 5.0, -7.0, 30.0)
+    return both.select("ord", "scale", F.round("zx", 5).alias("ox"), F.round("zy", 5).alias("oy"), F.round("ox", 5).alias("mx"), F.round("oy", 5).alias("my"))
+
+
 same("zoom_to_fit", "with r as (select min(l) as l, min(t) as t, max(r) as r, max(b) as b from img_rects), z as (select *, case when (r - l) / (b - t) > 800d / 600d then 800d / (r - l) else 600d / (b - t) end as zoom from r) select round(zoom, 9) as zoom, round(400d - (l + r) / 2d * zoom, 6) as ox, round(300d - (t + b) / 2d * zoom, 6) as oy from z")
-same("viewport_rotated", "select ord, (l + r) / 2d - d / 2d as l, (t + b) / 2d - d / 2d as t, (l + r) / 2d + d / 2d as r, (t + b) / 2d + d / 2d as b from (select ord, l, t, r, b, round(sqrt((r - l) * (r - l) + (b - t) * (b - t)), 6) as d from img_rects) q")
-same("tile_level", "select ord, cast(greatest(0d, least(10d, case when log2(1d / z) >= 0d then floor(log2(1d / z)) else ceil(log2(1d / z)) end)) as int) as level from (select ord, (ord + 1) / 700d as z from img_rects) q")
-same(
+
+
+def enlarged(views: DataFrame) -> DataFrame:
+    """views(l, t, r, b) so large that they hold their view however it is turned: the middle and the whole diagonal to each side."""
+    wide = views.withColumns({"_x": F.expr("(l + r) / 2"), "_y": F.expr("(t + b) / 2"), "_d": F.expr("round(sqrt((r - l) * (r - l) + (b - t) * (b - t)), 6)")})
+    return wide.withColumns({"l": F.expr("_x - _d"), "t": F.expr("_y - _d"), "r": F.expr("_x + _d"), "b": F.expr("_y + _d")}).drop("_x", "_y", "_d")
+
+
+@own("viewport_rotated", "with q as (select ord, [l + (r - l) / 2d, t + (b - t) / 2d] as middle, round(sqrt(pow(r - l, 2) + pow(b - t, 2)), 6) as far from img_rects) select ord, middle[1] - far as l, middle[2] - far as t, middle[1] + far as r, middle[2] + far as b from q")
+def viewport_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enlarged(fixture(spark, sf_dir, "img_rects").select("ord", "l", "t", "r", "b"))
+
+
+
+
+def level_for(zoom: str, most: str = "top") -> str:
+    """SQL: the level of tiles for a zoom; a whole number of halvings, not below 0 and not above the least level there is."""
+    return f"cast(greatest(0, least({most}, case when ln(1D / ({zoom})) >= 0 then floor(round(ln(1D / ({zoom})) / ln(2D), 9)) else ceil(round(ln(1D / ({zoom})) / ln(2D), 9)) end)) as int)"
+
+
+def tiles_in_view(images: DataFrame, zoom: float, left: float, top: float, right: float, bottom: float, size: int = 256) -> DataFrame:
+    """(fileid, scale, x, y) of the tiles that a view shows of images(fileid, width, height, l, t, r, b, image_scale, top): at the level that
+    the zoom asks for, those that the visible part of the image touches; the only one of an image that is smaller than a tile."""
+    seen = images.where(f"l < {right}D and r > {left}D and t < {bottom}D and b > {top}D").withColumn("scale", F.expr(level_for(f"{zoom!r}D * image_scale")))
+    sized = seen.withColumn("factor", F.expr("shiftleft(1L, scale)")).withColumn("single", F.expr(f"width div factor < {size} and height div factor < {size}"))
+    part = {n: f"cast(({clip}({c}, {v!r}D) - {o}) / image_scale as double)" for n, clip, c, v, o in (("x0", "greatest", "l", left, "l"), ("y0", "greatest", "t", top, "t"), ("x1", "least", "r", right, "l"), ("y1", "least", "b", bottom, "t"))}
+    tile = f"({size} * factor)"
+    ranged = sized.selectExpr(
+        "fileid", "scale",
+        *(f"case when single then 0 else cast(floor({part[n]} / {tile}) as bigint) end as {n}" for n in ("x0", "y0")),
+        *(f"case when single then 1 else (cast(floor({part[n]}) as bigint) + {tile} - 1) div {tile} end as {n}" for n in ("x1", "y1")),
+    )
+    grid = ranged.where("x1 > x0 and y1 > y0").withColumn("x", F.expr("explode(sequence(x0, x1 - 1))")).withColumn("y", F.expr("explode(sequence(y0, y1 - 1))"))
+    return grid.select("fileid", "scale", "x", "y")
+
+
+#: Images at a quarter of their size, with the least level of each.
+_PLACED = f"select f.fileid, f.width, f.height, r.l, r.t, r.r, r.b, 0.25d as image_scale, f.ts as top from (select *, {THUMBNAIL} as ts from img_files) f join img_rects r on r.fileid = f.fileid"
+_HALVINGS = "(case when width > height then width else height end)"
+
+
+@own("tile_level", f"with f as (select r.ord, f.width, f.height, (r.ord + 1) / 700d as z from img_rects r join img_files f on f.fileid = r.fileid), n as (select *, list_filter(range(0, 31), lambda k : {_HALVINGS} // (cast(1 as bigint) << k) <= 8)[1] as top, list_filter(range(1, 40), lambda k : 1d / z >= (cast(1 as bigint) << k)) as ks from f) select ord, cast(least(top, len(ks)) as int) as level from n")
+def tile_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zooms = run(spark, sf_dir, f"select r.ord, (r.ord + 1) / 700d as z, f.ts as top from img_rects r join (select fileid, {THUMBNAIL} as ts from img_files) f on f.fileid = r.fileid")
+    return zooms.select("ord", F.expr(level_for("z")).alias("level"))
+
+
+@own(
     "visible_tiles",
-    """with q as (select f.fileid, f.width, f.height, 1 as scale, greatest(0d, (0d - r.l) / 0.25d) as vl, greatest(0d, (0d - r.t) / 0.25d) as vt, least(f.width * 1d, (3200d - r.l) / 0.25d) as vr, least(f.height * 1d, (2400d - r.t) / 0.25d) as vb from img_files f join img_rects r on r.fileid = f.fileid where r.l < 3200d and r.r > 0d and r.t < 2400d and r.b > 0d),
-n as (select fileid, scale, cast(floor(vl / 512d) as bigint) as x0, cast(floor(vt / 512d) as bigint) as y0, cast(ceil(floor(vr) / 512d) as bigint) as x1, cast(ceil(floor(vb) / 512d) as bigint) as y1 from q),
-k as (select * from n where x1 > x0 and y1 > y0), x as (select *, [[x0 : x1 - 1]] as x from k), y as (select *, [[y0 : y1 - 1]] as y from x) select fileid, scale, cast(x as bigint) as x, cast(y as bigint) as y from y""",
+    f"""with p as (select f.fileid, f.width, f.height, r.l, r.t, r.r, r.b, least(3, list_filter(range(0, 31), lambda k : {_HALVINGS} // (cast(1 as bigint) << k) <= 8)[1]) as scale from img_files f join img_rects r on r.fileid = f.fileid where r.l < 3200 and r.r > 0 and r.t < 2400 and r.b > 0),
+q as (select *, 256 * (cast(1 as bigint) << scale) as size, width // (cast(1 as bigint) << scale) < 256 and height // (cast(1 as bigint) << scale) < 256 as single from p),
+g as (select q.*, unnest(range(0, 17)) as x from q), h as (select g.*, unnest(range(0, 17)) as y from g)
+select fileid, cast(scale as int) as scale, x, y from h where case when single then x = 0 and y = 0 else (x + 1) * size > greatest(0, -l) * 4 and (y + 1) * size > greatest(0, -t) * 4 and x * size < floor((least(r, 3200) - l) * 4) and y * size < floor((least(b, 2400) - t) * 4) end""",
 )
+def visible_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles_in_view(run(spark, sf_dir, _PLACED), 0.5, 0.0, 0.0, 3200.0, 2400.0)
+
+
 same("tile_vertices", "select fileid, least(width, 512) as right_edge, least(height, 512) as bottom_edge, greatest(0, width - 256) as left_over from img_files")
 _MISS = "(select distinct fileid, scale, x, y from img_requests where kind = 'request') q"
-same(
+
+
+def fallback_parents(missing: DataFrame, tiles: DataFrame) -> DataFrame:
+    """For missing(fileid, scale, x, y, top) the nearest ancestor that is there, up to fewer than ``top`` levels higher, and which part
+    of it shows the missing tile."""
+    probed = missing.where("top > 1").withColumn("up", F.expr("explode(sequence(1, top - 1))")).withColumn("factor", F.expr("shiftleft(1, up)"))
+    keys = {"ps": "scale + up", "px": "x div factor", "py": "y div factor"}
+    probed = probed.withColumns({n: F.expr(f"cast({e} as int)") for n, e in keys.items()})
+    first = tiles.groupBy("fileid", F.col("scale").alias("ps"), F.col("x").alias("px"), F.col("y").alias("py")).agg(F.min("rowid").alias("rowid"))
+    hits = probed.join(first, ["fileid", "ps", "px", "py"])
+    best = hits.groupBy("fileid", "scale", "x", "y").agg(F.expr("min(struct(up, rowid, x % factor as sub_x, y % factor as sub_y))").alias("m"))
+    return best.select("fileid", "scale", "x", "y", "m.up", "m.rowid", "m.sub_x", "m.sub_y")
+
+
+@own(
     "tile_fallback_parent",
-    f"with k as (select q.fileid, q.scale, q.x, q.y, [[1 : 6]] as k from {_MISS}), p as (select k.*, k.scale + cast(k as int) as ps, cast(k.x ~/ pow2(cast(k as int)) as int) as px, cast(k.y ~/ pow2(cast(k as int)) as int) as py from k), h as (select p.*, t.rowid from p join (select fileid, scale, x, y, min(rowid) as rowid from img_tiles group by fileid, scale, x, y) t on t.fileid = p.fileid and t.scale = p.ps and t.x = p.px and t.y = p.py) select fileid, scale, x, y, cast(min(k) as int) as up, min_by(rowid, k) as rowid, min_by(x % cast(pow2(cast(k as int)) as int), k) as sub_x, min_by(y % cast(pow2(cast(k as int)) as int), k) as sub_y from h group by fileid, scale, x, y",
+    f"""with q as (select q.*, list_filter(range(0, 31), lambda k : {_HALVINGS} // (cast(1 as bigint) << k) <= 8)[1] as top from {_MISS} join img_files f on f.fileid = q.fileid),
+t as (select fileid, scale, x, y, min(rowid) as rowid from img_tiles group by all),
+h as (select q.*, t.scale - q.scale as up, t.rowid, row_number() over (partition by q.fileid, q.scale, q.x, q.y order by t.scale) as n from q join t on t.fileid = q.fileid and t.scale > q.scale and t.scale - q.scale < q.top and t.x = q.x >> (t.scale - q.scale) and t.y = q.y >> (t.scale - q.scale))
+select fileid, scale, x, y, up, rowid, cast(x % (1 << up) as int) as sub_x, cast(y % (1 << up) as int) as sub_y from h where n = 1""",
 )
+def tile_fallback_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    missing = run(spark, sf_dir, f"select q.*, f.ts as top from {_MISS} join (select fileid, cast({THUMBNAIL} as int) as ts from img_files) f on f.fileid = q.fileid")
+    return fallback_parents(missing, fixture(spark, sf_dir, "img_tiles"))
+
+
 same("tile_fallback_children", f"select q.fileid, q.scale, q.x, q.y, cast(count(t.rowid) as bigint) as children from {_MISS} cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) as c(dx, dy) left join (select fileid, scale, x, y, min(rowid) as rowid from img_tiles group by fileid, scale, x, y) t on t.fileid = q.fileid and t.scale = q.scale - 1 and t.x = q.x * 2 + c.dx and t.y = q.y * 2 + c.dy group by q.fileid, q.scale, q.x, q.y")
 same("pick_image", "select max_by(fileid, ord) as fileid from img_rects where l <= 5000d and 5000d <= r and t <= 4000d and 4000d <= b")
-same("select_images", "select ord from img_rects where l < 8000d and 2000d < r and t < 8000d and 2000d < b union all select ord from img_rects where ord % 50 = 0 and not (l < 8000d and 2000d < r and t < 8000d and 2000d < b)")
-_SELECTED = "with s as (select ord from img_rects where ord % 5 = 0)"
-same("delete_selection", f"{_SELECTED} select i.* from img_rects i where not exists (select 1 from s where s.ord = i.ord)")
-same("isolate_selection", f"{_SELECTED} select i.* from img_rects i where exists (select 1 from s where s.ord = i.ord)")
-same("move_selection", f"{_SELECTED} select i.ord, i.l + case when s.ord is null then 0d else 40d end as l, i.t + case when s.ord is null then 0d else -25d end as t from img_rects i left join s on s.ord = i.ord")
-same("scale_selection", f"{_SELECTED}, c as (select avg((i.l + i.r) / 2d) as x, avg((i.t + i.b) / 2d) as y from img_rects i join s on s.ord = i.ord) select i.ord, round(c.x + ((i.l + i.r) / 2d - c.x) * 2d, 5) as x, round(c.y + ((i.t + i.b) / 2d - c.y) * 2d, 5) as y from img_rects i join s on s.ord = i.ord cross join c")
-same("resize_factor", "select ord, round(sqrt((l - 10d) * (l - 10d) + (t - 10d) * (t - 10d)) / greatest(1d, sqrt((r - 10d) * (r - 10d) + (b - 10d) * (b - 10d))), 6) as factor from img_rects")
-_LINES = "with n as (select c_custkey, (c_custkey * 37) % 400 as off, 64 as size, [[0 : 12]] as i from customer{}) select c_custkey, cast(i as int) as i, cast(off % size + i * size as bigint) as at from n where off % size + i * size < 800"
 
 
-@own("grid_lines", _LINES.format(" where c_custkey < 50"))
-def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every customer's grid; the SQL has those of ids below 50."""
-    return run(spark, sf_dir, _LINES.format(""))
+def inside(images: DataFrame, left: float, top: float, right: float, bottom: float) -> DataFrame:
+    """images(l, t, r, b) that a rectangle holds whole, borders included: what a rubber band selects, in place of what was selected."""
+    return images.where(f"l >= {left!r}D and r <= {right!r}D and t >= {top!r}D and b <= {bottom!r}D")
 
 
-same("animate_positions", "select ord, l + (r - l) * p as x, t + (b - t) * p as y, 1d + (2d - 1d) * p as scale from (select ord, l, t, r, b, least(1d, (ord % 10) * 0.125d) as p from img_rects) q")
-same("rescale_provider", "select fileid, round(0.25d * width / greatest(1, width ~/ 2), 9) as scale from img_files")
+@own("select_images", "select ord from img_rects where least(l, r) between 2000 and 8000 and greatest(l, r) between 2000 and 8000 and t between 2000 and 8000 and b between 2000 and 8000")
+def select_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inside(fixture(spark, sf_dir, "img_rects"), 2000.0, 2000.0, 8000.0, 8000.0).select("ord")
 
-# -- layouts: ordered images to places and scales ----------------------------------------------------------------------
-_ORDERED = "select fileid, width, height, row_number() over (order by fileid) - 1 as i, count(*) over () as n from img_files"
-same("layout_regular", f"with o as ({_ORDERED}), w as (select *, greatest(1, cast(floor(sqrt(4d * n / 3d)) as bigint)) as w from o) select fileid, case when (i ~/ w) % 2 = 0 then (i % w) * 1024d else (w - (i % w) - 1) * 1024d end as x, (i ~/ w) * 1024d as y, round(least(1000d / width, 1000d / height), 9) as scale from w")
-same("layout_vertical", "select fileid, 0d as x, coalesce(sum(height + 10) over (order by fileid rows between unbounded preceding and 1 preceding), 0) * 1d as y, 1d as scale from img_files")
-_RING = "cast(floor(sqrt((i - 1) / 4d)) as bigint)"
-same(
-    "layout_spiral",
-    f"""with o as ({_ORDERED}), q as (select fileid, width, height, i, case when i = 0 then 0 else {_RING} end as g from o), k as (select *, i - (4 * g * g + 1) as k from q),
-p as (select fileid, width, height, case when i = 0 then 1 when k < 2 * g then 2 - g + k when k < 4 * g + 1 then g + 1 when k < 6 * g + 2 then g - (k - 4 * g - 1) else -g end as x,
- case when i = 0 then 0 when k < 2 * g then -g when k < 4 * g + 1 then 1 - g + (k - 2 * g) when k < 6 * g + 2 then g + 1 else g - (k - 6 * g - 2) end as y from k)
-select fileid, x * 1024d as x, y * 1024d as y, round(least(1000d / width, 1000d / height), 9) as scale from p""",
-)
 
+_SELECTED = "with s as (select ord from img_rects where ord % 5 = 0)"
+same("delete_selection", f"{_SELECTED} select i.* from img_rects i where not exists (select 1 from s where s.ord = i.ord)")
+same("isolate_selection", f"{_SELECTED} select i.* from img_rects i where exists (select 1 from s where s.ord = i.ord)")
+same("move_selection", f"{_SELECTED} select i.ord, i.l + case when s.ord is null then 0d else 40d end as l, i.t + case when s.ord is null then 0d else -25d end as t from img_rects i left join s on s.ord = i.ord")
 
-@own("layout_random", None)
-def layout_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places in a square that grows with the root of the number of images, and scales from 0.25 to 1.25; reruns agree."""
-    files = fixture(spark, sf_dir, "img_files")
-    side = F.floor(F.sqrt(files.agg(F.count("*").alias("n")).first()["n"] * F.lit(1.0)) * 1500)
-    draw = lambda seed, most: F.pmod(F.xxhash64("fileid", F.lit(seed)), most)
-    return files.select("fileid", draw(1, side).alias("x"), draw(2, side).alias("y"), (draw(3, F.lit(1000)) / 1000.0 + 0.25).alias("scale"))
 
+def scaled_selection(selected: DataFrame, factor: float) -> DataFrame:
+    """selected(x, y, scale) made larger about their middle: places move away from it and each image grows."""
+    middle = selected.agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
+    both = selected.crossJoin(F.broadcast(middle))  # one row
+    return both.withColumns({"x": F.expr(f"_mx + (x - _mx) * {factor!r}D"), "y": F.expr(f"_my + (y - _my) * {factor!r}D"), "scale": F.expr(f"scale * {factor!r}D")}).drop("_mx", "_my")
 
-_ZIG = """with recursive o as (select fileid, cast(width as double) as w0, cast(height as double) as h0, cast(row_number() over (order by fileid) as bigint) as i from img_files), s as (select *, 1024d / h0 as scale, round(w0 * 1024d / h0, 6) as w from o), t as (select sum(w) as total, sqrt(sum(w) * 4d / 3d * 1024d) as width from s),
-z as (select i, fileid, w, scale, w / 2d as x, 512d as y, w as edge, 1 as way, 0 as line from s where i = 1 union all
-select s.i, s.fileid, s.w, s.scale, case when z.edge + s.w > t.width then case when z.way = 1 then t.width - s.w / 2d else s.w / 2d end when z.way = 1 then z.edge + s.w / 2d else t.width - z.edge - s.w / 2d end,
- (z.line + case when z.edge + s.w > t.width then 1 else 0 end) * 1024d + 512d, case when z.edge + s.w > t.width then s.w else z.edge + s.w end, case when z.edge + s.w > t.width then -z.way else z.way end, z.line + case when z.edge + s.w > t.width then 1 else 0 end from z join s on s.i = z.i + 1 cross join t)
-select fileid, round(x, 4) as x, y, round(scale, 9) as scale from z"""
 
+@own("scale_selection", "with s as (select ord, (l + r) / 2d as x, (t + b) / 2d as y from img_rects where ord % 5 = 0) select ord, round(2 * x - avg(x) over (), 5) as x, round(2 * y - avg(y) over (), 5) as y, 0.5d as scale from s")
+def scale_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = run(spark, sf_dir, "select ord, (l + r) / 2d as x, (t + b) / 2d as y, 0.25d as scale from img_rects where ord % 5 = 0")
+    return scaled_selection(selected, 2.0).select("ord", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "scale")
 
-@own("layout_zigzag", _ZIG)
-def layout_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zigzag(fixture(spark, sf_dir, "img_files").select("fileid", "width", "height"))
 
+same("resize_factor", "select ord, round(sqrt((l - 10d) * (l - 10d) + (t - 10d) * (t - 10d)) / greatest(1d, sqrt((r - 10d) * (r - 10d) + (b - 10d) * (b - 10d))), 6) as factor from img_rects")
+
+
+def lines_of_grids(grids: DataFrame, extent: int) -> DataFrame:
+    """grids(off, size) with the number and place of each line on a display of some extent."""
+    lines = grids.withColumn("i", F.expr(f"explode(sequence(0L, {extent} div size))"))
+    return lines.withColumn("at", F.expr("cast(off % size + i * size as bigint)")).where(f"at < {extent}")
 
-def zigzag(images: DataFrame, aspect: float = 4 / 3, height: float = 1024.0) -> DataFrame:
-    """Rows of equal height that alternate direction. A row ends where its width is used up, which is a fold over the order:
-    it goes through one task as Arrow batches, with the state of a row, so that it holds no list of images."""
-    import pandas as pd
 
-    sized = images.selectExpr("fileid", f"{height}D / height as scale", f"round(cast(width as double) * {height}D / cast(height as double), 6) as w")
-    total = sized.agg(F.sum("w").alias("s")).first()["s"] or 0.0
-    width = (total * aspect * height) ** 0.5
+@own("grid_lines", "with n as (select c_custkey, c_custkey * 37 % 400 % 64 as first from customer) select q.c_custkey, (q.at - q.first) // 64 as i, q.at from (select c_custkey, first, unnest(range(first, 800, 64)) as at from n) q")
+def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = run(spark, sf_dir, "select c_custkey, (c_custkey * 37) % 400 as off, 64 as size from customer")
+    return lines_of_grids(grids, 800).select("c_custkey", "i", "at")
 
-    def fold(frames):
-        edge, way, line = 0.0, 1, 0
-        for frame in frames:
-            xs, ys = [], []
-            for w in frame["w"]:
-                if edge and edge + w > width:
-                    edge, way, line = 0.0, -way, line + 1
-                xs.append(edge + w / 2 if way == 1 else width - edge - w / 2)
-                ys.append(line * height + height / 2)
-                edge += w
-            yield pd.DataFrame({"fileid": frame["fileid"], "x": pd.Series(xs, dtype=float).round(4), "y": pd.Series(ys, dtype=float), "scale": frame["scale"].round(9)})
 
-    return sized.orderBy("fileid").coalesce(1).mapInPandas(fold, "fileid long, x double, y double, scale double")
+same("animate_positions", "select ord, l + (r - l) * p as x, t + (b - t) * p as y, 1d + (2d - 1d) * p as scale from (select ord, l, t, r, b, least(1d, (ord % 10) * 0.125d) as p from img_rects) q")
+same("rescale_provider", "select fileid, round(0.25d * width / greatest(1, width ~/ 2), 9) as scale from img_files")

@@ -2,7 +2,8 @@
 
 A definition is SQL with a few marks: ``~/`` whole division, ``1.5d`` a double, ``pow2(n)``, ``rx(text, 'pattern')`` a search, and
 ``[[a : b]]`` in a select list for one row for each whole number from a to b. Relations ``img_*`` are the fixtures of FIXTURES.md
-and come in as common table expressions when a definition names them.
+and come in as common table expressions when a definition names them; a tile's rowid is put together from the columns that tell its
+rows apart, which orders them as a number would.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ FIXTURES = {
  cast(16 + (p_partkey * 37) % 4000 as int) as width, cast(16 + (p_partkey * 53) % 3000 as int) as height,
  cast(case p_partkey % 8 when 0 then 0 when 1 then 0 when 7 then 0 when 2 then 1 else -1 end as int) as format
 from part where p_partkey % 10 <> 9""",
-    "img_tiles": """select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as bigint) as rowid,
+    "img_tiles": """select cast((((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + cast(l_quantity as bigint) as bigint) as rowid,
  cast(l_partkey + 1 as bigint) as fileid, cast(l_linenumber - 1 as int) as scale, cast(cast(l_quantity as int) % 4 as int) as x, cast(l_suppkey % 4 as int) as y,
  cast(floor(l_extendedprice) as bigint) as nbytes, cast(0 as int) as quality, cast(case when l_returnflag = 'R' then 1 else 0 end as int) as format
 from lineitem""",

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import queries as scalar
-from tessera.operators import catalog, raster, spatial
+from tessera.operators import catalog, layouts, matrices, raster, spatial
 from tessera.streaming import requests
 
-FAMILIES = [catalog.FAMILY, scalar.FAMILY, spatial.FAMILY, raster.FAMILY, requests.FAMILY]
+FAMILIES = [catalog.FAMILY, scalar.FAMILY, spatial.FAMILY, layouts.FAMILY, matrices.FAMILY, raster.FAMILY, requests.FAMILY]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

@@ -1,19 +1,26 @@
 """Every query with SQL against DuckDB, and the folds and state machines against plain Python."""
 
 import functools
+import math
 import os
 import random
 import re
+import shutil
+import subprocess
+import sys
+import time
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import glob_to_regex, halvings, natural_key, normalize_path
-from tessera.operators import catalog, raster, spatial
+from tessera.operators import catalog, layouts, matrices, ordering, raster, spatial
 from tessera.plans.dialect import fixture, render
 from tessera.plans.registry import QUERIES, SQL
+from tessera.streaming import requests
 
 
 @pytest.fixture(scope="module")
@@ -46,8 +53,6 @@ def test_transform_all_takes_every_surface(spark, sf_dir, duck):
     want += Counter((p.img, f"{name}Flip", x, 7 - y, p.g) for p in pixels for name, turn in turns.items() for x, y in [turn(p.x, p.y)])
     found = Counter((r.img, r.name, r.x, r.y, r.g) for r in QUERIES["transform_all"](spark, sf_dir).select("img", "name", "x", "y", "g").collect())
     assert found == want
-    theirs = duck.execute(f"select img, name, x, y, g from ({SQL['transform_all']})").fetchall()
-    assert Counter(theirs) == Counter({k: c for k, c in found.items() if k[0] % 10 == 0})
 
 
 def test_nearest_patch_of_every_patch(spark, sf_dir, duck):
@@ -56,9 +61,6 @@ def test_nearest_patch_of_every_patch(spark, sf_dir, duck):
     want = {q.img: min((sum((x - y) ** 2 for x, y in zip(q[1:], t[1:])), -t.img) for t in rows) for q in rows}
     found = QUERIES["nearest_patch"](spark, sf_dir).collect()
     assert len(found) == len(rows) and {r.query: (r.dist, -r.tile) for r in found} == want
-    split = raster.nearest(patches.where("img % 10 = 3"), patches.where("img % 10 <> 3")).collect()
-    theirs = duck.execute(f"select query, tile, dist from ({SQL['nearest_patch']})").fetchall()
-    assert sorted((r.query, r.tile, r.dist) for r in split) == sorted(theirs)
 
 
 def test_grid_lines_of_every_customer(spark, sf_dir, duck):
@@ -66,8 +68,6 @@ def test_grid_lines_of_every_customer(spark, sf_dir, duck):
     want = Counter((c, i, at) for c in ids for i, at in enumerate(range(c * 37 % 400 % 64, 800, 64)))
     found = Counter((r.c_custkey, r.i, r.at) for r in QUERIES["grid_lines"](spark, sf_dir).collect())
     assert max(ids) >= 50 and found == want
-    theirs = duck.execute(f"select * from ({SQL['grid_lines']})").fetchall()
-    assert Counter(theirs) == Counter({k: c for k, c in found.items() if k[0] < 50})
 
 
 def test_entry(spark):
@@ -77,6 +77,19 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_without_text_operators(tmp_path):
+    """The tree without both folders, with and without the pipeline's file, still gives the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ignore = shutil.ignore_patterns("llm", ".git", "__pycache__", ".pytest_cache")
+    shutil.copytree(root, tmp_path / "tree", ignore=ignore)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith(('op', 'pipeline')) for n in e.queries()))"
+    for name in ("corpus_pipeline.py", None):
+        found = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "tree", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=True)
+        assert found.stdout.split() == [str(len(QUERIES)), str(len(SQL)), "False"]
+        if name and (tmp_path / "tree" / name).exists():
+            (tmp_path / "tree" / name).unlink()
+
+
 def natural_less(a, b):
     """The natural comparison by hand: runs of digits compare by length, then as text."""
     split = lambda s: re.findall(r"[0-9]+|[^0-9]+", s)
@@ -93,8 +106,7 @@ def test_natural_order(spark):
     random.seed(3)
     texts = sorted({"".join(random.choice("ab19_") for _ in range(random.randint(1, 7))) for _ in range(300)})
     rows = spark.createDataFrame([(t,) for t in texts], "t string").orderBy(natural_key(F.col("t")), "t").collect()
-    digits_first = [t for t in texts if t[0].isdigit()]
-    assert [r.t for r in rows if r.t in set(digits_first)] == sorted(digits_first, key=functools.cmp_to_key(natural_less))
+    assert [r.t for r in rows] == sorted(texts, key=functools.cmp_to_key(natural_less))
 
 
 def test_paths(spark):
@@ -119,11 +131,139 @@ def test_thumbnail_scale(spark):
     assert all(r.k == by_hand(r.id) for r in rows)
 
 
-def test_spiral_visits_each_place_once(spark, sf_dir):
-    rows = QUERIES["layout_spiral"](spark, sf_dir).select("x", "y").collect()
-    assert len(set(rows)) == len(rows)
-    places = [(0, 0)]
-    assert all(r.x % 1024 == 0 and r.y % 1024 == 0 for r in rows) and places
+def images(spark, n, seed=1):
+    random.seed(seed)
+    rows = [(k * 3 + 1, random.randint(1, 3000), random.randint(1, 3000)) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "fileid long, width int, height int")
+
+
+def test_spiral_is_a_walk(spark):
+    """No place twice, ring after ring, and each place beside the one before."""
+    rows, frame = images(spark, 300)
+    found = {r.fileid: (int(r.x // 1024), int(r.y // 1024)) for r in layouts.spiral(frame).collect()}
+    order = [found[r[0]] for r in rows]
+    assert len(set(order)) == len(order) and order[0] == (1, 0)
+    # ring g has 8 g + 4 cells, all at a distance of g or g + 1
+    for g in range(1, 7):
+        ring = order[4 * g * g + 1 : 4 * (g + 1) ** 2 + 1]
+        assert all(max(abs(a), abs(b)) in (g, g + 1) for a, b in ring)
+    assert all(abs(a - c) + abs(b - d) == 1 for (a, b), (c, d) in zip(order[1:], order[2:]))
+
+
+def plain_tight(rows, aspect=4 / 3):
+    """The fold by hand, in plain numbers."""
+    total = sum(round(w * 1024 / h, 6) for _, w, h in rows)
+    border = math.sqrt(total * aspect * 1024)
+    x = y = last = 0.0
+    right, out = True, {}
+    for fileid, w, h in rows:
+        wide = w * 1000 / h
+        if right:
+            if x + wide > border:
+                x, y, right = last, y + 1024, False
+                place, last = (x, y), x
+            else:
+                place, last = (x, y), x
+                x += wide + 24
+        elif x - wide < 0:
+            y, right = y + 1024, True
+            place, last = (x, y), x
+            x += wide + 24
+        else:
+            x -= wide + 24
+            place, last = (x, y), x
+        out[fileid] = (place[0] + wide / 2, place[1] + 500, 1000 / h)
+    return out
+
+
+def test_tight_layout(spark):
+    rows, frame = images(spark, 400, 7)
+    want = plain_tight(rows)
+    found = {r.fileid: (r.x, r.y, r.scale) for r in layouts.tight(frame).collect()}
+    assert found.keys() == want.keys() and len({p[1] for p in found.values()}) > 5
+    assert all(abs(a - b) < 1e-3 for k in want for a, b in zip(found[k], want[k]))
+
+
+@pytest.mark.parametrize("name", sorted(layouts.LAYOUTS))
+def test_layouts_of_no_and_one_image(spark, name):
+    for n in (0, 1):
+        assert layouts.LAYOUTS[name](images(spark, n)[1]).count() == n
+
+
+def test_running_sums(spark):
+    random.seed(2)
+    rows = [(f"k{random.random()}", random.randint(0, 9)) for _ in range(2000)]
+    frame = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    found = {r.k: (r.n, r.s) for r in ordering.running(frame, "k", {"n": F.lit(1), "s": F.col("v")}, ranges=9).collect()}
+    total, want = 0, {}
+    for i, (k, v) in enumerate(sorted(rows)):
+        total += v
+        want[k] = (i + 1, total)
+    assert found == want
+    assert ordering.numbered(frame.where("false"), "k", "n").count() == 0
+
+
+def test_matrices(spark):
+    random.seed(3)
+    for n in (2, 3, 4):
+        rows = [(k, [random.uniform(-2, 2) + 3 * (i % (n + 1) == 0) for i in range(n * n)]) for k in range(20)] + [(99, [1.0] * n * n)]
+        for r in matrices.with_inverses(spark.createDataFrame(rows, "k long, m array<double>"), "m", n).collect():
+            m = np.array(r.m).reshape(n, n)
+            assert abs(r.det - np.linalg.det(m)) < 1e-6 and (np.array(r.transposed).reshape(n, n) == m.T).all()
+            assert r.inverse is None if r.k == 99 else np.allclose(np.array(r.inverse).reshape(n, n) @ m, np.eye(n))
+
+
+def test_cache_state_machine(spark):
+    """The closed form against the cache's own steps, one event after the other."""
+    random.seed(4)
+    rows = [(i, 1, random.randint(0, 3), random.randint(0, 2), 0, random.choice(["request", "arrive", "abort", "request", "abort"])) for i in range(60)]
+    cache = {}
+    for _, f, s, x, y, kind in rows:
+        key = (f, s, x, y)
+        if kind == "request":
+            cache.setdefault(key, "REQUESTED")
+        elif kind == "arrive":
+            cache[key] = "SUCCEEDED"
+        elif cache.get(key) == "REQUESTED":
+            del cache[key]
+    events = spark.createDataFrame(rows, "req_id long, fileid long, scale int, x int, y int, kind string")
+    found = requests.cached_tiles(events)
+    assert {(r.fileid, r.scale, r.x, r.y): r.status for r in found.collect()} == cache
+    kept = {(r.fileid, r.scale, r.x, r.y) for r in requests.after_cleanup(found, 2).collect()}
+    assert kept == {k for k, v in cache.items() if v == "SUCCEEDED" and k[1] >= 2}
+    gone = {(r.fileid, r.scale, r.x, r.y) for r in requests.with_cancelled(found, 1, 0, 0, 2, 1).where("cancelled").collect()}
+    assert gone == {k for k, v in cache.items() if v == "REQUESTED" and not (k[1] == 1 and k[2] in (0, 1) and k[3] == 0)}
+
+
+def test_on_demand_ranges(spark):
+    files = [(1, True, 6), (2, False, 6), (3, True, 5), (4, True, 7), (5, True, 4)]
+    stored = [(1, 4, 6), (3, 0, 5), (4, 3, 5), (5, 2, 4)]
+    asked = [(1, 2), (1, 3), (2, 5), (3, 6), (4, 6), (4, 1), (5, 3)]
+    frames = (spark.createDataFrame(files, "fileid long, jpeg boolean, ts int"), spark.createDataFrame(stored, "fileid long, lo int, hi int"), spark.createDataFrame(asked, "fileid long, scale int"))
+    found = {r.fileid: (r.min_scale, r.max_scale) for r in raster.on_demand_ranges(*frames).collect()}
+    assert found == {1: (2, 3), 2: (0, 6), 3: (0, 5), 4: (1, 2)}
+
+
+def test_ancestors_up_to_the_top(spark):
+    """Nine levels up, which is within ten levels and not within nine."""
+    missing = spark.createDataFrame([(1, 0, 700, 300, 10), (2, 0, 700, 300, 9)], "fileid long, scale int, x int, y int, top int")
+    tiles = spark.createDataFrame([(5, 1, 9, 1, 0), (6, 2, 9, 1, 0)], "rowid long, fileid long, scale int, x int, y int")
+    assert [tuple(r) for r in spatial.fallback_parents(missing, tiles).collect()] == [(1, 0, 700, 300, 9, 5, 700 % 512, 300)]
+
+
+def test_single_tile_of_small_images(spark):
+    row = lambda i, w, h, scale: (i, w, h, 0.0, 0.0, w * scale, h * scale, scale, 9)
+    frame = spark.createDataFrame([row(1, 1000, 800, 1.0), row(2, 2000, 100, 1.0), row(3, 100, 100, 0.1)], "fileid long, width int, height int, l double, t double, r double, b double, image_scale double, top int")
+    found = Counter(tuple(r) for r in spatial.tiles_in_view(frame, 0.25, 0.0, 0.0, 1500.0, 5000.0).collect())
+    assert found == Counter([(1, 2, 0, 0), (2, 2, 0, 0), (2, 2, 1, 0), (3, 5, 0, 0)])
+
+
+def test_candidates_list_archives(spark):
+    from tessera.functions.queries import candidates
+
+    scanned = spark.createDataFrame([("file:///a/x.cbz",), ("file:///a/b.JPG",), ("file:///a/n.txt",), ("file:///a/s.workspace",), ("builtin://mandelbrot",)], "url string")
+    members = spark.createDataFrame([("file:///a/x.cbz", "zip", "p/1.png"), ("file:///a/x.cbz", "zip", "p/r.txt")], "archive string, loader string, member string")
+    assert sorted(r.url for r in candidates(scanned, members).collect()) == ["builtin://mandelbrot", "file:///a/b.JPG", "file:///a/s.workspace", "file:///a/x.cbz//zip:p/1.png"]
 
 
 def test_grid_join_equals_all_pairs(spark):
@@ -157,6 +297,21 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     stream = request_stream(spark, str(tmp_path / "in"), "req_id long, fileid long, scale int, x int, y int, kind string", stored, str(tmp_path / "out"), str(tmp_path / "ckpt"))
     stream.awaitTermination(120)
     assert stream.exception() is None
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    got = spark.read.parquet(str(tmp_path / "out/answers")).drop("batch")
     want = answer_batch(requests, stored)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_keeps_arrivals(spark, tmp_path):
+    """A tile that arrives in one batch answers the requests of later ones."""
+    schema = "req_id long, fileid long, scale int, x int, y int, kind string"
+    batches = [[(1, 1, 0, 0, 0, "arrive"), (2, 2, 0, 0, 0, "request")], [(3, 1, 0, 0, 0, "request"), (4, 2, 0, 0, 0, "arrive")], [(5, 2, 0, 0, 0, "request"), (6, 3, 0, 0, 0, "request")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are read in the order of their times
+    stored = spark.createDataFrame([], "fileid long, scale int, x int, y int")
+    stream = requests.request_stream(spark, str(tmp_path / "in"), schema, stored, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    stream.awaitTermination(120)
+    assert stream.exception() is None
+    got = {r.req_id: (r.batch, r.answered) for r in spark.read.parquet(str(tmp_path / "out/answers")).collect()}
+    assert got == {2: (0, False), 3: (1, True), 5: (2, True), 6: (2, False)}
