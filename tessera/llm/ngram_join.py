@@ -5,23 +5,30 @@ documents link if the intersection is at least 75 hundredths of the union. The j
 for a link, and every candidate pair is verified on the sets.
 
 1. Equal sets are one node: the smallest doc_id stands for them.
-2. Pruning by extended prefixes. With k(n) = max(1, n/20), the first n - ceil(0.75 n) + k(n) tokens in the order of their hashes
+2. Pruning by extended prefixes. With k(n) = max(1, n / 20), the first n - ceil(0.75 n) + k(n) tokens in the order of their hashes
    of two linked sets have k of the smaller set in common. A document of whose prefix fewer than k(ceil(0.75 n)) tokens are in
-   any other document's has no partner. Tokens travel by hash in packed blobs to be counted.
-3. For the rest, the number of documents is counted for all of their tokens. With tokens ordered by that number, those of one
-   document alone come first; with u of them, only the next n - ceil(0.75 n) + k - u tokens are indexed, so a shared passage makes
-   no candidates of documents that have enough words of their own.
-4. The index. Tokens of at most ``rare`` documents are indexed by themselves. Frequent tokens are indexed by combinations of two:
-   a pair whose prefixes share no rare token shares k frequent ones there; these are dealt by hash to k - 1 classes, so two of
-   them meet in one class. k follows the power of two at or below the smaller set's size; a set is also indexed as of the next
-   lower power if a partner may be that small. (With k = 1, which small sets have, frequent tokens stand alone.)
-5. Candidates without all pairs of a block. Only classes of linked documents are asked for, so a block is first compared with one
-   pivot, in a linear number of pairs; documents found connected need no further comparison. Some rounds with other pivots
-   follow on blocks that still hold several classes, and at last all pairs between different classes of a block.
-   A pair of n and m tokens needs an overlap of 3/7 (n + m), so both must have as many tokens that other sets have. Two sets
-   that meet by a combination have all of their rare tokens in the prefix, and if they share one they meet by it; so for them
-   the frequent tokens alone must be as many. Copies with many changes of their own drop out before they meet.
-6. Pairs meet their sets by joins; links go to connected components. No group is collected anywhere.
+   any other document's has no partner. Tokens travel by hash in packed blobs to be counted, those that several documents of a
+   batch have once.
+3. For the rest, the number of documents is counted for all of their tokens. Tokens that a document has alone come first in its
+   order, then rare ones, then frequent ones; a set with more than n - ceil(0.75 n) of its own has no partner. So a shared passage
+   makes no candidates of documents that have enough words of their own.
+4. The index. Of two linked sets the first n - ceil(0.75 n) + k tokens share k. Tokens of at most ``rare`` documents are indexed by
+   themselves, as far as k = 1 asks for: if the prefixes share a rare token at all, they share one there. Frequent tokens are indexed
+   by combinations of two, with k = n / 4: two sets that share no rare token share k frequent ones; these are dealt by hash to
+   k - 1 classes, so two of them meet in one class. k follows the power of two at or below the smaller set's size; a set is also
+   indexed as of the next lower power if a partner may be that small. (With k = 1, frequent tokens stand alone.)
+5. Candidates without all pairs of a block. Only classes of linked documents are asked for, so a block is compared with one
+   pivot at a time, in a linear number of pairs. The pivot is the set with the smallest share of tokens of its own: a clean copy,
+   to which the other copies link. A pivot that was compared with all of its block leaves it; blocks of one class are told.
+6. Bounds on pairs. A pair of n and m tokens needs an overlap of 3/7 (n + m), so both must have as many tokens that other sets
+   have; sets too poor in them for the smallest set of a block leave it. Two sets that meet by a combination have all of their rare
+   tokens in the prefix, and if they share one they meet by it; so for them the frequent tokens alone must be as many. The sets
+   may differ in (n + m) / 7 tokens at most, and the parities of tokens over 1024 bits differ in no more places than the sets do.
+7. Where all but ``small`` sets of a block are in its pivot's class, these few are compared with the block under the same bounds.
+   Other blocks get some further pivots; then their sets are indexed anew among themselves, by combinations of one token more out
+   of longer prefixes: with k shared tokens in (k - 1) // (c - 1) classes, c of them meet in one. Tokens that only settled sets
+   have no longer count. Blocks still open when combinations have ``LONGEST`` tokens are cut into tiles of ``small`` sets.
+8. Pairs meet their sets by joins; links go to connected components. No group is collected anywhere.
 
 Null and empty texts have empty sets and are linked with nothing. Repeated rows with one doc_id give one row each; a null
 doc_id is its own class (null). Tokens are 64-bit hashes, and sets are compared by 48 bits of them.
@@ -29,6 +36,7 @@ doc_id is its own class (null). Tokens are 64-bit hashes, and sets are compared
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +49,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, documents, drop_scratch, free_shuffles, materialize, mix, parallelism, slices, spans
 from .components import connected_components
 
-SHINGLE, RARE, FILTER_BITS, ROUNDS = 5, 24, 1 << 25, 3
+SHINGLE, RARE, FILTER_BITS, ROUNDS, SMALL, LONGEST = 5, 24, 1 << 25, 3, 256, 4
+_SIGNATURE = [f"g{k}" for k in range(16)]
 
 
 def alpha(n: np.ndarray) -> np.ndarray:
@@ -49,8 +58,9 @@ def alpha(n: np.ndarray) -> np.ndarray:
     return (3 * n + 3) // 4
 
 
-def extra(n: np.ndarray) -> np.ndarray:
-    return np.maximum(1, n // 20)
+def extra(n: np.ndarray, size: int = 1) -> np.ndarray:
+    """k(n): how many tokens of the smaller set a pair has in common in extended prefixes, for combinations of ``size`` tokens."""
+    return np.maximum(1, n // {1: 20, 2: 4}.get(size, 2))
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,72 +184,125 @@ def _bit_filter(nodes: DataFrame) -> np.ndarray:
     return out
 
 
+def _credits(doc: np.ndarray) -> bytes:
+    """Documents and how often they occur."""
+    ids, times = np.unique(doc, return_counts=True)
+    return _pack(np.diff(ids, prepend=0).astype("<i8"), times.astype("<u4"))
+
+
 def candidate_documents(docs: DataFrame, shards: int) -> DataFrame:
-    """doc ids that share k(n) tokens of their extended prefix with other documents."""
+    """doc ids that share k(n) tokens of their extended prefix with other documents.
+
+    A token that several documents of one sending batch have is told to these at once, and travels as one entry. So a token in
+    a third of all documents makes one entry for each batch, not for each document.
+    """
     spark = docs.sparkSession
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Dealer(shards)
+    def deal(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+        parts, held, turn = [], 0, int.from_bytes(os.urandom(2), "little")
+
+        def flush() -> pa.RecordBatch:
+            doc, token, df = _document_frequencies(*(np.concatenate(x) for x in zip(*parts)))
+            parts.clear()
+            first = np.append(True, token[1:] != token[:-1])
+            rows = [(-1 - turn % shards, _credits(doc[df > 1]))] if (df > 1).any() else []  # negative shards hold what is told already
+            doc, token, several = doc[first], token[first], df[first] > 1
+            shard = (mix(token) % U64(shards)).astype(np.int64)
+            # 32 further bits do: tokens that fall together only keep a document in
+            short = (mix(token ^ U64(0x5851F42D4C957F2D)) >> U64(32)).astype("<u4")
+            order = np.lexsort((doc, shard))
+            shard, short, doc, several = shard[order], short[order], doc[order], several[order]
+            cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(shard))):
+                rows.append((int(shard[a]), _pack(np.diff(doc[a:b], prepend=0).astype("<i8"), short[a:b], several[a:b].astype("<u1"))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
+
         for batch in slices(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             doc, token, n = shingle_sets(Words(batch.column("text"), lower=True))
             prefix = _rank_in_group(doc) < (n - alpha(n) + extra(n))[doc]  # tokens are in the order of their hashes
-            doc, token = doc[prefix], token[prefix]
-            shard = (mix(token) % U64(shards)).astype(np.int64)
-            # 32 further bits do: tokens that fall together only keep a document in
-            yield from out.add(shard, (mix(token ^ U64(0x5851F42D4C957F2D)) >> U64(32)).astype("<u4"), ids[doc])
-        yield from out.flush()
+            if prefix.any():
+                parts.append((ids[doc[prefix]], token[prefix]))
+                held += len(parts[-1][0])
+            if held >= most:
+                yield flush()
+                held, turn = 0, turn + 1
+        if parts:
+            yield flush()
+
+    homes = parallelism(spark)
+
+    def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        opened = [_unpack(b) for b in frame["blob"]]
+        doc = np.concatenate([np.cumsum(o[0]) for o in opened])
+        if key[0] < 0:
+            doc = np.repeat(doc, np.concatenate([o[1] for o in opened]))
+        else:
+            token, several = np.concatenate([o[1] for o in opened]), np.concatenate([o[2] for o in opened]) > 0
+            order = np.lexsort((doc, token))
+            doc, token, several = doc[order], token[order], several[order]
+            cuts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            sizes = np.diff(np.append(cuts, len(token)))
+            met = np.maximum.reduceat(several, cuts) | (doc[cuts] != doc[cuts + sizes - 1])
+            doc = doc[np.repeat(met, sizes) & ~several]
+        home = (mix(doc.view(U64)) % U64(homes)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        home, doc = home[order], doc[order]
+        cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1])) if len(home) else np.zeros(0, np.int64)
+        return pd.DataFrame({"home": home[cuts], "blob": [_credits(part) for part in np.split(doc, cuts[1:])] if len(cuts) else []})
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        doc, _, df = _document_frequencies(*_undeal(frame["blob"].tolist()))
-        ids, times = np.unique(doc[df > 1], return_counts=True)
-        return pd.DataFrame({"doc_id": ids, "shared": times})
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        opened = [_unpack(b) for b in frame["blob"]]
+        ids, place = np.unique(np.concatenate([np.cumsum(o[0]) for o in opened]), return_inverse=True)
+        times = np.bincount(place, np.concatenate([o[1] for o in opened]))
+        return pd.DataFrame({"doc_id": ids, "shared": times.astype(np.int64)})
 
-    dealt = docs.mapInArrow(deal, "shard long, blob binary").repartition(parallelism(spark), "shard")
-    return dealt.groupBy("shard").applyInPandas(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    dealt = docs.mapInArrow(deal, "shard long, blob binary").repartition(homes, "shard")
+    counted = dealt.groupBy("shard").applyInPandas(count, "home long, blob binary")
+    return counted.groupBy("home").applyInPandas(total, "doc_id long, shared long")
 
 
-def _classes(n: int) -> list[tuple[int, int]]:
+def _classes(n: int, size: int) -> list[tuple[int, int]]:
     """(power, k) of the sizes that the smaller set of a pair with a set of n tokens can have."""
     top = n.bit_length() - 1
     low = int(alpha(np.int64(n))).bit_length() - 1
-    return [(b, int(extra(np.int64(1 << b)))) for b in range(low, top + 1)]
+    return [(b, int(extra(np.int64(1 << b), size))) for b in range(low, top + 1)]
+
+
+def _combinations(group: np.ndarray, token: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all combinations of ``size`` tokens of one group; the tokens are sorted by group and hash."""
+    ends, last, key = np.searchsorted(group, group, side="right"), np.arange(len(token)), mix(token)
+    for _ in range(size - 1):
+        times = ends[last] - last - 1
+        after = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - last - 1, times)
+        key = mix(np.repeat(key, times) + token[after])
+        last = after
+    return key
 
 
-def index_keys(n: int, token: np.ndarray, df: np.ndarray, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of a set's rare tokens and those of its frequent ones. token: those that other sets have, by number of sets
-    and then hash. Frequent tokens have no keys if they are too few for the least overlap with the smallest partner."""
-    alone = n - len(token)
+def index_keys(n: int, token: np.ndarray, df: np.ndarray, rare: int = RARE, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a set's rare tokens and those of its frequent ones, in combinations of ``size``. token: those that other sets
+    have, by number of sets and then hash. Frequent tokens have no keys if they are too few for the least overlap with the
+    smallest partner."""
     least = int(alpha(np.int64(n)))
-    spare = n - least - alone
+    spare = len(token) - least
     none = np.zeros(0, dtype=U64)
-    if spare + int(extra(np.int64(n))) <= 0:
+    if spare < 0:
         return none, none
-    singles, pairs = [none], [none]
-    enough = 7 * int((df > rare).sum()) >= 3 * (n + least)
-    for b, k in _classes(n):
-        head = token[: max(0, spare + k)]
-        some = df[: len(head)] > rare
-        singles.append(head[~some])
-        often = head[some]
-        if not enough:
-            continue
+    often, pairs = df > rare, [none]
+    # the first token that both have in prefixes one longer than the spare is rare if any token that they share there is
+    singles = token[: spare + 1][~often[: spare + 1]]
+    for b, k in _classes(n, size) if 7 * int(often.sum()) >= 3 * (n + least) else []:
+        head = token[: spare + k][often[: spare + k]]
         salt = mix(np.array([b + 1], dtype=U64))[0]
-        if k < 2:
-            pairs.append(mix(often ^ salt))
-            continue
-        group = (mix(often + salt) % U64(k - 1)).astype(np.int64)
-        order = np.lexsort((often, group))
-        group, often = group[order], often[order]
-        ends = np.searchsorted(group, group, side="right")
-        times = ends - np.arange(len(often)) - 1
-        first = np.repeat(np.arange(len(often)), times)
-        second = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + first + 1
-        pairs.append(mix(mix(often[first] ^ salt) + often[second]))
-    return np.unique(np.concatenate(singles)), np.unique(np.concatenate(pairs))
-
-
-def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
+        c = min(k, size)
+        group = (mix(head + salt) % U64((k - 1) // (c - 1) if c > 1 else 1)).astype(np.int64)
+        order = np.lexsort((head, group))
+        pairs.append(_combinations(group[order], head[order] ^ salt, c))
+    return singles, np.unique(np.concatenate(pairs))
+
+
+def block_index(sets: DataFrame, shards: int, rare: int = RARE, size: int = 2) -> DataFrame:
     """(key, node, n, s) of all index keys, from sets(node, n, tokens); s bounds the tokens that two sets
     with this key have in common: for a rare token those that other sets have, for a combination the frequent ones."""
     spark = sets.sparkSession
@@ -271,16 +334,16 @@ def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
         order = np.lexsort((token, df, doc))
         doc, token, df = doc[order], token[order], df[order]
         cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        size = dict(zip(own["node"].tolist(), own["n"].tolist()))
+        sizes = dict(zip(own["node"].tolist(), own["n"].tolist()))
         found, nodes, common = [], [], []
         for a, b in zip(cuts, np.append(cuts[1:], len(doc))):
             node = int(doc[a])
-            both = index_keys(size[node], token[a:b], df[a:b], rare)
+            both = index_keys(sizes[node], token[a:b], df[a:b], rare, size)
             found += both
             nodes += [node, node]
             common += [b - a, int((df[a:b] > rare).sum())]
         times = [len(f) for f in found]
-        return pd.DataFrame({"key": np.concatenate(found).view(np.int64), "node": np.repeat(nodes, times), "n": np.repeat([size[x] for x in nodes], times), "s": np.repeat(common, times)})
+        return pd.DataFrame({"key": np.concatenate(found).view(np.int64), "node": np.repeat(nodes, times), "n": np.repeat([sizes[x] for x in nodes], times), "s": np.repeat(common, times)})
 
     parts = parallelism(spark)
     counted = sets.mapInArrow(deal, "shard long, blob binary").repartition(parts, "shard").groupBy("shard").applyInPandas(count, "home long, blob binary")
@@ -291,8 +354,8 @@ def block_index(sets: DataFrame, shards: int, rare: int = RARE) -> DataFrame:
             home = (mix(ids.view(U64)) % U64(shards)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), batch.column("node"), batch.column("n")], ["home", "node", "n"])
 
-    sizes = sets.select("node", "n").mapInArrow(homes, "home long, node long, n long")
-    return counted.groupBy("home").cogroup(sizes.groupBy("home")).applyInPandas(keys, "key long, node long, n long, s long")
+    known = sets.select("node", "n").mapInArrow(homes, "home long, node long, n long")
+    return counted.groupBy("home").cogroup(known.groupBy("home")).applyInPandas(keys, "key long, node long, n long, s long")
 
 
 def _fits(n: str, s: str, m: str, t: str) -> str:
@@ -300,6 +363,18 @@ def _fits(n: str, s: str, m: str, t: str) -> str:
     return f"4 * least({n}, {m}) >= 3 * greatest({n}, {m}) and 7 * least({s}, {t}) >= 3 * ({n} + {m})"
 
 
+def _differ(n: str, m: str, left: str, right: str) -> str:
+    """The parities of two sets differ in as many places as the sets of a link can, at most."""
+    return f"7 * ({' + '.join(f'bit_count({left}{g} ^ {right}{g})' for g in _SIGNATURE)}) <= {n} + {m}"
+
+
+def _parities(doc: np.ndarray, token: np.ndarray, rows: int) -> list[pa.Array]:
+    """For each document the parity of its tokens at each of 1024 bits, in long columns."""
+    odd = np.bincount(doc * 1024 + (token >> U64(54)).astype(np.int64), minlength=1024 * rows) & 1
+    words = np.packbits(odd.astype(np.uint8).reshape(rows, 1024), axis=1, bitorder="little").view("<i8")
+    return [pa.array(np.ascontiguousarray(words[:, k]), pa.int64()) for k in range(len(_SIGNATURE))]
+
+
 def verify(pairs: DataFrame, sets: DataFrame, share: int = 75) -> DataFrame:
     """Those of pairs(a, b) whose sets have 100 * intersection >= share * union."""
 
@@ -329,7 +404,7 @@ def _tokens48(raw: bytes) -> np.ndarray:
 
 
 def candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(node, n, tokens, short) of the documents that the bit table lets pass; short has 48 bits of each token."""
+    """(node, n, tokens, short, and the parities) of the documents that the bit table lets pass; short has 48 bits of each token."""
     table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,21 +414,124 @@ def candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             batch = batch.filter(pa.array((held[place >> 3] >> (place & 7) & 1).astype(bool)))
             if not batch.num_rows:
                 continue
-            _, token, n = shingle_sets(Words(batch.column("text"), lower=True))
+            doc, token, n = shingle_sets(Words(batch.column("text"), lower=True))
             edge = np.concatenate([[0], np.cumsum(n)])
             eight = token.astype("<u8").view(np.uint8).reshape(-1, 8)
             full, short = eight.tobytes(), np.ascontiguousarray(eight[:, :6]).tobytes()
             cut = lambda raw, w: pa.array([raw[w * a : w * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary())
-            whole = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), cut(full, 8), cut(short, 6)], ["node", "n", "tokens", "short"])
+            whole = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), cut(full, 8), cut(short, 6), *_parities(doc, token, batch.num_rows)], ["node", "n", "tokens", "short", *_SIGNATURE])
             yield whole.filter(pa.array(n > 0))
 
     marked = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    return marked.mapInArrow(sets, "node long, n long, tokens binary, short binary")
+    return marked.mapInArrow(sets, "node long, n long, tokens binary, short binary" + "".join(f", {g} long" for g in _SIGNATURE))
+
+
+class _Links:
+    """The links found so far, their classes, and the pairs that were compared."""
+
+    def __init__(self, sets: DataFrame) -> None:
+        self.sets, self.tried, self.found, self.scratch = sets, None, None, []
+        self.classes = sets.sparkSession.createDataFrame([], "node long, component long")
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df in a scratch table that goes with the others when the classes are told."""
+        self.scratch.append(materialize(df))
+        return self.scratch[-1]
+
+    def signed(self, rows: DataFrame) -> DataFrame:
+        """rows with the parities of their node."""
+        return rows.join(self.sets.select("node", *_SIGNATURE), "node")
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify pairs(a, b), a < b, that were not compared before."""
+        pairs = pairs.distinct()
+        new = self.keep(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return
+        links = self.keep(verify(new, self.sets))
+        self.tried = new if self.tried is None else self.tried.union(new)
+        if not links.isEmpty():
+            self.found = links if self.found is None else self.found.union(links)
+            self.classes = connected_components(self.found)
+            self.scratch.append(self.classes)
+
+    def drop(self) -> None:
+        for df in self.scratch:
+            drop_scratch(df)
+
+
+def _open_blocks(links: _Links, held: DataFrame) -> DataFrame:
+    """Of held(key, node, n, s) the rows that may still have a link to tell, with their class, their block's pivot (p) and the
+    number of rows that are not in its class (o). Blocks of one class are told; rows poor in shared tokens for the smallest set of
+    their block leave."""
+    classed = held.join(links.classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    classed = classed.select("key", "node", "n", "s", "class")
+    several = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("n").alias("least")).where("lo <> hi").drop("lo", "hi")
+    rows = materialize(classed.join(several, "key").where("7 * s >= 3 * (n + greatest(least, (3 * n + 3) div 4))").drop("least"))
+    best = F.max_by(F.struct("node", "n", "s", "class"), F.struct(F.col("s") / F.col("n"), -F.col("node")))
+    pivots = materialize(rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), best.alias("p")).where("lo <> hi").drop("lo", "hi"))
+    others = rows.join(pivots, "key").where("class <> p.class").groupBy("key").agg(F.count("*").alias("o"))
+    found = links.keep(rows.join(pivots.join(others, "key"), "key"))
+    drop_scratch(rows)
+    drop_scratch(pivots)
+    return found
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+
+def _pairs(links: _Links, few: DataFrame, rows: DataFrame, keys: list[str], once: str = "true") -> DataFrame:
+    """(a, b) of the pairs of ``few`` with ``rows`` in one block and different classes, under the bounds."""
+    right = links.signed(rows).select(*keys, "node", "n", "s", "class", "tile", *_SIGNATURE)
+    left = links.signed(few).select(*keys, F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("class").alias("to"), F.col("tile").alias("from"), *(F.col(g).alias(f"o{g}") for g in _SIGNATURE))
+    return _ordered(left.join(right, keys).where(f"{once} and class <> to and {_fits('n', 's', 'm', 't')} and {_differ('n', 'm', '', 'o')}"), "node", "other")
+
+
+def _few_against_all(links: _Links, rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("tile", F.lit(0))
+    return _pairs(links, rows.where("class <> p.class"), rows, ["key"])
+
+
+def _by_tiles(links: _Links, rows: DataFrame, size: int) -> DataFrame:
+    """All pairs of each block. A block's rows are dealt into tiles of about ``size`` rows; each two tiles are a block of their own."""
+    many = rows.groupBy("key").agg(F.ceil(F.count("*") / size).alias("many"))
+    dealt = rows.join(many, "key").withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("many")))
+    met = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)))
+    met = met.withColumn("low", F.least("tile", "with")).withColumn("high", F.greatest("tile", "with"))
+    # rows of one tile meet in that tile's own block
+    return _pairs(links, met, met, ["key", "low", "high"], "node < other and (low = high or tile <> from)")
+
+
+def _settle(links: _Links, blocks: DataFrame, rounds: int, small: int) -> DataFrame | None:
+    """Tell all links of blocks(key, node, n, s) but those of blocks of which more than ``small`` rows are outside their pivot's class
+    after all rounds; these blocks are returned."""
+    spark, held = blocks.sparkSession, blocks
+    if links.tried is None:
+        # nothing is known yet: a first pivot without classes and parities
+        pivots = held.groupBy("key").agg(F.count("*").alias("c"), F.max_by(F.struct("node", "n", "s"), F.struct(F.col("s") / F.col("n"), -F.col("node"))).alias("p")).where("c > 1")
+        rows = links.keep(held.join(pivots, "key").where("node <> p.node"))
+        links.compare(_ordered(rows.where(_fits("n", "s", "p.n", "p.s")), "node", "p.node"))
+        held = rows.select("key", "node", "n", "s")
+        free_shuffles(spark)
+    for turn in range(rounds):
+        rows = _open_blocks(links, held)
+        if rows.isEmpty():
+            return None
+        large = rows.where(f"o > {small}")
+        close = _ordered(large.where(f"class <> p.class and {_fits('n', 's', 'p.n', 'p.s')}"), "node", "p.node")
+        links.compare(_few_against_all(links, rows.where(f"o <= {small}")).union(close))
+        held = large.where("node <> p.node").select("key", "node", "n", "s")
+        free_shuffles(spark)
+        if large.isEmpty():
+            return None
+    rows = _open_blocks(links, held)
+    return None if rows.isEmpty() else rows
 
 
-def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = RARE, rounds: int = ROUNDS, few: int = 20) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text). Where open blocks have no more than ``few``
-    partners a row, all of their pairs are compared at once instead of by pivots."""
+def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = RARE, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs(doc_id, text). ``rare``, ``rounds`` and ``small`` only move work between
+    the steps above: the result is the same for all values."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     nodes = materialize(node_table(docs))
@@ -370,44 +548,21 @@ def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = R
     # one text for each node: rows that repeat a doc_id with another text were given the smallest id of their own set
     sets = materialize(candidate_sets(docs.where("doc_id is not null and text is not null"), _bit_filter(likely)))
     drop_scratch(likely)
-    blocks = block_index(sets, shards, rare)
-    blocks = materialize(blocks)
-    free_shuffles(spark)
-
-    several = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n", "s")).alias("p")).where("c > 1")
-    pairs = blocks.join(several, "key").where(f"node <> p.node and {_fits('n', 's', 'p.n', 'p.s')}").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialize(pairs)
-    links = materialize(verify(tried, sets))
-    classes = connected_components(links)
-    held = blocks.select("key", "node", "n", "s")
-    for turn in range(rounds):
-        # only blocks that still hold several classes go on; when none do, all links are told
-        labelled = held.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node")).select("key", "node", "n", "s", "class")
-        open_keys = labelled.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c"), F.min_by(F.struct("node", "n", "s", "class"), F.xxhash64("node", F.lit(turn))).alias("p")).where("lo <> hi").drop("lo", "hi")
-        labelled = materialize(labelled.join(open_keys, "key"))
-        size = labelled.agg(F.count("*").alias("rows"), F.sum(F.col("c") - 1).alias("pairs")).first()
-        if not size["rows"]:
-            break
-        held = labelled.select("key", "node", "n", "s")
-        if turn < rounds - 1 and size["pairs"] > few * size["rows"]:
-            new = labelled.where(f"class <> p.class and {_fits('n', 's', 'p.n', 'p.s')}").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
-            last = False
-        else:
-            right = labelled.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("class").alias("to"))
-            new = labelled.join(right, "key").where(f"node < other and class <> to and {_fits('n', 's', 'm', 't')}").select(F.col("node").alias("a"), F.col("other").alias("b"))
-            last = True
-        new = materialize(new.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            found = materialize(verify(new, sets))
-            tried = tried.union(new)
-            if not found.isEmpty():
-                links = links.union(found)
-                classes = connected_components(links)
+    links, active = _Links(sets), sets
+    for size in range(2, LONGEST + 1):
+        blocks = links.keep(block_index(active.select("node", "n", "tokens"), shards, rare, size))
         free_shuffles(spark)
-        if last:
+        large = _settle(links, blocks, rounds, small)
+        if large is None:
             break
-    of_set = copies.join(classes, copies["rep"] == classes["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = nodes.join(of_set, ["n", "s1", "s2"], "left")
+        if size == LONGEST:
+            links.compare(_by_tiles(links, large, small))
+        active = sets.join(large.select("node").distinct(), "node", "left_semi")
+    of_set = copies.join(links.classes, copies["rep"] == links.classes["node"], "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    told = materialize(of_set)
+    links.drop()
+    drop_scratch(sets)
+    out = nodes.join(told, ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("case when doc_id is not null then coalesce(component_id, doc_id) end").alias("component_id"))
 
 
