@@ -4,7 +4,7 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
 of a document is joined to the places of that gram in the templates (a fixed table of some hundred rows, so it is broadcast;
 the join also compares the gram itself). Each hit votes for the diagonal document place - template place. Votes are counted
 by document, template and diagonal; diagonals of one template at most ``gap`` apart are merged, which bridges inserted and
-deleted words; and a merged span is verified: distinct grams found, in tenths of the template's, and its length against
+deleted words; and a merged span is verified: different places of the template found, in tenths of its grams, and its length against
 the template's.
 
 A phrase's diagonal with all of its grams is an exact place of the phrase. Notices need ``share`` tenths of their grams.
@@ -69,13 +69,12 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str,
     )
     hits = grams.join(F.broadcast(table), (F.xxhash64("gram") == F.col("t_hash")) & (F.col("gram") == F.col("t_gram")), "left").where("place = 0 or template is not null")
     by_doc = ["rid", "doc_id", "n_words"]
-    diagonals = hits.groupBy(*by_doc, "template", "label", "exact", "grams", F.expr("cast(place - 1 - at as bigint)").alias("diagonal")).agg(F.count("template").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    diagonals = hits.groupBy(*by_doc, "template", "label", "exact", "grams", F.expr("cast(place - 1 - at as bigint)").alias("diagonal")).agg(F.count("template").alias("votes"), F.collect_set("at").alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"))
     merged = (
         diagonals.withColumn("apart", F.expr(f"coalesce(diagonal - lag(diagonal) over (partition by rid, template order by diagonal) > {gap}, true)"))
         .withColumn("span", F.expr("sum(cast(apart as int)) over (partition by rid, template order by diagonal)"))
         .groupBy(*by_doc, "template", "label", "exact", "grams", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.expr("count(case when exact and votes = grams then 1 end)").alias("places"), F.expr("min(case when exact and votes = grams then diagonal end)").alias("first_place"), F.expr("max(case when exact and votes = grams then diagonal end)").alias("last_place"))
-        .withColumn("found", F.expr("least(votes, grams)"))
+        .agg(F.expr("size(array_distinct(flatten(collect_list(ats))))").cast("long").alias("found"), F.min("low").alias("low"), F.max("high").alias("high"), F.expr("count(case when exact and votes = grams then 1 end)").alias("places"), F.expr("min(case when exact and votes = grams then diagonal end)").alias("first_place"), F.expr("max(case when exact and votes = grams then diagonal end)").alias("last_place"))
         .withColumn("verified", F.expr(f"case when exact then places > 0 else 10 * found >= {share} * grams and 2 * (high - low + {K}) <= 3 * (grams + {K - 1}) end"))
     )
     return merged.groupBy(*by_doc).agg(
@@ -102,14 +101,13 @@ with t(template, label, exact, grams, t_at, t_gram) as (values {values}),
 w as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents),
 n as (select rid, doc_id, cast(len(words) as bigint) as n_words from w),
 g as (select rid, unnest(range(0, len(words) - {K - 1})) as place, words from w where len(words) >= {K}),
-h as (select rid, place, template, label, exact, grams, place - t_at as diagonal from g join t on words[place + 1] || ' ' || words[place + 2] || ' ' || words[place + 3] = t_gram),
-d as (select rid, template, label, exact, grams, diagonal, count(*) as votes, min(place) as low, max(place) as high from h group by all),
+h as (select rid, place, template, label, exact, grams, t_at, place - t_at as diagonal from g join t on words[place + 1] || ' ' || words[place + 2] || ' ' || words[place + 3] = t_gram),
+d as (select rid, template, label, exact, grams, diagonal, count(*) as votes, list(t_at) as ats, min(place) as low, max(place) as high from h group by all),
 a as (select *, coalesce(diagonal - lag(diagonal) over (partition by rid, template order by diagonal) > {GAP}, true) as apart from d),
 s as (select *, sum(apart::int) over (partition by rid, template order by diagonal) as span from a),
-m as (select rid, template, label, exact, grams, span, sum(votes) as total, max(high) - min(low) + {K} as len,
+m as (select rid, template, label, exact, grams, span, len(list_distinct(flatten(list(ats)))) as found, max(high) - min(low) + {K} as len,
   count(*) filter (where exact and votes = grams) as places, min(diagonal) filter (where exact and votes = grams) as first_place, max(diagonal) filter (where exact and votes = grams) as last_place from s group by rid, template, label, exact, grams, span),
-f as (select *, least(total, grams) as found from m),
-v as (select *, case when exact then places > 0 else 10 * found >= {SHARE} * grams and 2 * len <= 3 * (grams + {K - 1}) end as verified from f)
+v as (select *, case when exact then places > 0 else 10 * found >= {SHARE} * grams and 2 * len <= 3 * (grams + {K - 1}) end as verified from m)
 select n.doc_id, n.n_words, cast(coalesce(sum(places), 0) as bigint) as n_base, cast(min(first_place) as bigint) as first_word, cast(max(last_place) as bigint) as last_word,
   coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where places > 0))), ','), '') as base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list(label) filter (where verified))), ','), '') as labels,
