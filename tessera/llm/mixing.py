@@ -6,16 +6,17 @@ weight among the others until none is above.
 
 Within a source, a document expects min(most, c * w) copies, where w grows slowly with its size (w = 1 + bits of the size / 64),
 so probabilities are unequal; c is solved so that expected words are the target. The whole part of the expectation is
-certain. The rest, p, is sampled in Pareto order: documents are ranked by (u / (1 - u)) / (p / (1 - p)), with u a hash of the
-doc_id, and taken in this order until the words that are still missing are reached as nearly as whole documents allow.
+certain. The rest, p, is sampled in Pareto order: documents are ranked by (u / (1 - u)) / (p / (1 - p)), with u a hash of
+doc_id and text, and taken in this order until the words that are still missing are reached as nearly as whole documents allow.
 
 The cut in the order is found without sorting a source: sums of sizes in 4096 ranges of the rank, then in 4096 ranges of
 the one that holds the cut, then row by row in what is left, about a 16-millionth of the source. So a hot source is summed
 like any other. What comes to the driver is one row for each source and bit length of sizes; there may be at most
 ``max_sources`` sources, else an error is raised.
 
-Null texts have size 0 and may be taken or not, which takes no words. Rows with one doc_id and size share a rank and are taken
-together. Sources of size 0 have target 0. The same input gives the same mix.
+Null and empty texts have size 0 and may be taken or not, which takes no words. Rows without a doc_id, or that share one, are
+drawn one by one: their texts tell them apart, and rows equal in both, their place in the input. Sources of size 0 have target
+0. An empty table gives an empty mix. Other columns pass through whatever their names. The same input gives the same mix.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, drop_scratch, materialize
 
-WEIGHTS, MOST, SEED = (5, 2, 1), 3, 20240
+WEIGHTS, MOST, SEED, TIES = (5, 2, 1), 3, 20240, 4096
 WORD = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -66,21 +67,25 @@ def expectations(words: dict[int, int], target: float, most: int = MOST) -> dict
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """docs with _size, _bits (its bit length) and _u, a hash of doc_id in (0, 1)."""
+    """docs as a struct ``row``, with doc_id, source, _size, _bits (its bit length), _u, a hash of doc_id and text in (0, 1), and _tie, a
+    number for the row's place."""
     size = F.coalesce(F.expr(f"regexp_count(text, '{WORD}')"), F.lit(0)).cast("long")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    return docs.withColumn("_size", size).withColumn("_bits", F.when(F.col("_size") == 0, 0).otherwise(F.length(F.bin("_size")))).withColumn("_u", u)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11).cast("double") + 0.5) / float(1 << 53)
+    tie = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(TIES))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", size.alias("_size"), u.alias("_u"), tie.alias("_tie"))
+    return rows.withColumn("_bits", F.when(F.col("_size") == 0, 0).otherwise(F.length(F.bin("_size"))))
 
 
 def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with the plan of their source and class, and _rank: the Pareto order as an integer below 2**52."""
+    """rows with the plan of their source and class, and _rank: the Pareto order as an integer below 2**52, of which the last bits
+    part rows that would be equal."""
     joined = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["_source"]) & (rows["_bits"] == plan["_class"]), "left").drop("_source", "_class")
     odds = "(_u / (1D - _u)) / (_part / (1D - _part))"
-    return joined.withColumn("_rank", F.expr(f"case when _part > 0 then cast(floor({odds} / (1D + {odds}) * 4503599627370496D) as bigint) end"))
+    return joined.withColumn("_rank", F.expr(f"case when _part > 0 then cast(floor({odds} / (1D + {odds}) * {(1 << 52) // TIES}D) as bigint) * {TIES} + _tie end"))
 
 
 def plan_mix(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, max_sources: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(plan, cut) of rows(source, _size, _bits, _u): the plan has one row for each source and class, the cut one for each
+    """(plan, cut) of rows(source, _size, _bits, _u, _tie): the plan has one row for each source and class, the cut one for each
     source: its target, size and the rank up to which documents are taken once more."""
     spark = rows.sparkSession
     sums = rows.groupBy("source", "_bits").agg(F.sum("_size").alias("words"))
@@ -130,12 +135,14 @@ def copies(rows: DataFrame, plan: DataFrame, cut: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of docs(doc_id, text, source, ...), each as often as the mix takes it."""
     rows = sized(docs)
-    plan, cut = plan_mix(materialize(rows.select("source", "_size", "_bits", "_u")), weights, most)
-    out = copies(rows, plan, cut).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*docs.columns)
+    narrow = materialize(rows.select("source", "_size", "_bits", "_u", "_tie"))
+    plan, cut = plan_mix(narrow, weights, most)
+    drop_scratch(narrow)
+    taken = copies(rows, plan, cut).where("_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize(sized(documents(spark, sf_dir)).select("doc_id", "source", "_size", "_bits", "_u"))
+    rows = materialize(sized(documents(spark, sf_dir)).select("doc_id", "source", "_size", "_bits", "_u", "_tie"))
     plan, cut = plan_mix(rows)
     return copies(rows, plan, cut).select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.expr("cast(_size * _copies as bigint)").alias("taken"), F.col("_copies").alias("copies"))
