@@ -6,13 +6,16 @@ and, as it has few rows, towards a multiple of the pooled one. Scores are the lo
 densities, from squared Mahalanobis distances by Cholesky factors that are computed once and kept with the model.
 
 Labels, lang, source and doc_id are no inputs. Null and empty texts have the statistics of a text without words and a score
-like any other; a null doc_id is in the training fold, but has no label. Rows are scored one by one, whatever repeats.
+like any other; a null doc_id is in the training fold, but has no label. Ids with labels that contradict each other have none;
+without any labels all scores are the prior's. Rows are scored one by one, whatever repeats; an empty table has none. Texts are read
+whole, in batches that their bytes bound. Further columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, Words, crc32_split, documents, labels, materialize, slices
 
-FOLDS, HELD, THRESHOLD = 4, 2, 0.7
+FOLDS, HELD, THRESHOLD, STEPS = 4, 2, 0.7, 1 << 16
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>{}[]=_^~@\\")] = True
 STOPS = np.zeros(256, dtype=bool)
@@ -90,6 +93,14 @@ def statistics_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<double>")
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of factor @ z = b for a lower triangular factor, by forward substitution."""
+    z = np.zeros_like(b, dtype=float)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     means: list[np.ndarray]
@@ -100,7 +111,7 @@ class Discriminant:
         """The probability of class 1."""
         log = []
         for mean, factor, prior in zip(self.means, self.factors, self.priors):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             log.append(np.log(prior) - np.log(np.diag(factor)).sum() - 0.5 * (z * z).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
 
@@ -114,25 +125,27 @@ def shrink(own: np.ndarray, rows: float, pooled: np.ndarray, diagonal: float = 0
 
 
 def fit(table: DataFrame, target: DataFrame) -> Discriminant:
-    """From table(doc_id, x) and target(doc_id, y): only sums by class leave the executors."""
+    """From table(doc_id, x) and target(doc_id, y): only sums by class leave the executors. Statistics count in steps of 2**-16 and
+    are summed as whole numbers, so the sums do not depend on the order of rows."""
     d = len(STATISTICS)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, d + 1, d + 1))
+        total = np.zeros((2, d + 1, d + 1), dtype=object)
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, d)
+            x = np.rint(np.array(batch.column("x").to_pylist(), dtype=float).reshape(-1, d) * STEPS).astype(np.int64)
             y = batch.column("y").to_numpy(zero_copy_only=False)
-            one = np.column_stack([np.ones(len(x)), x])
+            one = np.column_stack([np.full(len(x), STEPS), x])
             for c in (0, 1):
                 part = one[y == c]
-                total[c] += part.T @ part
+                total[c] += (part.T @ part).astype(object)
         c, i, j = np.indices(total.shape).reshape(3, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total.ravel())], ["c", "i", "j", "v"])
+        exact = pa.array([Decimal(int(v)) for v in total.ravel()], pa.decimal128(38, 0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), exact], ["c", "i", "j", "v"])
 
-    rows = table.join(target, "doc_id").select("x", "y").mapInArrow(sums, "c int, i int, j int, v double")
+    rows = table.join(target, "doc_id").select("x", "y").mapInArrow(sums, "c int, i int, j int, v decimal(38,0)")
     total = np.zeros((2, d + 1, d + 1))
     for r in rows.groupBy("c", "i", "j").agg(F.sum("v").alias("v")).collect():
-        total[r["c"], r["i"], r["j"]] = r["v"]
+        total[r["c"], r["i"], r["j"]] = float(r["v"]) / STEPS**2
     n = np.maximum(total[:, 0, 0], 0)
     means, own = [], []
     for c in (0, 1):
@@ -149,7 +162,7 @@ def fit(table: DataFrame, target: DataFrame) -> Discriminant:
 def classify(docs: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Scores of all docs by a model of the labelled rows (doc_id, quality) outside the held-out fold."""
     table = materialize(statistics_table(docs))
-    target = labelled.where("doc_id is not null and quality in (0, 1)").where("not " + crc32_split("doc_id", FOLDS, HELD)).select("doc_id", F.col("quality").alias("y")).dropDuplicates(["doc_id"])
+    target = labelled.where("doc_id is not null and quality in (0, 1)").where("not " + crc32_split("doc_id", FOLDS, HELD)).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("other")).where("y = other").drop("other")
     model = fit(table, target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

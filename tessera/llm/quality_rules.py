@@ -74,7 +74,7 @@ def apply_rules(docs: DataFrame, reach: int = REACH, least: int = LEAST, slack:
     counts = materialize(counts.select("*", *(F.expr(f"case when n_words > 0 then {x.format(div='div')} end").alias(f"u_{n}") for n, x in UNITS.items())))
     stats = ", ".join(f"'{n}', u_{n}" for n in UNITS)
     bins = counts.where("not base_failed").selectExpr("lang", "source", f"stack({len(UNITS)}, {stats}) as (stat, unit)").groupBy("lang", "source", "stat", "unit").agg(F.count("*").alias("n"))
-    bins = bins.cache()
+    bins = materialize(bins)  # one row for each unit in use
     fences = None
     for level, keys in enumerate((["lang", "source"], ["lang"], [])):
         merged = bins if level == 0 else bins.groupBy(*keys, "stat", "unit").agg(F.sum("n").alias("n"))
