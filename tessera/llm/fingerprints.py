@@ -18,10 +18,9 @@ P answers the equality of any two spans: (P_(i+m) - P_i) * B^-i does not depend
 extended both ways as far as the texts agree, and the code points in such stretches are counted once in each text
 (``extended_likeness``).
 
-The form is ``length:whole hash:place,window hash,prefix value;...:prefix value;...`` with hexadecimal numbers. Texts of
-fewer than eight windows' length use windows of a quarter of the length. Equal texts have equal
-fingerprints. Null texts are empty; an empty text has length 0 and no places; it is alike (1.0) to an empty text and 0.0 to
-any other.
+The form is ``length:whole hash:place,window hash,prefix value;...:prefix value;...`` with hexadecimal numbers. Equal texts
+have equal fingerprints. Null texts are empty; a text of at most ``window`` code points has no places, and is compared from its
+beginning and its end; an empty one is alike (1.0) to an empty text and 0.0 to any other.
 """
 
 from __future__ import annotations
@@ -149,17 +148,15 @@ class Fingerprint:
         return Fingerprint(int(n, 16), int(whole, 16), at, window, value, np.array([int(v, 16) for v in grid.split(";") if v], dtype=U64))
 
 
-def fingerprint(text: str, anchors: int = 64, window: int = 12, spacing: int = 32) -> Fingerprint:
+def fingerprint(text: str, anchors: int = 64, window: int = 8, spacing: int = 32) -> Fingerprint:
     return marked(PrefixHash(text), anchors, window, spacing)
 
 
-def marked(hashed: PrefixHash, anchors: int = 64, window: int = 12, spacing: int = 32) -> Fingerprint:
+def marked(hashed: PrefixHash, anchors: int = 64, window: int = 8, spacing: int = 32) -> Fingerprint:
     n = hashed.n
     whole = int(hashed.values(np.array([n]))[0])
     step = grid_step(n)
     grid = hashed.values(np.arange(step, n + 1, step))
-    if n < 8 * window:
-        window = max(2, window // 4)
     if n <= window:
         return Fingerprint(n, whole, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), grid)
     starts = np.arange(1, n - window + 1)
@@ -259,22 +256,32 @@ LOWEST = -(1 << 63)
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """Rows (key, doc_id, text, bucket, peek) in partitions sorted by bucket, peek, key and text.
 
-    A bucket is a range of ids and holds, marked ``peek``, a copy of the rows with the lowest id of the next one (the last
-    bucket: of the first). Bounds and lowest ids are found from the ids alone, so texts are shuffled once. There are
-    several buckets to a partition, which evens out what hashing gives each.
+    A bucket is a range of ids and holds, marked ``peek``, a copy of the rows at the beginning of the next one (the last
+    bucket: of the first). An id that fills several buckets, as a null one may, is cut further by the first bytes of its texts. Bounds
+    and beginnings are found from these alone, so texts are shuffled once. There are several buckets to a partition, which evens out
+    what hashing gives each. Rows that agree in id and first bytes stay together.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), "doc_id", "text")
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), "doc_id", "text", head.alias("head"))
     count = 8 * parts
-    cuts = docs.agg(F.percentile_approx("key", [k / count for k in range(1, count)], 20_000).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(b).cast("long") for b in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
-    docs = docs.withColumn("bucket", F.size(F.filter(bounds, lambda b: b <= F.col("key"))))
-    lowest = {r["bucket"]: r["low"] for r in docs.groupBy("bucket").agg(F.min("key").alias("low")).collect()}
+    cuts = Counter(docs.agg(F.percentile_approx("key", [k / count for k in range(1, count)], 20_000).alias("c")).first()["c"] or [])
+    bounds = {(b, 0) for b in cuts}
+    for key, times in cuts.items():
+        if times > 1:
+            shares = [k / (times + 1) for k in range(1, times + 1)]
+            bounds |= {(key, h) for h in docs.where(F.col("key") == key).agg(F.percentile_approx("head", shares, 20_000).alias("c")).first()["c"]}
+    listed = F.array(*[F.struct(F.lit(b).cast("long").alias("key"), F.lit(h).cast("long").alias("head")) for b, h in sorted(bounds)])
+    at = F.struct("key", "head")
+    docs = docs.withColumn("bucket", F.size(F.filter(listed, lambda b: b <= at)) if bounds else F.lit(0))
+    lowest = {r["bucket"]: tuple(r["low"]) for r in docs.groupBy("bucket").agg(F.min(at).alias("low")).collect()}
     order = sorted(lowest)
     goes = {lowest[b]: order[k - 1] for k, b in enumerate(order)}  # order[-1] peeks at order[0]
-    also = F.element_at(F.create_map(*[F.lit(x) for pair in goes.items() for x in pair]), F.col("key")) if goes else F.lit(None).cast("int")
+    place = F.concat_ws(":", "key", "head")
+    named = {f"{a}:{h}": b for (a, h), b in goes.items()}
+    also = F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), place) if goes else F.lit(None).cast("int")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("peek"))
     copy = F.struct(also.alias("bucket"), F.lit(True).alias("peek"))
-    both = F.when(F.col("key").isin(list(goes)), F.array(own, copy)).otherwise(F.array(own))
+    both = F.when(place.isin(list(named)), F.array(own, copy)).otherwise(F.array(own))
     rows = docs.withColumn("x", F.explode(both)).select("key", "doc_id", "text", "x.bucket", "x.peek")
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "peek", "key", "text")
 
@@ -282,7 +289,7 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprints(docs: DataFrame, anchors: int = 64, window: int = 12, spacing: int = 32) -> DataFrame:
+def fingerprints(docs: DataFrame, anchors: int = 64, window: int = 8, spacing: int = 32) -> DataFrame:
     """Each row's fingerprint, that of its edited text, and its likeness to that and to the next row's.
 
     The next row is that of the next doc_id in ascending order, null ids first and equal ids by text; the last row's is the
