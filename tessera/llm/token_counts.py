@@ -3,8 +3,9 @@
 The vocabulary's segmentation is local to pre-tokens: no piece holds a word mark after another character, so a
 text's count is the sum over its pre-tokens (a run of marks and the characters up to the next mark). Tier one is a
 broadcast table of frequent pre-tokens and their lengths, of at most ``table_size`` entries, gathered from about
-``sample_rows`` rows drawn alike from all partitions: it only saves work and never changes a count. Tier two is a cache in each Python worker, of at
-most ``cache_size`` entries; what neither holds is encoded in one call for a batch. Nothing is shuffled.
+``sample_rows`` rows drawn alike from all partitions: it only saves work and never changes a count. Tier two is a cache in each
+Python worker, of at most ``cache_size`` entries, which later tasks of the worker find filled; what neither holds is encoded in one
+call for a batch. Nothing is shuffled.
 
 Null and empty texts have no tokens. Rows pass through one by one: repeated rows are counted each, null ids stay null,
 further columns are not read. A text may be of any length: it is counted whole.
@@ -57,12 +58,13 @@ class Encoder:
         return [len(ids) - (not p) for ids, p in zip(found, plain)]
 
 
-_WORKER: dict = {}
+#: By model file: the encoder and the lengths that this worker has found.
+_WORKER: dict[str, tuple[Encoder, dict[str, int]]] = {}
 
 
-def _encoder(path: str) -> Encoder:
+def _encoder(path: str) -> tuple[Encoder, dict[str, int]]:
     if path not in _WORKER:
-        _WORKER[path] = Encoder(path)
+        _WORKER[path] = Encoder(path), {}
     return _WORKER[path]
 
 
@@ -82,14 +84,15 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, sa
     table = spark.sparkContext.broadcast(frequent_lengths(docs, path, sample_rows, table_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, frequent = _encoder(path), table.value
-        known = dict(frequent)
+        (encoder, known), frequent = _encoder(path), table.value
+        known.update(frequent)
         for batch in slices(batches):
             column = batch.column("text")
             split = [pre_tokens(x) for x in texts(column)]
-            missing = list(set().union(*split).difference(known)) if split else []
+            missing = list(set().union(*split).difference(known))
             if len(known) + len(missing) > cache_size + len(frequent):
-                known = dict(frequent)
+                known.clear()
+                known.update(frequent)
                 missing = list(set().union(*split).difference(known))
             known.update(zip(missing, encoder.lengths(missing)))
             get = known.__getitem__
