@@ -17,11 +17,13 @@ ron``), is seen as separate words only and is missed.
 The machine is linear in subsequences, so its landmarks fold into one table of weights, and a text is scored by table lookups
 over its bytes: whole texts, without a shuffle.
 
-Bounds (parameters): at most ``most_toxic`` and ``most_clean`` labelled rows are used to fit, those with the smallest hashes of
-their ids. A round's first toxic words are the 1,000 seeds in most texts; of the clean texts' different words, the
+Bounds (parameters): at most ``most_toxic`` and ``most_clean`` labelled rows of up to ``most_chars`` characters are used to fit, those
+with the smallest hashes of their ids, and one text for each id. A round's first toxic words are the 1,000 seeds in most texts; of the clean texts' different words, the
 ``negatives // 2`` (2,000) most frequent and every k-th, about as many again, are examples, and each round adds up to as many that
 score highest; a round has at most ``landmarks`` (96) landmarks. A text is scored by all of its words. Labels, lang, source and doc_id are no inputs. Null and empty texts have no words and score like a clean word. Rows are
-scored one by one; null ids have no label and are not held out.
+scored one by one, repeated ones alike, in batches that their bytes bound, so no text is too long; an empty table has no scores. Null
+ids have no label and are not held out; ids with labels that contradict each other have none. Other columns pass through; the
+names of the two new ones are parameters.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, crc32_split, documents, labels, slices, utf8
+from .common import WHITE, crc32_split, documents, labels, slices, trimmed, utf8
 
 FOLDS, HELD, THRESHOLD = 5, 0, 0.5
 DECAY, SPAN = 0.7, 5
@@ -276,26 +278,41 @@ def fit_texts(toxic: list[str], clean: list[str], landmarks: int = 96, rounds: i
     return model
 
 
-def fit(docs: DataFrame, labelled: DataFrame, most_toxic: int = 1000, most_clean: int = 2000) -> Model:
-    known = labelled.where("doc_id is not null and toxic in (0, 1)").where("not " + crc32_split("doc_id", FOLDS, HELD)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+def fit(docs: DataFrame, labelled: DataFrame, most_toxic: int = 1000, most_clean: int = 2000, most_chars: int = 200_000) -> Model:
+    known = labelled.where("doc_id is not null and toxic in (0, 1)").where("not " + crc32_split("doc_id", FOLDS, HELD))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").select("doc_id", "toxic")
     order = F.xxhash64("doc_id")
     rows = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     chosen = F.broadcast(rows[0].union(rows[1]))  # at most most_toxic + most_clean ids
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").orderBy("doc_id", "text").collect()
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").where(f"coalesce(length(text), 0) <= {most_chars}")
+    found = sorted(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     return fit_texts(*([r["text"] or "" for r in found if r["toxic"] == y] for y in (1, 0)))
 
 
-def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with _score and _predicted; other columns pass through."""
+def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("_score", "_predicted")) -> DataFrame:
+    """docs with a score and a prediction, in columns of these names."""
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"docs has {sorted(clash)}; pass other names")
     held, columns = docs.sparkSession.sparkContext.broadcast(model), docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             score = held.value.score(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*columns, "_score", "_predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*columns, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score below the threshold, with the columns of docs alone."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(held.value.score(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
