@@ -7,7 +7,9 @@ prefix array and finalised; a window's hash is the same over the hashes of its w
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 
@@ -42,10 +45,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests on one machine, a temporary folder is made.
+    Only where that setting is missing and all runs on one machine, as in tests, a temporary folder is made.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-scratch-")
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
@@ -173,6 +178,19 @@ def drop_scratch(df: DataFrame) -> None:
             path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def trim_memory() -> None:
+    """Give a worker's free memory back to the system; workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task, after which its worker gives memory back."""
+    yield from batches
+    trim_memory()
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Ask the driver to let go of finished plans, so that their shuffle files are removed from the executors' disks."""
     gc.collect()

@@ -4,24 +4,27 @@ A window is ``size`` consecutive words (``[^\\x20\\x09-\\x0D]+``) of one documen
 document with a smaller doc_id. Windows are judged on the input.
 
 1. Sharding by content. Each window is dealt by its minimizer, the least hash of its word pairs. A run of windows with the
-   same minimizer (a stretch) travels as one piece of text with the documents that hold it; equal windows always meet in one
-   shard. The number of shards grows with the text, so that a shard has about ``shard_bytes`` of it; within a batch, equal
-   stretches travel once, with a list of their documents, so that copies cost some bytes each and no task gets all of them.
+   same minimizer (a stretch) travels as one piece of text with the document that holds it; equal windows always meet in one
+   shard. The number of shards grows with the text, so that a shard has about ``shard_bytes`` of it. Of equal stretches in one
+   sending batch only those of the smallest document travel: the others repeat it whole, and are told so at once. So a notice in
+   a third of all documents costs its shard one stretch a batch, not one a document.
 2. In a shard, stretches none of whose windows has a second document (by window hash) are set aside. An FM-index is built
-   over the words of the others. These are streamed through it: backward search over the wavelet tree gives the matching
-   statistics, and where ``size`` words match, the suffixes in the range tell the smallest document. Windows of larger
-   documents are reported as intervals of words.
+   over the words of the others, and these are streamed through it whole: backward search over the wavelet tree gives the
+   matching statistics of each of their places, and where ``size`` words match, the suffixes in the range tell the smallest
+   document. Windows of larger documents are reported as intervals of words.
 3. Intervals meet their documents by (doc_id, crc32 of the text), and the covered words are cut out.
 
 Rows with a null doc_id keep all of their words and take none from others. Rows that share a doc_id have no effect on each
-other; repeated rows each get the same result. Null and empty texts have no words. Texts are cut at no length. Other
-columns pass through whatever their names.
+other; repeated rows each get the same result. Null and empty texts have no words, an empty table has no rows. Texts are cut at
+no length. Other columns pass through whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, documents, mix, parallelism, slices, spans, texts
+from .common import U64, Words, documents, mix, parallelism, slices, spans, texts, trim_memory
 from .fm_index import FMIndex
 
 SIZE, GRAM = 13, 2
@@ -50,7 +53,7 @@ class Outbox:
     """Stretches of one task's documents, by shard, until they are sent."""
 
     def __init__(self, shards: int) -> None:
-        self.shards, self.parts, self.bytes = shards, [], 0
+        self.shards, self.parts, self.bytes, self.turn = shards, [], 0, int.from_bytes(os.urandom(2), "little")
 
     def add(self, words: Words, doc: np.ndarray, tag: np.ndarray, size: int) -> None:
         self.bytes += len(words.data)
@@ -67,25 +70,30 @@ class Outbox:
         shard = (mix(least[first]) % U64(self.shards)).astype(np.int64)
         start, end = at[first], at[last] + size
         content = spans(words.hashes, start, end)
-        self.parts.append((shard, content, doc[text[first]], tag[text[first]], start - words.first[text[first]], words.starts[start], words.ends[end - 1], words.data))
+        self.parts.append((shard, content, doc[text[first]], tag[text[first]], start - words.first[text[first]], end - start, words.starts[start], words.ends[end - 1], words.data.tobytes()))
 
     def send(self) -> Iterator[tuple[int, bytes]]:
+        """(shard, packed stretches); a negative shard holds intervals that are told already."""
         if not self.parts:
             self.bytes = 0
             return
-        base = np.cumsum([0] + [len(p[7]) for p in self.parts])
-        data = np.concatenate([p[7] for p in self.parts])
-        shard, content, doc, tag, place, low, high = (np.concatenate([p[k] + (base[i] if k in (5, 6) else 0) for i, p in enumerate(self.parts)]) for k in range(7))
-        self.parts, self.bytes = [], 0
+        base = np.cumsum([0] + [len(p[8]) for p in self.parts])
+        raw = b"".join(p[8] for p in self.parts)
+        shard, content, doc, tag, place, words, low, high = (np.concatenate([p[k] + (base[i] if k in (6, 7) else 0) for i, p in enumerate(self.parts)]) for k in range(8))
+        self.parts, self.bytes, self.turn = [], 0, self.turn + 1
         order = np.lexsort((doc, content, shard))
-        shard, content, doc, tag, place, low, high = (x[order] for x in (shard, content, doc, tag, place, low, high))
+        shard, content, doc, tag, place, words, low, high = (x[order] for x in (shard, content, doc, tag, place, words, low, high))
         new = np.ones(len(shard), dtype=bool)
         new[1:] = (shard[1:] != shard[:-1]) | (content[1:] != content[:-1])
         heads = np.flatnonzero(new)
+        own = doc == np.repeat(doc[heads], np.diff(np.append(heads, len(shard))))
+        if not own.all():
+            yield -1 - self.turn % self.shards, _told(doc[~own], tag[~own], place[~own], place[~own] + words[~own])
+        shard, doc, tag, place, low, high, new = (x[own] for x in (shard, doc, tag, place, low, high, new))
+        heads = np.flatnonzero(new)
         copies = np.diff(np.append(heads, len(shard)))
         cuts = np.flatnonzero(np.diff(shard[heads])) + 1
         packer = zstandard.ZstdCompressor(level=6)
-        raw = data.tobytes()
         for a, b in zip(np.append(0, cuts), np.append(cuts, len(heads))):
             own = slice(heads[a], heads[b - 1] + copies[b - 1])
             some = heads[a:b]
@@ -95,6 +103,10 @@ class Outbox:
             yield int(shard[heads[a]]), packer.compress(blob)
 
 
+def _told(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.astype("<i8").tobytes() for x in columns))
+
+
 def _open(blob: bytes) -> tuple[np.ndarray, ...]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, m = struct.unpack_from("<II", raw)
@@ -129,6 +141,8 @@ def shard_intervals(blobs: list[bytes], size: int) -> dict[str, np.ndarray]:
     if not wanted.any():
         return none
     kept = np.unique(piece[wanted])
+    whole = np.isin(piece, kept)
+    at, piece, hashes = at[whole], piece[whole], hashes[whole]
     # the words of the pieces in question, with a 0 in front of each
     starts, counts = words.first[:-1][kept], words.counts[kept]
     chosen = _expand(starts, counts)
@@ -139,25 +153,24 @@ def shard_intervals(blobs: list[bytes], size: int) -> dict[str, np.ndarray]:
     index = FMIndex(symbols, depth=1 << (size - 1).bit_length())
     owner = np.repeat(np.arange(len(kept)), counts + 1)
     owner = least[kept][np.append(owner, 0)]  # the smallest document at each symbol
-    # stream each different window once; its equals have the same range
-    unique, sample, inverse = np.unique(hashes[wanted], return_index=True, return_inverse=True)
-    window_piece = np.searchsorted(kept, piece[wanted])
-    ends = heads[window_piece] + 1 + at[wanted] - words.first[:-1][piece[wanted]] + size
+    # stream the pieces; equal windows have one range, so each different one goes once
+    unique, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    offset = at - words.first[:-1][piece]
+    ends = heads[np.searchsorted(kept, piece)] + 1 + offset + size
     found, low, high = index.matches(symbols, ends[sample], size)
-    assert (found == size).all()
     by = np.argsort(low)
     bounds = np.column_stack([low[by], high[by]]).ravel()
     smallest = np.zeros(len(unique), dtype=np.int64)
     smallest[by] = np.minimum.reduceat(np.append(owner[index.suffixes], 0), bounds)[::2]
+    repeated = found[inverse] >= size
     smallest = smallest[inverse]
-    # each window for each document of its piece
-    p = piece[wanted]
-    times = copies[p]
-    entry = _expand(first_copy[p], times)
-    gone = doc[entry] > np.repeat(smallest, times)
+    # each window for each entry of its piece
+    times = copies[piece]
+    entry = _expand(first_copy[piece], times)
+    gone = np.repeat(repeated, times) & (doc[entry] > np.repeat(smallest, times))
     if not gone.any():
         return none
-    entry, offset = entry[gone], np.repeat(at[wanted] - words.first[:-1][p], times)[gone]
+    entry, offset = entry[gone], np.repeat(offset, times)[gone]
     by = np.lexsort((offset, entry))
     entry, offset = entry[by], offset[by]
     begins = np.append(True, (entry[1:] != entry[:-1]) | (offset[1:] != offset[:-1] + 1))
@@ -166,7 +179,7 @@ def shard_intervals(blobs: list[bytes], size: int) -> dict[str, np.ndarray]:
     return {"doc_id": doc[entry[a]], "tag": tag[entry[a]], "low": place[entry[a]] + offset[a], "high": place[entry[a]] + offset[b] + size}
 
 
-def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 1_200_000, batch_bytes: int = 12_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 1_200_000, batch_bytes: int = 8_000_000) -> DataFrame:
     """doc_id, tag (crc32 of the text) and the word intervals [low, high) to remove, of docs(doc_id, text)."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
@@ -176,9 +189,9 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 1_200_0
         box = Outbox(shards)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = list(box.send())
-            if rows:
+            for rows in batched(box.send(), 500):
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
+            trim_memory()
 
         for batch in slices(batches):
             doc, tag = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "tag"))
@@ -187,7 +200,10 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 1_200_0
                 yield from flush()
         yield from flush()
 
-    def search(frame: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            told = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(b), "<i8").reshape(4, -1) for b in frame["blob"]], axis=1)
+            return pd.DataFrame(dict(zip(["doc_id", "tag", "low", "high"], told)))
         return pd.DataFrame(shard_intervals(frame["blob"].tolist(), size))
 
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32("text").alias("tag"))
@@ -195,33 +211,45 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, shard_bytes: int = 1_200_0
     return dealt.groupBy("shard").applyInPandas(search, "doc_id long, tag long, low long, high long")
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, joined_by_space: bool = False, **options: int) -> DataFrame:
-    """All columns of docs(doc_id, text, ...) with the text's remaining words, joined by one space, and _n_words and
-    _n_removed. A text that loses nothing stays as it is, unless ``joined_by_space``. Other columns must not be named like those two or like _tag and _spans."""
+def remove_repeats(docs: DataFrame, size: int = SIZE, joined_by_space: bool = False, counts: bool = True, **options: int) -> DataFrame:
+    """All columns of docs(doc_id, text, ...) with the text's remaining words, joined by one space, and, if ``counts``, _n_words and
+    _n_removed. A text that loses nothing stays as it is, unless ``joined_by_space``."""
+    extra = ["_n_words", "_n_removed"] if counts else []
+    if clash := set(extra) & set(docs.columns):
+        raise ValueError(f"docs has {sorted(clash)}; rename them or pass counts=False")
     found = repeated_spans(docs, size, **options)
-    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("tag").alias("_t")).agg(F.collect_list(F.struct("low", "high")).alias("_spans"))
-    columns = docs.columns
-    tagged = docs.withColumn("_tag", F.crc32(F.coalesce("text", F.lit(""))))
-    joined = tagged.join(found, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_tag") == F.col("_t")), "left").select(*columns, "_spans")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_words", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    found = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    # the rows go as structs, so that their names meet none of these
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce("text", F.lit(""))).alias("tag"), F.struct(*docs.columns).alias("row"))
+    joined = rows.join(found, ["doc_id", "tag"], "left").select("row", "spans")
+    columns, place = docs.columns, docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in extra)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            kept, counts, gone = [], [], []
-            for text, some in zip(texts(batch.column("text")), batch.column("_spans").to_pylist()):
-                words = text.encode().split()
-                counts.append(len(words))
-                if some:
-                    steps = np.zeros(len(words) + 1, dtype=np.int32)
-                    for s in some:
-                        steps[s["low"]] += 1
-                        steps[s["high"]] -= 1
-                    free = np.cumsum(steps[:-1]) == 0
-                    words = [w for w, f in zip(words, free.tolist()) if f]
-                gone.append(counts[-1] - len(words))
-                kept.append(b" ".join(words).decode() if gone[-1] or joined_by_space else text)
-            arrays = [pa.array(kept, pa.string()) if c == "text" else batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], [*columns, "_n_words", "_n_removed"])
+        for batch in batches:
+            fields = batch.column("row").flatten()
+            whole = pa.RecordBatch.from_arrays([*fields, batch.column("spans")], [*(f"c{k}" for k in range(len(fields))), "spans"])
+            for part in slices(iter([whole]), f"c{place}"):
+                yield cut_part(part)
+        trim_memory()
+
+    def cut_part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kept, total, gone = [], [], []
+        for text, some in zip(texts(batch.column(place)), batch.column("spans").to_pylist()):
+            words = text.encode().split()
+            total.append(len(words))
+            if some:
+                steps = np.zeros(len(words) + 1, dtype=np.int32)
+                for s in some:
+                    steps[s["low"]] += 1
+                    steps[s["high"]] -= 1
+                free = np.cumsum(steps[:-1]) == 0
+                words = [w for w, f in zip(words, free.tolist()) if f]
+            gone.append(total[-1] - len(words))
+            kept.append(b" ".join(words).decode() if gone[-1] or joined_by_space else text)
+        arrays = [pa.array(kept, pa.string()) if k == place else batch.column(k) for k in range(len(columns))]
+        numbers = [pa.array(total, pa.int64()), pa.array(gone, pa.int64())] if counts else []
+        return pa.RecordBatch.from_arrays([*arrays, *numbers], [*columns, *extra])
 
     return joined.mapInArrow(cut, schema)
 
