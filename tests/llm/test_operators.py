@@ -1,6 +1,7 @@
 """The text operators on a small table with odd rows, against brute force, round trips or held-out labels."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -143,6 +144,27 @@ def test_likeness_at_every_length():
         assert fingerprints.extended_likeness(both[0], a, other, fingerprints.marked(other)) < 0.01
 
 
+def test_one_window_for_all_lengths():
+    """Near copies on both sides of any length have places in common."""
+    random.seed(12)
+    for n in (20, 40, 95, 96, 97, 98, 200):
+        text = "".join(random.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+        for other in (text[2:], text[:-2], text[: n // 2] + "#" + text[n // 2 :]):
+            x, y = fingerprints.PrefixHash(text), fingerprints.PrefixHash(other)
+            assert fingerprints.extended_likeness(x, fingerprints.marked(x), y, fingerprints.marked(y)) > 0.85
+
+
+def test_an_id_of_many_rows_is_split(spark):
+    rows = [(None, f"{k:05d} text") for k in range(3000)] + [(k, f"own {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = fingerprints.in_order(docs, 4)
+    sizes = [r["count"] for r in placed.where("doc_id is null and not peek").groupBy("bucket").count().collect()]
+    assert len(sizes) > 10 and max(sizes) < 500
+    ordered = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1]))
+    want = Counter((i, hashlib.sha256(fingerprints.edited(t, ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(ordered))
+    assert Counter((r.doc_id, r.edited_sha256) for r in fingerprints.fingerprints(docs).select("doc_id", "edited_sha256").collect()) == want
+
+
 def test_extensions_count_shared_stretches():
     def near(a, b):
         x, y = fingerprints.PrefixHash(a), fingerprints.PrefixHash(b)
@@ -173,6 +195,16 @@ def test_license_notice_with_inserted_words(spark):
     assert labels == {1: "bsd", 2: ""}
 
 
+def test_license_counts_each_place_once(spark):
+    """A notice's few grams said again and again are no notice: three of seven are found."""
+    words = license_scan.NOTICES["gpl-3"].split()
+    again = "the gnu general public license general public license general public license"
+    frame = spark.createDataFrame([(1, again), (2, " ".join(words))], "doc_id long, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in license_scan.scan(frame).collect()}
+    assert len(words) == 9 and found[2] == ("gpl-3", 1.0)
+    assert found[1][0] == "" and abs(found[1][1] - 3 / 7) < 1e-9
+
+
 def brute_dedup(docs, size=13):
     tokens = {i: re.findall("[^\x20\x09-\x0d]+", t or "") for i, t in docs}
     first = {}
@@ -280,7 +312,9 @@ def test_ngram_join(spark, odd, rare):
     assert found == want
 
 
-def test_ngram_join_on_many_near_copies(spark):
+@pytest.mark.parametrize("options", [{}, {"rounds": 1, "small": 1}])
+def test_ngram_join_on_many_near_copies(spark, options):
+    """With few rounds and small blocks, links are found by longer combinations and by tiles."""
     random.seed(9)
     docs, word = [], lambda: "".join(random.choice("abcdefgh") for _ in range(5))
     for g in range(6):
@@ -290,7 +324,7 @@ def test_ngram_join_on_many_near_copies(spark):
             for _ in range(random.randint(0, max(1, len(base) // 18))):
                 words[random.randrange(len(words))] = word()
             docs.append((len(docs), " ".join(words)))
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(docs, "doc_id long, text string"), rare=3).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(docs, "doc_id long, text string"), rare=3, **options).collect()}
     assert found == brute_components(docs)
 
 
@@ -351,6 +385,51 @@ def test_mixing(spark, odd, sf_dir):
         assert own[0].source_size == sum(r["size"] for r in own)
 
 
+def test_mixing_without_ids(spark):
+    """Rows without an id are drawn one by one, also where their texts are equal."""
+    rows = [(None, "w " * (50 + k % 3), "a" if k < 1000 else "b") for k in range(2000)] + [(None, None, "a"), (None, "", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n")).collect()}
+    sizes = [sum(len((t or "").split()) for _, t, x in rows if x == n) for n in "ab"]
+    for name, target in zip("ab", mixing.targets(sizes, [5, 2], sum(sizes))):
+        assert abs(taken[name] - target) <= 60, (taken, target)
+
+
+def test_mixing_equals_a_sorted_sample(spark, odd):
+    """The plan and the cut against expectations and an order that are worked out for all rows at once."""
+    for docs in (spark.read.parquet(f"{odd}/documents.parquet"), spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(1 + pow(id % 97, 2) as int)) as text", "concat('s', id % 5) as source")):
+        drawn = mixing.sized(docs)
+        plan, cut = mixing.plan_mix(drawn)
+        found = mixing.copies(drawn, plan, cut).select("source", "_size", "_bits", "_u", "_tie", "_copies").collect()
+        names = sorted({r.source for r in found} - {None}) + [None] * any(r.source is None for r in found)
+        sizes = [sum(r["_size"] for r in found if r.source == n) for n in names]
+        for name, target in zip(names, mixing.targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(names))], sum(sizes))):
+            own = [r for r in found if r.source == name]
+            words = Counter()
+            for r in own:
+                words[r["_bits"]] += r["_size"]
+            expected = mixing.expectations(dict(words), target)
+            certain = {b: int(e + 1e-9) for b, e in expected.items()}
+            ranked = []
+            for r in own:
+                part = min(max(expected[r["_bits"]] - certain[r["_bits"]], 0.0), 1 - 1e-12)
+                if part > 0:
+                    odds = (r["_u"] / (1 - r["_u"])) / (part / (1 - part))
+                    ranked.append((int(odds / (1 + odds) * 2**40) * 4096 + r["_tie"], r["_size"], r["_copies"] - certain[r["_bits"]]))
+                else:
+                    assert r["_copies"] == certain[r["_bits"]]
+            ranked.sort()
+            need = target - sum(certain[r["_bits"]] * r["_size"] for r in own)
+            upto, taken = 0, set()
+            for rank, size, _ in ranked:
+                if upto >= need or abs(upto + size - need) > abs(upto - need):
+                    break
+                upto += size
+                taken.add(rank)
+            assert sum(size for _, size, extra in ranked if extra) == upto
+            assert all(extra == (rank in taken) for rank, size, extra in ranked if size)
+
+
 def test_pareto_order_takes_unequal_shares(spark):
     frame = spark.range(40_000).selectExpr("id as doc_id", "repeat('w ', cast(1 + (id % 2) * 255 as int)) as text", "case when id % 4 < 2 then 'a' else 'b' end as source")
     taken = mixing.mix(frame).groupBy("source", F.length("text").alias("n")).count().collect()
@@ -367,6 +446,79 @@ def test_quality_classifier_held_out(spark, sf_dir):
     assert len(held) > 50 and np.mean([a == b for a, b in held]) > 0.93
 
 
+def test_quality_scores_by_hand(spark, sf_dir):
+    """Statistics by words and characters in Python, and the densities from inverse covariances and determinants."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labelled = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+
+    def numbers(text):
+        words = re.findall("[^\x20\x09-\x0d]+", text or "")
+        raw = [w.encode() for w in words]
+        lower = [bytes(c + 32 if 65 <= c < 91 else c for c in w) for w in raw]
+        n, letters = len(words), b"".join(raw)
+        m, size = max(n, 1), max(len(letters), 1)
+        lengths = [len(w) for w in raw]
+        mean = sum(lengths) / m
+        spread = math.sqrt(max(sum(x * x for x in lengths) / m - mean**2, 0))
+        count = lambda some: sum(c in some for c in letters)
+        grams = {tuple(lower[i : i + 3]) for i in range(n - 2)}
+        gaps = re.split("[^\x20\x09-\x0d]+", text or "")[1:]
+        return [
+            math.log1p(n), math.log(mean + 1), math.log1p(spread), math.log1p(50 * count(b"#*$%&|<>{}[]=_^~@\\") / m), math.log1p(20 * count(b".,;:!?") / m), math.log1p(20 * count(b"0123456789") / size),
+            math.sqrt(count(bytes(range(65, 91))) / size), sum(x <= 3 for x in lengths) / m, math.log1p(len(set(lower))) - math.log1p(n), math.sqrt(sum(a == b for a, b in zip(lower, lower[1:])) / m),
+            math.sqrt(max(1 - (len(grams) + 1) / (max(n - 2, 0) + 1), 0)), math.log1p(20 * sum("\n" in g for g in gaps) / m), math.log1p(10 * sum(w[-1] in b".,;:!?" for w in raw) / m),
+        ]
+
+    rows = {r.doc_id: np.array(numbers(r.text)) for r in docs.collect()}
+    table = quality_classifier.statistics_table(docs)
+    for r in table.collect():
+        assert np.allclose(r.x, rows[r.doc_id], atol=1e-9), (r.doc_id, r.x, rows[r.doc_id])
+    train = {i: y for i, y in labelled.items() if zlib.crc32(str(i).encode()) % 4 != 2 and i in rows and y in (0, 1)}
+    classes = [np.array([np.rint(rows[i] * quality_classifier.STEPS) / quality_classifier.STEPS for i, y in train.items() if y == c]) for c in (0, 1)]
+    own = [np.cov(x.T, bias=True) for x in classes]
+    pooled = sum(len(x) * c for x, c in zip(classes, own)) / len(train)
+    mixed = [quality_classifier.shrink(c, len(x), pooled) for x, c in zip(classes, own)]
+
+    def density(x, c):
+        away = x - classes[c].mean(axis=0)
+        return math.log((len(classes[c]) + 1) / (len(train) + 2)) - 0.5 * np.linalg.slogdet(mixed[c])[1] - 0.5 * away @ np.linalg.inv(mixed[c]) @ away
+
+    for r in quality_classifier.op5_quality_classifier(spark, sf_dir).collect():
+        want = 1 / (1 + math.exp(min(max(density(rows[r.doc_id], 0) - density(rows[r.doc_id], 1), -500), 500)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_labels_that_contradict_each_other(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    rows = [(i, i % 2, i % 2) for i in range(20)]
+    once, twice = (spark.createDataFrame(r, "doc_id long, quality int, toxic int") for r in (rows, [*rows, *rows, *((i, k, k) for i in range(20, 40) for k in (0, 1))]))
+    a, b = (quality_classifier.classify(docs, x).orderBy("doc_id").collect() for x in (once, twice))
+    assert a == b
+    assert (toxicity.fit(docs, once).tables == toxicity.fit(docs, twice).tables).all()
+
+
+def test_subsequence_kernel_by_hand():
+    """Common subsequences of three symbols within a span of five, over both words with their edge marks."""
+    random.seed(5)
+
+    def weights(word):
+        x, out = (0, *word, 0), Counter()
+        for a in range(len(x)):
+            for b in range(a + 1, len(x)):
+                for c in range(b + 1, min(a + toxicity.SPAN, len(x))):
+                    out[x[a], x[b], x[c]] += toxicity.DECAY ** (c - a + 1)
+        return out
+
+    words = [bytes(random.choices([1, 2, 3, 4, 5], k=random.randint(1, 9))) for _ in range(30)]
+    norm = lambda w: math.sqrt(max(sum(max(len(w) + 2 - j, 0) * toxicity.DECAY ** (2 * (j + 1)) for _, j in toxicity.PATTERNS), 1e-9))
+    found = toxicity.kernel(words, words[:6])
+    for i, w in enumerate(words):
+        for j, mark in enumerate(words[:6]):
+            a, b = weights(w), weights(mark)
+            # a pair of places with one span each: the landmark's weight meets that of the word's own occurrence
+            assert abs(found[i, j] - sum(v * b[k] for k, v in a.items()) / norm(w) / norm(mark)) < 1e-4
+
+
 def test_toxicity_held_out(spark, sf_dir):
     place = sf_dir.replace("sf0.001", "sf0.1")
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{place}/labels.parquet").collect()}
@@ -481,3 +633,40 @@ def test_pipeline(spark, odd):
         if name != "packing":
             assert set(docs.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
     assert docs.count() > 0
+
+
+NAMES = ["_size", "_bits", "_u", "_tie", "_rank", "_copy", "_copies", "_target", "_source_size", "_tag", "_spans", "_score", "_predicted", "_id", "_n_words", "row", "id", "stay", "spans", "tag", "col", "key", "component_id"]
+
+
+def test_pipeline_passes_columns_of_any_name(spark, odd):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet").withColumns({n: F.lit(k + 77) for k, n in enumerate(NAMES)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.materialize(stage(spark, docs, odd))
+        assert docs.columns == columns, name
+        assert [tuple(r) for r in docs.select(*(f"`{n}`" for n in NAMES)).distinct().collect()] == [tuple(range(77, 77 + len(NAMES)))], name
+    assert docs.count() > 0
+
+
+def test_pipeline_of_no_rows(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.llm.common import scratch_dir
+
+    def session(master, settings):
+        conf = SimpleNamespace(get=lambda k, d=None: settings.get(k, d))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert scratch_dir(session("spark://host", {"spark.checkpoint.dir": "hdfs:///x/"})).startswith("hdfs:///x/tessera-")
+    assert scratch_dir(session("local[4]", {}))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(session(master, {}))
