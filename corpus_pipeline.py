@@ -6,7 +6,12 @@
 4. mixing: documents are taken as often as the target weights of their sources ask for.
 5. packing: the mix as pieces of sequences.
 
-All stages but the last return the columns of ``documents``; n_chars follows the text. Rows without a doc_id stay.
+All stages but the last return the columns of ``documents``, and further ones, whatever their names; n_chars follows the text.
+
+Rows without a doc_id are scored, mixed and packed like others, but are no duplicate of any row and lose no passage. Null and
+empty texts stay: they are not toxic, no duplicates, take no words of the mix and are packed as one closing id. Repeated rows
+of one doc_id stay or go together until the mix, which draws them one by one. Texts are read whole at any length. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,19 +30,21 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     model = toxicity.fit(docs, labels(spark, sf_dir))
-    return toxicity.scores(docs, model).where("_predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     found = ngram_join.link_components(docs.select("doc_id", "text"))
-    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_id"], "left").where("doc_id is null or _id is not null").select(*docs.columns)
+    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("stay")).distinct()
+    # the rows go as structs, so that their names do not matter
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*docs.columns).alias("row"))
+    return rows.join(stay, F.col("id") == F.col("stay"), "left").where("id is null or stay is not null").select("row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    cut = substring_dedup.remove_repeats(docs)
+    cut = substring_dedup.remove_repeats(docs, counts=False)
     # a text that loses nothing stays as it is
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
