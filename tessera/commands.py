@@ -9,11 +9,13 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import THUMBNAIL
-from tessera.operators import catalog, raster
+from tessera.operators import catalog
 from tessera.plans.dialect import render
 from tessera.sources import images
 
@@ -70,33 +72,48 @@ def check(store: Store, listing: DataFrame) -> DataFrame:
 
 
 def filegen(store: Store, pictures: DataFrame) -> None:
-    """Enter pictures(path, length, modificationTime, content) that the catalog does not have, with their sizes."""
-    pixels = images.to_pixels(pictures).groupBy("path").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    new = pictures.join(pixels, "path").select(F.col("path").alias("url"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "width", "height", F.when(F.lower("path").rlike("[.]jpe?g$"), 0).otherwise(1).alias("format"))
-    missing = new.join(store.files.select("url"), "url", "left_anti")
-    store.save(catalog.upsert(store.files, missing), store.tiles)
+    """Enter pictures(path, length, modificationTime, content) that the catalog does not have, with the sizes in their headers."""
+    missing = pictures.join(store.files.select(F.col("url").alias("path")), "path", "left_anti")
+    jpeg = F.lower("path").rlike("[.]jpe?g$")
+    new = missing.select("path", "length", "modificationTime").join(images.image_sizes(missing), "path")
+    new = new.select(F.col("path").alias("url"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "width", "height", F.when(jpeg, 0).otherwise(1).alias("format"))
+    store.save(catalog.upsert(store.files, new), store.tiles)
 
 
-def thumbgen(store: Store, pictures: DataFrame, every: bool = False) -> None:
-    """Make the tiles that the store lacks: of each file the four smallest levels, or all with ``every``."""
+def thumbgen(store: Store, pictures: DataFrame, every: bool = False, foreign: DataFrame | None = None) -> None:
+    """Make the tiles that the store lacks: of each file the four smallest levels, or all with ``every``. What the decoders here do not
+    read comes from ``foreign`` (see ``images.read_foreign``)."""
     files, tiles = store.files, store.tiles
     plan = files.withColumn("top", F.expr(render(THUMBNAIL, "spark"))).withColumn("low", F.lit(0) if every else F.greatest(F.lit(0), F.col("top") - 3))
     have = tiles.groupBy("fileid").agg(F.min("scale").alias("lo"))
-    plan = plan.join(have, "fileid", "left").where("lo is null or low < lo").withColumn("high", F.expr("coalesce(lo - 1, top)"))
-    levels = int(plan.agg(F.max("high").alias("m")).first()["m"] or 0)
-    pixels = images.to_pixels(pictures.join(plan.select(F.col("url").alias("path")), "path", "left_semi")).withColumnRenamed("path", "img")
-    made = raster.pyramid(pixels, ["r", "g", "b", "a"], levels)
-    wanted = made.join(plan.select(F.col("url").alias("img"), "fileid", "low", "high"), "img").where("scale between low and high")
-    keyed = wanted.select(F.concat_ws("/", "fileid", "scale").alias("path"), "x", "y", "r", "g", "b", "a")
-    key = F.split("path", "/")
+    plan = plan.join(have, "fileid", "left").where("lo is null or low < lo").selectExpr("url as path", "fileid", "cast(low as int) as low", "cast(coalesce(lo - 1, top) as int) as high")
+    surfaces = images.decoded(pictures.join(plan.select("path"), "path", "left_semi"))
+    if foreign is not None:
+        surfaces = surfaces.unionByName(foreign)
     top = tiles.agg(F.coalesce(F.max("rowid"), F.lit(0)).alias("m")).first()["m"]
-    new = images.png_tiles(keyed).select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("rowid"), key[0].cast("long").alias("fileid"), key[1].cast("int").alias("scale"), "x", "y", "data", F.lit(0).alias("quality"), F.lit(1).alias("format"))
+    made = images.cut_tiles(surfaces.join(plan, "path"))
+    new = made.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("rowid"), "fileid", "scale", "x", "y", "data", F.lit(0).alias("quality"), F.lit(1).alias("format"))
     store.save(files, tiles.unionByName(new))
 
 
-def prepare(store: Store, pictures: DataFrame) -> None:
+def prepare(store: Store, pictures: DataFrame, foreign: DataFrame | None = None) -> None:
     filegen(store, pictures)
-    thumbgen(store, pictures, every=True)
+    thumbgen(store, pictures, every=True, foreign=foreign)
+
+
+def downscale(foreign: DataFrame, levels: int = 3) -> DataFrame:
+    """(path, data): each surface at an eighth of its size, as PNG."""
+    small = foreign.select(F.monotonically_increasing_id().alias("fileid"), F.lit(levels).alias("low"), F.lit(levels).alias("high"), "*")
+    tiles = images.cut_tiles(small, 1 << 16)
+    return small.select("fileid", "path").join(tiles, "fileid").select("path", "data")
+
+
+def view(store: Store, urls: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """What a viewer opens: the catalog's files of these urls, and those that match a pattern, with the levels that are there."""
+    known = store.files.join(urls.select("url"), "url", "left_semi")
+    if patterns:
+        known = known.unionByName(catalog.find_all(store.files, patterns))
+    return catalog.scale_ranges(known, store.tiles)
 
 
 def delete(store: Store, urls: DataFrame) -> None:
@@ -126,7 +143,17 @@ def export(store: Store, size: int = 512) -> DataFrame:
     files = store.files.withColumn("level", F.expr(level))
     kept = files.select("fileid", "url", F.col("level").alias("scale"))
     tiles = kept.join(store.tiles, ["fileid", "scale"]).select("url", "x", "y", F.col("data").alias("content"))
-    pixels = images.to_pixels(tiles.select(F.concat_ws("\n", "url", "x", "y").alias("path"), "content"))
     part = F.split("path", "\n")
-    placed = pixels.select(part[0].alias("path"), (F.col("x") + 256 * part[1].cast("int")).alias("x"), (F.col("y") + 256 * part[2].cast("int")).alias("y"), "r", "g", "b", "a")
-    return images.png_tiles(placed, 1 << 14).select(F.col("path").alias("url"), "data")
+    decoded = images.decoded(tiles.select(F.concat_ws("\n", "url", "x", "y").alias("path"), "content")).select(part[0].alias("url"), part[1].cast("int").alias("x"), part[2].cast("int").alias("y"), "width", "height", "channels", "data")
+    return decoded.groupBy("url").applyInPandas(_assembled, "url string, data binary")
+
+
+def _assembled(key: tuple, tiles: pd.DataFrame) -> pd.DataFrame:
+    """One image put together; its level is at most two tiles large in one direction, so a group is small."""
+    width = int((256 * tiles["x"] + tiles["width"]).max())
+    height = int((256 * tiles["y"] + tiles["height"]).max())
+    whole = np.full((height, width, 4), 255, np.uint8)
+    for t in tiles.itertuples():
+        surface = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.channels)
+        whole[256 * t.y : 256 * t.y + t.height, 256 * t.x : 256 * t.x + t.width, : t.channels] = surface
+    return pd.DataFrame({"url": [key[0]], "data": [images.encode_png(whole if (whole[..., 3] < 255).any() else whole[..., :3])]})

@@ -1,7 +1,8 @@
 """Sources and sinks for images: files, archives and their members, codecs, line files and workspace files.
 
-Codecs are plain functions on bytes, registered by name; Spark runs them in batches over ``binaryFile`` rows. What needs an
-outside program or a network (raw cameras, video, fetching) is not here; its loaders keep their places in the registry.
+Codecs are plain functions on bytes, registered by name; Spark runs them in batches over ``binaryFile`` rows. JPEG, GIF and BMP come
+decoded from Spark's ``image`` source. What needs an outside program or a network (raw cameras, video, fetching) is not here; its
+loaders keep their places in the registry.
 """
 
 from __future__ import annotations
@@ -49,31 +50,46 @@ def encode_png(pixels: Surface) -> bytes:
 
 def _unfilter(raw: np.ndarray, step: int) -> np.ndarray:
     """Undo PNG's row filters; raw has a filter number in front of each row."""
-    rows = np.zeros((raw.shape[0], raw.shape[1] - 1), dtype=np.uint8)
-    above = np.zeros(rows.shape[1], dtype=np.int32)
-    for k, (kind, line) in enumerate(zip(raw[:, 0], raw[:, 1:].astype(np.int32))):
-        if kind == 2:
+    width = (raw.shape[1] - 1) // step
+    rows = np.zeros((raw.shape[0], width, step), dtype=np.uint8)
+    above = np.zeros((width, step), dtype=np.int32)
+    for k, (kind, line) in enumerate(zip(raw[:, 0], raw[:, 1:].reshape(-1, width, step).astype(np.int32))):
+        if kind == 1:
+            line = np.cumsum(line, axis=0)  # each byte adds to the one a pixel before
+        elif kind == 2:
             line = line + above
-        elif kind in (1, 3, 4):
-            line = line.copy()
-            for i in range(len(line)):
-                left = line[i - step] if i >= step else 0
-                corner = above[i - step] if i >= step else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + above[i]) // 2
+        elif kind in (3, 4):
+            line, left, corner = line.copy(), np.zeros(step, dtype=np.int32), np.zeros(step, dtype=np.int32)
+            for i, up in enumerate(above):
+                if kind == 3:
+                    guess = (left + up) // 2
                 else:
-                    p = left + above[i] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - above[i]), 1, above[i]), (abs(p - corner), 2, corner))[2]
-                line[i] = (line[i] + guess) & 255
+                    a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                left = line[i] = (line[i] + guess) & 255
+                corner = up
         above = line & 255
         rows[k] = above
-    return rows
+    return rows.reshape(raw.shape[0], -1)
+
+
+#: The seven passes of interlaced images: first row and column, and the steps.
+_PASSES = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
+
+
+def _samples(raw: bytes, width: int, height: int, channels: int, depth: int) -> tuple[np.ndarray, int]:
+    """The samples of a (part of an) image as bytes, scaled up for grays by the caller, and how many bytes it took."""
+    row = (width * channels * depth + 7) // 8
+    size = height * (row + 1)
+    lines = _unfilter(np.frombuffer(raw, np.uint8, size).reshape(height, row + 1), max(1, channels * depth // 8))
+    if depth < 8:
+        bits = np.unpackbits(lines, axis=1)[:, : width * depth].reshape(height, width, depth)
+        return np.dot(bits, 1 << np.arange(depth)[::-1]).astype(np.uint8)[..., None], size
+    return lines.reshape(height, width, channels, depth // 8)[..., 0], size
 
 
 def decode_png(data: bytes) -> Surface:
-    """PNG of 8 or 16 bits a channel, gray, colour or palette, with or without alpha; not interlaced."""
+    """PNG of 1 to 16 bits a channel, gray, colour or palette, with or without alpha or a transparent colour, interlaced or not."""
     at, body, palette, alpha = 8, b"", None, None
     while at < len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
@@ -87,12 +103,17 @@ def decode_png(data: bytes) -> Surface:
         elif kind == b"IDAT":
             body += part
         at += 12 + size
-    if interlaced or depth < 8:
-        raise ValueError("interlaced images and less than 8 bits are not decoded")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    step = channels * depth // 8
-    raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * step)
-    pixels = _unfilter(raw, step).reshape(height, width, channels, depth // 8)[..., 0]
+    raw = zlib.decompress(body)
+    if interlaced:
+        pixels, done = np.zeros((height, width, channels), np.uint8), 0
+        for top, left, down, right in _PASSES:
+            part = pixels[top::down, left::right]
+            if part.size:
+                part[...], size = _samples(raw[done:], part.shape[1], part.shape[0], channels, depth)
+                done += size
+    else:
+        pixels, _ = _samples(raw, width, height, channels, depth)
     if colour == 3:
         index = pixels[..., 0]
         pixels = palette[index]
@@ -100,9 +121,16 @@ def decode_png(data: bytes) -> Surface:
             full = np.full(256, 255, np.uint8)
             full[: len(alpha)] = alpha
             pixels = np.dstack([pixels, full[index]])
-    elif colour in (0, 4):
+        return pixels
+    clear = None
+    if alpha is not None and colour in (0, 2):  # one colour that is transparent
+        key = alpha.reshape(-1, 2)[:, 1 if depth < 16 else 0]
+        clear = np.where((pixels == key).all(axis=-1), 0, 255).astype(np.uint8)
+    if depth < 8:
+        pixels = (pixels.astype(np.int32) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+    if colour in (0, 4):
         pixels = np.dstack([pixels[..., :1]] * 3 + [pixels[..., 1:]])
-    return pixels
+    return pixels if clear is None else np.dstack([pixels, clear])
 
 
 def decode_pnm(data: bytes) -> Surface:
@@ -170,36 +198,135 @@ def decode(data: bytes, loader: str | None) -> Surface | None:
     return None
 
 
-def to_pixels(files: DataFrame) -> DataFrame:
-    """(path, x, y, r, g, b, a) of files(path, content); files that no loader reads give no rows."""
+def _png_size(data: bytes) -> tuple[int, int]:
+    return struct.unpack_from(">II", data, 16)
+
+
+def _jpeg_size(data: bytes) -> tuple[int, int]:
+    """From the frame's header, which is found by going from marker to marker."""
+    at = 2
+    while True:
+        if data[at] != 0xFF:
+            raise ValueError("no marker")
+        kind = data[at + 1]
+        if kind == 0xFF:
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            height, width = struct.unpack_from(">HH", data, at + 5)
+            return width, height
+        else:
+            at += 2 if kind == 1 or 0xD0 <= kind <= 0xD8 else 2 + struct.unpack_from(">H", data, at + 2)[0]
+
+
+def _pnm_size(data: bytes) -> tuple[int, int]:
+    surface = decode_pnm(data)
+    return surface.shape[1], surface.shape[0]
+
+
+def _dds_size(data: bytes) -> tuple[int, int]:
+    height, width = struct.unpack_from("<II", data, 12)
+    return width, height
+
+
+SIZES: dict[bytes, Callable[[bytes], tuple[int, int]]] = {b"\x89PNG": _png_size, b"\xff\xd8": _jpeg_size, b"P5": _pnm_size, b"P6": _pnm_size, b"DDS ": _dds_size}
+
+
+def size_of(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the header of a file, by its magic bytes; none if there is no loader or the header is broken."""
+    for magic, size in SIZES.items():
+        if data.startswith(magic):
+            try:
+                return size(data)
+            except (ValueError, struct.error, IndexError):
+                return None
+    return None
+
+
+def image_sizes(files: DataFrame) -> DataFrame:
+    """(path, width, height) of files(path, content), from the headers alone; files that no loader reads give no rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(path, *size) for path, content in zip(frame["path"], frame["content"]) if (size := size_of(bytes(content)))]
+            yield pd.DataFrame(found, columns=["path", "width", "height"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, width int, height int")
+
+
+SURFACE = "path string, width int, height int, channels int, data binary"
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, width, height, channels, data) of files(path, content): rows of bytes from the top. Files that no decoder here reads give no
+    rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 surface = decode(bytes(content), path.rpartition(".")[2].lower())
-                if surface is None:
-                    continue
-                height, width, channels = surface.shape
-                y, x = np.divmod(np.arange(height * width), width)
-                flat = surface.reshape(-1, channels).astype(np.int32)
-                alpha = flat[:, 3] if channels == 4 else np.full(len(flat), 255)
-                yield pd.DataFrame({"path": path, "x": x, "y": y, "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2], "a": alpha})
+                if surface is not None:
+                    height, width, channels = surface.shape
+                    yield pd.DataFrame({"path": [path], "width": [width], "height": [height], "channels": [channels], "data": [np.ascontiguousarray(surface).tobytes()]})
+
+    return files.select("path", "content").mapInPandas(run, SURFACE)
+
+
+def read_foreign(spark: SparkSession, path: str) -> DataFrame:
+    """The same of JPEG, GIF and BMP files below a path, which Spark's ``image`` source decodes; gray ones as colour."""
+    reader = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "true").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG,gif,GIF,bmp,BMP}")
+    rows = reader.load(path).select("image.*").where("origin not like '%/.thumbnails/%' and origin not like '%/.xvpics/%'")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                stored = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.nChannels)
+                surface = np.dstack([stored] * 3) if r.nChannels == 1 else stored[..., [2, 1, 0, 3][: r.nChannels]]
+                yield pd.DataFrame({"path": [r.origin], "width": [r.width], "height": [r.height], "channels": [surface.shape[2]], "data": [np.ascontiguousarray(surface).tobytes()]})
+
+    told = rows.mapInPandas(run, SURFACE)
+    return told.withColumn("path", F.regexp_replace("path", "^file:/+", "file:/"))
 
-    return files.select("path", "content").mapInPandas(run, "path string, x int, y int, r int, g int, b int, a int")
 
+def halved(surface: Surface) -> Surface:
+    """A box of two by two pixels becomes one, truncating; an odd last row or column goes."""
+    h, w = surface.shape[0] // 2, surface.shape[1] // 2
+    box = surface[: 2 * h, : 2 * w].reshape(h, 2, w, 2, surface.shape[2]).astype(np.uint16)
+    return (box.sum(axis=(1, 3)) // 4).astype(np.uint8)
 
-def png_tiles(pixels: DataFrame, size: int = 256) -> DataFrame:
-    """(path, x, y, data): each tile of pixels as PNG; a tile is one group, of at most size * size pixels."""
 
-    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x, y = frame["x"].to_numpy() % size, frame["y"].to_numpy() % size
-        surface = np.zeros((y.max() + 1, x.max() + 1, 4), np.uint8)
-        surface[y, x] = frame[["r", "g", "b", "a"]].to_numpy()
-        opaque = surface if (surface[..., 3] < 255).any() else surface[..., :3]
-        return pd.DataFrame({"path": [key[0]], "x": [key[1]], "y": [key[2]], "data": [encode_png(opaque)]})
+def cut_tiles(surfaces: DataFrame, size: int = 256) -> DataFrame:
+    """(fileid, scale, x, y, data) of surfaces(fileid, low, high, width, height, channels, data): the tiles of the levels low to high as
+    PNG. An image is decoded, halved and cut in one pass of one task; nothing but its tiles leaves it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                level = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)
+                for scale in range(r.high + 1):
+                    if scale:
+                        level = halved(level)
+                    if scale < r.low or not level.size:
+                        continue
+                    for y in range(0, level.shape[0], size):
+                        row = [level[y : y + size, x : x + size] for x in range(0, level.shape[1], size)]
+                        made = [encode_png(t if r.channels == 4 and (t[..., 3] < 255).any() else t[..., :3]) for t in row]
+                        yield pd.DataFrame({"fileid": r.fileid, "scale": scale, "x": range(len(made)), "y": y // size, "data": made})
+
+    return surfaces.select("fileid", "low", "high", "width", "height", "channels", "data").mapInPandas(run, "fileid long, scale int, x int, y int, data binary")
+
+
+def to_pixels(files: DataFrame) -> DataFrame:
+    """(path, x, y, r, g, b, a) of files(path, content); files that no loader reads give no rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples():
+                flat = np.frombuffer(r.data, np.uint8).reshape(-1, r.channels).astype(np.int32)
+                y, x = np.divmod(np.arange(len(flat)), r.width)
+                alpha = flat[:, 3] if r.channels == 4 else np.full(len(flat), 255)
+                yield pd.DataFrame({"path": r.path, "x": x, "y": y, "r": flat[:, 0], "g": flat[:, 1], "b": flat[:, 2], "a": alpha})
 
-    keyed = pixels.withColumn("tx", F.expr(f"x div {size}").cast("int")).withColumn("ty", F.expr(f"y div {size}").cast("int"))
-    return keyed.groupBy("path", "tx", "ty").applyInPandas(pack, "path string, x int, y int, data binary")
+    return decoded(files).mapInPandas(run, "path string, x int, y int, r int, g int, b int, a int")
 
 
 # -- archives ------------------------------------------------------------------------------------------------------------

@@ -51,3 +51,24 @@ def test_commands(spark, tmp_path):
     assert {r.exists for r in commands.check(store, part.files).collect()} == {True, False}
     commands.delete(store, part.files)
     assert store.files.count() == 1 and store.tiles.select("fileid").distinct().count() == 1
+
+
+def test_commands_with_jpeg(spark, tmp_path):
+    """JPEG files are entered with the size in their header, and their tiles come from Spark's decoder."""
+    from tests.test_sources import write_jpeg
+
+    (tmp_path / "in").mkdir()
+    pixels = np.zeros((300, 520, 3), np.uint8)
+    pixels[:, 260:] = (30, 160, 90)
+    write_jpeg(spark, tmp_path / "in" / "p.jpg", pixels)
+    pictures, foreign = images.read_binary(spark, str(tmp_path / "in")), images.read_foreign(spark, str(tmp_path / "in"))
+    store = commands.Store(spark, str(tmp_path / "store"))
+    commands.prepare(store, pictures, foreign)
+    assert [(r.width, r.height, r.format) for r in store.files.collect()] == [(520, 300, 0)]
+    tiles = {(t.scale, t.x, t.y): images.decode_png(bytes(t.data)) for t in store.tiles.collect()}
+    assert {k[1:] for k in tiles if k[0] == 0} == {(x, y) for x in range(3) for y in range(2)} and max(k[0] for k in tiles) == 6
+    assert np.abs(tiles[(0, 2, 0)].astype(int) - pixels[:256, 512:]).mean() < 6
+    small = commands.downscale(foreign).collect()[0]
+    assert images.decode_png(bytes(small.data)).shape == (37, 65, 3)
+    urls = store.files.select("url")
+    assert [(r.min_scale, r.max_scale) for r in commands.view(store, urls.where("false"), ["*p.jpg"]).collect()] == [(0, 6)]

@@ -4,6 +4,7 @@ import io
 import struct
 import tarfile
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -36,6 +37,58 @@ def test_png_filters(kind):
     assert (images._unfilter(raw, 3) == pixels).all()
 
 
+def chunk(kind, body):
+    return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+
+def made_png(width, height, depth, colour, raw, *more, interlaced=0):
+    head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced))
+    return b"\x89PNG\r\n\x1a\n" + head + b"".join(more) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_png_of_few_bits(depth):
+    values = np.random.default_rng(depth).integers(0, 1 << depth, (5, 11))
+    raw = b"".join(b"\0" + np.packbits(np.unpackbits(row.astype(np.uint8)[:, None], axis=1)[:, 8 - depth :].ravel()).tobytes() for row in values)
+    gray = images.decode_png(made_png(11, 5, depth, 0, raw))
+    assert (gray == (values * 255 // ((1 << depth) - 1))[..., None]).all()
+    palette = surface(3, height=1, width=1 << depth)[0]
+    found = images.decode_png(made_png(11, 5, depth, 3, raw, chunk(b"PLTE", palette.tobytes())))
+    assert (found == palette[values]).all()
+
+
+def test_png_interlaced_and_transparent():
+    pixels = surface(3)
+    passes = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)]
+    raw = b"".join(b"\0" + row.tobytes() for a, b, c, d in passes if pixels[a::c, b::d].size for row in np.ascontiguousarray(pixels[a::c, b::d]))
+    assert (images.decode_png(made_png(17, 11, 8, 2, raw, interlaced=1)) == pixels).all()
+    plain = b"".join(b"\0" + row.tobytes() for row in pixels)
+    clear = images.decode_png(made_png(17, 11, 8, 2, plain, chunk(b"tRNS", struct.pack(">HHH", *pixels[3, 4].tolist()))))
+    assert clear[3, 4, 3] == 0 and (clear[..., 3] == 0).sum() == (pixels == pixels[3, 4]).all(axis=-1).sum()
+
+
+def write_jpeg(spark, path, pixels):
+    """By Java's own writer."""
+    awt, io_ = spark._jvm.java.awt.image, spark._jvm.javax.imageio.ImageIO
+    picture = awt.BufferedImage(pixels.shape[1], pixels.shape[0], 1)
+    for y, row in enumerate(pixels.tolist()):
+        for x, (r, g, b) in enumerate(row):
+            picture.setRGB(x, y, r << 16 | g << 8 | b)
+    assert io_.write(picture, "jpg", spark._jvm.java.io.File(str(path)))
+
+
+def test_jpeg(spark, tmp_path):
+    pixels = np.zeros((20, 33, 3), np.uint8)
+    pixels[..., 0], pixels[10:, :, 2] = 200, 120
+    write_jpeg(spark, tmp_path / "p.jpg", pixels)
+    row = images.read_foreign(spark, str(tmp_path)).collect()[0]
+    found = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.channels)
+    assert found.shape == pixels.shape and np.abs(found.astype(int) - pixels).mean() < 12
+    files = images.read_binary(spark, str(tmp_path), "*.jpg")
+    assert [(r.width, r.height) for r in images.image_sizes(files).collect()] == [(33, 20)]
+    assert files.join(images.read_foreign(spark, str(tmp_path)), "path").count() == 1
+
+
 def test_pnm():
     pixels = surface(3, height=2, width=3)
     assert (images.decode_pnm(b"P6\n# a comment\n3 2\n255\n" + pixels.tobytes()) == pixels).all()
@@ -74,10 +127,12 @@ def test_files_and_archives(spark, tmp_path):
     assert {r.path.rpartition("/")[2]: r["count"] for r in pixels.groupBy("path").count().collect()} == {"a.png": 187, "wrong.dds": 187}
     members = {(r.plugin, r.member): bytes(r.content) for r in images.archive_members(files).collect()}
     assert members == {("zip", "dir/[1].png"): png, ("tar", "d.txt"): b"hi"}
-    tiles = images.png_tiles(pixels.where("path like '%a.png'"), 8).collect()
+    surfaces = images.decoded(files.where("path like '%a.png'")).selectExpr("1L as fileid", "0 as low", "0 as high", "*")
+    tiles = images.cut_tiles(surfaces, 8).collect()
     assert len(tiles) == 6
-    first = next(t for t in tiles if (t.x, t.y) == (0, 0))
-    assert (images.decode_png(bytes(first.data)) == surface(3)[:8, :8]).all()
+    assert all((images.decode_png(bytes(t.data)) == surface(3)[8 * t.y : 8 * t.y + 8, 8 * t.x : 8 * t.x + 8]).all() for t in tiles)
+    sizes = {r.path.rpartition("/")[2]: (r.width, r.height) for r in images.image_sizes(files).collect()}
+    assert sizes == {"a.png": (17, 11), "wrong.dds": (17, 11)}
 
 
 def test_workspace_round_trip(spark, tmp_path):
