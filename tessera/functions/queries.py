@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import ARCHIVE_MAGIC, ARCHIVE_SUFFIXES, IMAGE_EXTENSIONS, IMAGE_MAGIC, THUMBNAIL, extension, halvings, normalize_path, values
+from tessera.functions.urls import format_url, has_stdio_name, is_hidden, is_remote, is_url, parse_url, route
 from tessera.plans.dialect import Family, fixture, run
 
 FAMILY = Family()
@@ -22,13 +23,36 @@ _PARSED = """select url, substr(url, 1, instr(url, '/') - 2) as protocol,
  case when instr(rest, '//') > 0 then split_part(substr(rest, instr(rest, '//') + 2), ':', 1) end as plugin,
  case when instr(rest, '//') > 0 and instr(substr(rest, instr(rest, '//') + 2), ':') > 0 then substr(rest, instr(rest, '//') + 2 + instr(substr(rest, instr(rest, '//') + 2), ':')) end as plugin_payload
 from (select url, substr(url, instr(url, '/') + 2) as rest from links)"""
-same("url_parse", f"with links as ({_LINKS}) {_PARSED}")
-same("url_roundtrip", f"with links as ({_LINKS}), p as ({_PARSED}) select url, concat(protocol, '://', payload, case when plugin is null then '' else concat('//', plugin, case when plugin_payload is null then '' else concat(':', plugin_payload) end) end) as formatted from p")
-same("url_flags", f"with links as ({_LINKS}), p as ({_PARSED}) select url, protocol <> 'file' as is_remote, protocol = 'file' and plugin is null as has_stdio_name, rx(url, '^[a-z]*://') as is_url from p")
-same(
+
+
+@own("url_parse", f"with links as ({_LINKS}) {_PARSED}")
+def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = run(spark, sf_dir, _LINKS).withColumn("parts", parse_url(F.col("url")))
+    return links.select("url", "parts.*")
+
+
+@own("url_roundtrip", f"with links as ({_LINKS}), p as ({_PARSED}) select url, concat(protocol, '://', payload, case when plugin is null then '' else concat('//', plugin, case when plugin_payload is null then '' else concat(':', plugin_payload) end) end) as formatted from p")
+def url_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = run(spark, sf_dir, _LINKS)
+    return links.select("url", format_url(parse_url(F.col("url"))).alias("formatted"))
+
+
+@own("url_flags", f"with links as ({_LINKS}), p as ({_PARSED}) select url, protocol <> 'file' as is_remote, protocol = 'file' and plugin is null as has_stdio_name, rx(url, '^[a-z]*://') as is_url from p")
+def url_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = run(spark, sf_dir, _LINKS).withColumn("parts", parse_url(F.col("url")))
+    parts = F.col("parts")
+    return links.select("url", is_remote(parts).alias("is_remote"), has_stdio_name(parts).alias("has_stdio_name"), is_url(F.col("url")).alias("is_url"))
+
+
+_TOOLS = f"{_LINKS} union all select 'file:///a/b.workspace' union all select 'builtin://mandelbrot' union all select 'buildin://mandelbrot' union all select 'file:///z/ImageProperties.xml'"
+
+
+@own(
     "route_urls",
-    f"with links as ({_LINKS} union all select 'file:///a/b.workspace' union all select 'builtin://mandelbrot' union all select 'buildin://mandelbrot' union all select 'file:///z/ImageProperties.xml') select url, case when url like '%.workspace' then 'workspace' when url like 'builtin://%' or url like 'buildin://%' then 'builtin' when url like '%ImageProperties.xml' then 'zoomify' else 'database' end as route from links",
+    f"with links as ({_TOOLS}) select url, case when url like '%.workspace' then 'workspace' when url like 'builtin://%' or url like 'buildin://%' then 'builtin' when url like '%ImageProperties.xml' then 'zoomify' else 'database' end as route from links",
 )
+def route_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _TOOLS).select("url", route(F.col("url")).alias("route"))
 
 
 @own("normalize_path", "with recursive p as (select fileid, concat(replace(substr(url, 8), '/brand', '/./x/../brand'), case when fileid % 2 = 0 then '/..//./' else '' end) as path from img_files), w as (select fileid, path, string_split(path, '/') as parts, 1 as i, cast([] as varchar[]) as stack from p union all select fileid, path, parts, i + 1, case when parts[i] in ('', '.') then stack when parts[i] = '..' then stack[1:len(stack) - 1] else list_append(stack, parts[i]) end from w where i <= len(parts)) select fileid, path, '/' || array_to_string(stack, '/') as normal from w where i = len(parts) + 1")
@@ -48,8 +72,30 @@ def file_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "img_files").select("fileid", extension(F.col("url")).alias("extension"))
 
 
-same("suffix_prefix", "select url, right(url, 4) = '.jpg' as has_suffix, substr(url, 1, 8) = 'file:///' as has_prefix from img_files")
-same("scan_paths", "select url from (select url from img_files union all select replace(url, '/promo/', '/.thumbnails/') from img_files union all select replace(url, '/small/', '/.xvpics/') from img_files) where url not like '%/.thumbnails/%' and url not like '%/.xvpics/%'")
+@own("suffix_prefix", "select url, right(url, 4) = '.jpg' as has_suffix, substr(url, 1, 8) = 'file:///' as has_prefix from img_files")
+def suffix_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return fixture(spark, sf_dir, "img_files").select("url", url.endswith(".jpg").alias("has_suffix"), url.startswith("file:///").alias("has_prefix"))
+
+
+_TREE = "select url from img_files union all select replace(url, '/promo/', '/.thumbnails/') from img_files union all select replace(url, '/small/', '/.xvpics/') from img_files"
+
+
+@own("scan_paths", f"select url from ({_TREE}) where url not like '%/.thumbnails/%' and url not like '%/.xvpics/%'")
+def scan_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _TREE).where(~is_hidden(F.col("url")))
+
+
+def listed_in(paths: DataFrame, folder: str) -> DataFrame:
+    """The files that lie right in a folder, with their whole paths."""
+    return paths.where(F.substring_index("url", "/", -1) != "").where(F.regexp_replace("url", "/[^/]*$", "") == folder.rstrip("/"))
+
+
+@own("list_folder", "select url from img_files where url glob 'file:///promo*' and array_to_string(string_split(url, '/')[1:5], '/') = 'file:///' || string_split(url, '/')[4] || '/Brand-1' and len(string_split(url, '/')) = 6 and string_split(url, '/')[4] = (select min(string_split(url, '/')[4]) from img_files where url like 'file:///promo%')")
+def list_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixture(spark, sf_dir, "img_files").select("url")
+    kind = files.where("url like 'file:///promo%'").agg(F.min(F.split("url", "/")[3]).alias("k")).first()["k"]
+    return listed_in(files, f"file:///{kind}/Brand-1")
 #: Files, some in folders and on hosts with dots in their names.
 _DOTTED = "select fileid, case when fileid % 3 = 0 then replace(url, 'file:///', 'http://a.b/c.png/') else url end as url from img_files"
 
@@ -63,8 +109,16 @@ def jpeg_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpegs(run(spark, sf_dir, _DOTTED))
 
 
-same("valid_files", "with f as (select fileid, url, case when fileid % 13 = 0 then 0 else width end as width, case when fileid % 13 = 0 then 0 else height end as height from img_files) select * from f where not (width = 0 and height = 0)")
-same("md5_hex", "select fileid, md5(url) as digest from img_files")
+@own("valid_files", "with f as (select fileid, url, case when fileid % 13 = 0 then 0 else width end as width, case when fileid % 13 = 0 then 0 else height end as height from img_files) select * from f where not (width = 0 and height = 0)")
+def valid_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, "select fileid, url, case when fileid % 13 = 0 then 0 else width end as width, case when fileid % 13 = 0 then 0 else height end as height from img_files")
+    return files.where((F.col("width") != 0) | (F.col("height") != 0))
+
+
+@own("md5_hex", "select fileid, md5(url) as digest from img_files")
+def md5_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_files").select("fileid", F.md5("url").alias("digest"))
+
 
 # -- registries ------------------------------------------------------------------------------------------------------
 _EXTENDED = "select fileid, url, lower(regexp_extract(url, '([^.]*[.](gz|bz2|GZ|BZ2)|[^.]*)$', 1)) as extension from img_files"
@@ -194,7 +248,17 @@ _LISTING = "select fileid, concat('7-Zip listing', chr(10), 'Path = ', url, chr(
 same("parse_archive_listing", f"with l as ({_LISTING}), b as (select fileid, split_part(listing, concat('----------', chr(10)), 2) as body from l), n as (select fileid, body, [[1 : 4]] as i from b), r as (select fileid, split_part(body, chr(10), cast(i as int)) as line from n) select fileid, substr(line, 8) as member from r where line like 'Path = %'")
 _XCF = "select page_id, concat('+ 640x480+0+0 RGB-alpha Normal Layer ', cast(page_id as string)) as line from pages union all select page_id, concat('- 32x16-4+8 RGB Multiply Background copy') from pages"
 same("parse_xcfinfo", f"with l as ({_XCF}) select page_id, regexp_extract(line, '^(.)', 1) as visible, cast(regexp_extract(line, '^. ([0-9]+)x', 1) as int) as width, cast(regexp_extract(line, '^. [0-9]+x([0-9]+)', 1) as int) as height, regexp_extract(line, '^. [0-9]+x[0-9]+[-+][0-9]+[-+][0-9]+ [^ ]+ [^ ]+ (.*)$', 1) as layer from l")
-same("cmyk_to_rgb", "select c_custkey, cast(c * k ~/ 255 as int) as r, cast(m * k ~/ 255 as int) as g, cast(y * k ~/ 255 as int) as b from (select c_custkey, c_custkey % 256 as c, c_custkey * 7 % 256 as m, c_custkey * 13 % 256 as y, c_custkey * 29 % 256 as k from customer)")
+
+
+def inked(ink: F.Column, black: F.Column) -> F.Column:
+    """The light of a colour of an inverted four-colour picture."""
+    return F.floor(ink * black / 255).cast("int")
+
+
+@own("cmyk_to_rgb", "select c_custkey, cast(c * k ~/ 255 as int) as r, cast(m * k ~/ 255 as int) as g, cast(y * k ~/ 255 as int) as b from (select c_custkey, c_custkey % 256 as c, c_custkey * 7 % 256 as m, c_custkey * 13 % 256 as y, c_custkey * 29 % 256 as k from customer)")
+def cmyk_to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = run(spark, sf_dir, "select c_custkey, c_custkey % 256 as c, c_custkey * 7 % 256 as m, c_custkey * 13 % 256 as y, c_custkey * 29 % 256 as k from customer")
+    return planes.select("c_custkey", *(inked(F.col(ink), F.col("k")).alias(light) for ink, light in zip("cmy", "rgb")))
 
 
 @own("png_header_size", "select fileid, width, height from img_files")

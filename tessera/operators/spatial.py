@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import THUMBNAIL
+from tessera.operators import geometry as geo
 from tessera.plans.dialect import Family, fixture, run
 
 FAMILY = Family()
@@ -56,17 +57,61 @@ def overlap_push(rects: DataFrame) -> DataFrame:
     return rects.join(total, "ord", "left").selectExpr("ord", "round((l + r) / 2D + coalesce(dx, 0D), 6) as x", "round((t + b) / 2D + coalesce(dy, 0D), 6) as y", "coalesce(n, 0L) as pushes")
 
 
+def solved(rects: DataFrame, most: int = 1000, saved: int = 2) -> tuple[DataFrame, int]:
+    """rects(ord, l, t, r, b) pushed apart until no two overlap, and the number of steps; after ``most`` steps what
+    still overlaps stays so. Every ``saved`` steps the places are written to the checkpoint folder, which cuts the plan."""
+    sizes = rects.select("ord", (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h"))
+    for step in range(most):
+        pushed = overlap_push(rects)
+        rects = pushed.join(sizes, "ord").selectExpr("ord", "x - w / 2 as l", "y - h / 2 as t", "x + w / 2 as r", "y + h / 2 as b", "pushes")
+        if step % saved == 0:
+            rects = rects.checkpoint()
+            if rects.where("pushes > 0").isEmpty():
+                return rects.drop("pushes"), step
+        rects = rects.drop("pushes")
+    return rects, most
+
+
 @own("overlap_step", _PUSH.format(clip=_CLIP))
 def overlap_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_push(fixture(spark, sf_dir, "img_rects"))
 
 
-same("image_rects", "select fileid, ord, l, t, r, b, (l + r) / 2d as x, (t + b) / 2d as y from img_rects")
-same("rect_contains_point", "select ord, l <= 5000d and 5000d <= r and t <= 4000d and 4000d <= b as closed, l <= 5000d and 5000d < r and t <= 4000d and 4000d < b as half_open from img_rects")
-same("images_in_rect", "select ord from img_rects where l >= 1000d and t >= 1000d and r <= 9000d and b <= 8000d")
-same("visible_images", "with v as (select -0d / 0.25d as l, 0d as t, 800d / 0.25d as r, 600d / 0.25d as b) select i.ord from img_rects i join v on i.l < v.r and v.l < i.r and i.t < v.b and v.t < i.b")
-same("rect_clip", "select ord, greatest(l, 2000d) as l, greatest(t, 2000d) as t, least(r, 6000d) as r, least(b, 6000d) as b from img_rects where l < 6000d and 2000d < r and t < 6000d and 2000d < b")
-same("rect_ops", "select ord, l - 8d as grown_l, r + 8d as grown_r, t - 4d as grown_t, b + 4d as grown_b, least(l, 0d) as union_l, greatest(r, 100d) as union_r, (l + r) / 2d as cx, (t + b) / 2d as cy, round(sqrt((r - l) * (r - l) + (b - t) * (b - t)), 6) as diagonal, least(l, r) as norm_l, l <= r and t <= b as is_normal from img_rects")
+@own("image_rects", "select fileid, ord, l, t, r, b, (l + r) / 2d as x, (t + b) / 2d as y from img_rects")
+def image_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = geo.centre()
+    return fixture(spark, sf_dir, "img_rects").withColumns({"x": x, "y": y})
+
+
+@own("rect_contains_point", "select ord, l <= 5000d and 5000d <= r and t <= 4000d and 4000d <= b as closed, l <= 5000d and 5000d < r and t <= 4000d and 4000d < b as half_open from img_rects")
+def rect_contains_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_rects").select("ord", geo.contains_point(5000.0, 4000.0).alias("closed"), geo.contains_point(5000.0, 4000.0, closed=False).alias("half_open"))
+
+
+@own("images_in_rect", "select ord from img_rects where l >= 1000d and t >= 1000d and r <= 9000d and b <= 8000d")
+def images_in_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_rects").where(geo.contains_in(1000.0, 1000.0, 9000.0, 8000.0)).select("ord")
+
+
+@own("visible_images", "with v as (select -0d / 0.25d as l, 0d as t, 800d / 0.25d as r, 600d / 0.25d as b) select i.ord from img_rects i join v on i.l < v.r and v.l < i.r and i.t < v.b and v.t < i.b")
+def visible_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_rects").where(geo.overlaps(0.0, 0.0, 800.0 / 0.25, 600.0 / 0.25)).select("ord")
+
+
+@own("rect_clip", "select ord, greatest(l, 2000d) as l, greatest(t, 2000d) as t, least(r, 6000d) as r, least(b, 6000d) as b from img_rects where l < 6000d and 2000d < r and t < 6000d and 2000d < b")
+def rect_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.clipped(fixture(spark, sf_dir, "img_rects"), 2000.0, 2000.0, 6000.0, 6000.0).select("ord", "l", "t", "r", "b")
+
+
+@own("rect_ops", "select ord, l - 8d as grown_l, r + 8d as grown_r, t - 4d as grown_t, b + 4d as grown_b, least(l, 0d) as union_l, greatest(r, 100d) as union_r, (l + r) / 2d as cx, (t + b) / 2d as cy, round(sqrt((r - l) * (r - l) + (b - t) * (b - t)), 6) as diagonal, least(l, r) as norm_l, l <= r and t <= b as is_normal from img_rects")
+def rect_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = fixture(spark, sf_dir, "img_rects")
+    x, y = geo.centre()
+    larger = geo.grown(rects, 8.0, 4.0).select("ord", *(F.col(c).alias(f"grown_{c}") for c in "lrtb"))
+    both = rects.select("ord", F.least("l", F.lit(0.0)).alias("union_l"), F.greatest("r", F.lit(100.0)).alias("union_r"), x.alias("cx"), y.alias("cy"), F.round(geo.diagonal(), 6).alias("diagonal"), F.least("l", "r").alias("norm_l"), geo.is_normal().alias("is_normal"))
+    return larger.join(both, "ord")
+
+
 # The nine anchors of alignment and their halves of width and height.
 _ANCHORS = [
     ("top_left", 0, 0),
@@ -79,13 +124,39 @@ _ANCHORS = [
     ("bottom_center", 1, 2),
     ("bottom_right", 2, 2),
 ]
-same("rect_align", f"select i.ord, a.anchor, i.l - (i.r - i.l) * a.x / 2d as l, i.t - (i.b - i.t) * a.y / 2d as t from img_rects i cross join (values {', '.join(f"('{n}', {x}, {y})" for n, x, y in _ANCHORS)}) as a(anchor, x, y)")
-same("bounding_rect", "select coalesce(min(l), 0d) as l, coalesce(min(t), 0d) as t, coalesce(max(r), 0d) as r, coalesce(max(b), 0d) as b from img_rects where not (isnan(l) or isnan(t) or isnan(r) or isnan(b))")
-same("selection_center", "select round(coalesce(avg((l + r) / 2d), 0d), 6) as x, round(coalesce(avg((t + b) / 2d), 0d), 6) as y from img_rects where ord % 5 = 0")
-same("vec2_ops", "select ord, round(l * cos(0.2451d) - t * sin(0.2451d), 6) as rx, round(l * sin(0.2451d) + t * cos(0.2451d), 6) as ry, round(sqrt(l * l + t * t), 6) as magnitude, round(l * r + t * b, 6) as dot, case when l = 0d and t = 0d then 0d else round(l / sqrt(l * l + t * t), 6) end as unit_x from img_rects")
+
+
+@own("rect_align", f"select i.ord, a.anchor, i.l - (i.r - i.l) * a.x / 2d as l, i.t - (i.b - i.t) * a.y / 2d as t from img_rects i cross join (values {', '.join(f"('{n}', {x}, {y})" for n, x, y in _ANCHORS)}) as a(anchor, x, y)")
+def rect_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.aligned(fixture(spark, sf_dir, "img_rects"), _ANCHORS).select("ord", "anchor", "l", "t")
+
+
+@own("bounding_rect", "select coalesce(min(l), 0d) as l, coalesce(min(t), 0d) as t, coalesce(max(r), 0d) as r, coalesce(max(b), 0d) as b from img_rects where not (isnan(l) or isnan(t) or isnan(r) or isnan(b))")
+def bounding_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.bounds(fixture(spark, sf_dir, "img_rects"))
+
+
+@own("selection_center", "select round(coalesce(avg((l + r) / 2d), 0d), 6) as x, round(coalesce(avg((t + b) / 2d), 0d), 6) as y from img_rects where ord % 5 = 0")
+def selection_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geo.middle(fixture(spark, sf_dir, "img_rects").where("ord % 5 = 0")).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@own("vec2_ops", "select ord, round(l * cos(0.2451d) - t * sin(0.2451d), 6) as rx, round(l * sin(0.2451d) + t * cos(0.2451d), 6) as ry, round(sqrt(l * l + t * t), 6) as magnitude, round(l * r + t * b, 6) as dot, case when l = 0d and t = 0d then 0d else round(l / sqrt(l * l + t * t), 6) end as unit_x from img_rects")
+def vec2_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, t, r, b = (F.col(c) for c in "ltrb")
+    x, y = geo.rotated(l, t, 0.2451)
+    six = lambda c, n: F.round(c, 6).alias(n)
+    return fixture(spark, sf_dir, "img_rects").select("ord", six(x, "rx"), six(y, "ry"), six(geo.length(l, t), "magnitude"), six(l * r + t * b, "dot"), six(geo.unit(l, t)[0], "unit_x"))
+
+
 same("vec3_ops", "select ord, l + r as sx, t + b as sy, l - r as dx, round(sqrt((l - r) * (l - r) + (t - b) * (t - b) + 4d), 6) as distance, l + (r - l) * 0.25d as lerp_x, t + (b - t) * 0.25d as lerp_y, round(t * cos(0.5d) - l * sin(0.5d), 6) as rot_y from img_rects")
 same("mat2_ops", "select ord, l * b - t * r as det, case when l * b - t * r = 0d then null else round(b / (l * b - t * r), 9) end as inv00, l * l + t * r as sq00, l * t + t * b as sq01, r * l + b * r as sq10, r * t + b * b as sq11 from img_rects")
-same("screen_to_world", "select ord, (l - 100d) / 0.25d as x, (t - 50d) / 0.25d as y from img_rects")
+
+
+@own("screen_to_world", "select ord, (l - 100d) / 0.25d as x, (t - 50d) / 0.25d as y from img_rects")
+def screen_to_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = geo.to_world(F.col("l"), F.col("t"), 0.25, 100.0, 50.0)
+    return fixture(spark, sf_dir, "img_rects").select("ord", x.alias("x"), y.alias("y"))
 
 
 def turned(x: str, y: str, degrees: float, width: float, height: float) -> tuple[str, str]:
@@ -117,7 +188,10 @@ def camera_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("ord", "scale", F.round("zx", 5).alias("ox"), F.round("zy", 5).alias("oy"), F.round("ox", 5).alias("mx"), F.round("oy", 5).alias("my"))
 
 
-same("zoom_to_fit", "with r as (select min(l) as l, min(t) as t, max(r) as r, max(b) as b from img_rects), z as (select *, case when (r - l) / (b - t) > 800d / 600d then 800d / (r - l) else 600d / (b - t) end as zoom from r) select round(zoom, 9) as zoom, round(400d - (l + r) / 2d * zoom, 6) as ox, round(300d - (t + b) / 2d * zoom, 6) as oy from z")
+@own("zoom_to_fit", "with r as (select min(l) as l, min(t) as t, max(r) as r, max(b) as b from img_rects), z as (select *, case when (r - l) / (b - t) > 800d / 600d then 800d / (r - l) else 600d / (b - t) end as zoom from r) select round(zoom, 9) as zoom, round(400d - (l + r) / 2d * zoom, 6) as ox, round(300d - (t + b) / 2d * zoom, 6) as oy from z")
+def zoom_to_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = geo.fitted(geo.bounds(fixture(spark, sf_dir, "img_rects")), 800.0, 600.0)
+    return view.select(F.round("zoom", 9).alias("zoom"), F.round("ox", 6).alias("ox"), F.round("oy", 6).alias("oy"))
 
 
 def enlarged(views: DataFrame) -> DataFrame:
@@ -131,8 +205,6 @@ def viewport_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enlarged(fixture(spark, sf_dir, "img_rects").select("ord", "l", "t", "r", "b"))
 
 
-
-
 def level_for(zoom: str, most: str = "top") -> str:
     """SQL: the level of tiles for a zoom; a whole number of halvings, not below 0 and not above the least level there is."""
     return f"cast(greatest(0, least({most}, case when ln(1D / ({zoom})) >= 0 then floor(round(ln(1D / ({zoom})) / ln(2D), 9)) else ceil(round(ln(1D / ({zoom})) / ln(2D), 9)) end)) as int)"
@@ -205,7 +277,11 @@ def tile_fallback_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 same("tile_fallback_children", f"select q.fileid, q.scale, q.x, q.y, cast(count(t.rowid) as bigint) as children from {_MISS} cross join (values (0, 0), (0, 1), (1, 0), (1, 1)) as c(dx, dy) left join (select fileid, scale, x, y, min(rowid) as rowid from img_tiles group by fileid, scale, x, y) t on t.fileid = q.fileid and t.scale = q.scale - 1 and t.x = q.x * 2 + c.dx and t.y = q.y * 2 + c.dy group by q.fileid, q.scale, q.x, q.y")
-same("pick_image", "select max_by(fileid, ord) as fileid from img_rects where l <= 5000d and 5000d <= r and t <= 4000d and 4000d <= b")
+
+
+@own("pick_image", "select max_by(fileid, ord) as fileid from img_rects where l <= 5000d and 5000d <= r and t <= 4000d and 4000d <= b")
+def pick_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_rects").where(geo.contains_point(5000.0, 4000.0)).agg(F.max_by("fileid", "ord").alias("fileid"))
 
 
 def inside(images: DataFrame, left: float, top: float, right: float, bottom: float) -> DataFrame:
@@ -219,9 +295,24 @@ def select_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SELECTED = "with s as (select ord from img_rects where ord % 5 = 0)"
-same("delete_selection", f"{_SELECTED} select i.* from img_rects i where not exists (select 1 from s where s.ord = i.ord)")
-same("isolate_selection", f"{_SELECTED} select i.* from img_rects i where exists (select 1 from s where s.ord = i.ord)")
-same("move_selection", f"{_SELECTED} select i.ord, i.l + case when s.ord is null then 0d else 40d end as l, i.t + case when s.ord is null then 0d else -25d end as t from img_rects i left join s on s.ord = i.ord")
+
+
+@own("delete_selection", f"{_SELECTED} select i.* from img_rects i where not exists (select 1 from s where s.ord = i.ord)")
+def delete_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = fixture(spark, sf_dir, "img_rects")
+    return rects.join(rects.where("ord % 5 = 0").select("ord"), "ord", "left_anti").select(*rects.columns)
+
+
+@own("isolate_selection", f"{_SELECTED} select i.* from img_rects i where exists (select 1 from s where s.ord = i.ord)")
+def isolate_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = fixture(spark, sf_dir, "img_rects")
+    return rects.join(rects.where("ord % 5 = 0").select("ord"), "ord", "left_semi").select(*rects.columns)
+
+
+@own("move_selection", f"{_SELECTED} select i.ord, i.l + case when s.ord is null then 0d else 40d end as l, i.t + case when s.ord is null then 0d else -25d end as t from img_rects i left join s on s.ord = i.ord")
+def move_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rects = fixture(spark, sf_dir, "img_rects")
+    return geo.moved_by(rects, rects.where("ord % 5 = 0"), "ord", 40.0, -25.0).select("ord", "l", "t")
 
 
 def scaled_selection(selected: DataFrame, factor: float) -> DataFrame:
@@ -237,7 +328,10 @@ def scale_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaled_selection(selected, 2.0).select("ord", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "scale")
 
 
-same("resize_factor", "select ord, round(sqrt((l - 10d) * (l - 10d) + (t - 10d) * (t - 10d)) / greatest(1d, sqrt((r - 10d) * (r - 10d) + (b - 10d) * (b - 10d))), 6) as factor from img_rects")
+@own("resize_factor", "select ord, round(sqrt((l - 10d) * (l - 10d) + (t - 10d) * (t - 10d)) / greatest(1d, sqrt((r - 10d) * (r - 10d) + (b - 10d) * (b - 10d))), 6) as factor from img_rects")
+def resize_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l, t, r, b = (F.col(c) for c in "ltrb")
+    return fixture(spark, sf_dir, "img_rects").select("ord", F.round(geo.stretch(l, t, r, b, 10.0, 10.0), 6).alias("factor"))
 
 
 def lines_of_grids(grids: DataFrame, extent: int) -> DataFrame:
@@ -252,5 +346,11 @@ def grid_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines_of_grids(grids, 800).select("c_custkey", "i", "at")
 
 
-same("animate_positions", "select ord, l + (r - l) * p as x, t + (b - t) * p as y, 1d + (2d - 1d) * p as scale from (select ord, l, t, r, b, least(1d, (ord % 10) * 0.125d) as p from img_rects) q")
+@own("animate_positions", "select ord, l + (r - l) * p as x, t + (b - t) * p as y, 1d + (2d - 1d) * p as scale from (select ord, l, t, r, b, least(1d, (ord % 10) * 0.125d) as p from img_rects) q")
+def animate_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    share = F.least(F.lit(1.0), (F.col("ord") % 10) * 0.125)
+    l, t, r, b = (F.col(c) for c in "ltrb")
+    return fixture(spark, sf_dir, "img_rects").select("ord", geo.between(l, r, share).alias("x"), geo.between(t, b, share).alias("y"), geo.between(F.lit(1.0), F.lit(2.0), share).alias("scale"))
+
+
 same("rescale_provider", "select fileid, round(0.25d * width / greatest(1, width ~/ 2), 9) as scale from img_files")

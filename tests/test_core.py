@@ -109,6 +109,21 @@ def test_natural_order(spark):
     assert [r.t for r in rows] == sorted(texts, key=functools.cmp_to_key(natural_less))
 
 
+def test_urls(spark):
+    from tessera.functions import urls
+
+    cases = {
+        "file:///a/b.png": ("file", "/a/b.png", None, None),
+        "file:///a/b.zip//zip:c/d.png": ("file", "/a/b.zip", "zip", "c/d.png"),
+        "file:///a/b.rar//rar": ("file", "/a/b.rar", "rar", None),
+        "http://host.x/p?q=1": ("http", "host.x/p?q=1", None, None),
+        "file://Some Folder/bla/boing": ("file", "Some Folder/bla/boing", None, None),
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "url string").withColumn("p", urls.parse_url(F.col("url")))
+    for r in frame.select("url", "p", urls.format_url(F.col("p")).alias("again"), urls.has_stdio_name(F.col("p")).alias("plain")).collect():
+        assert tuple(r.p) == cases[r.url] and r.again == r.url and r.plain == (r.p.protocol == "file" and r.p.plugin is None)
+
+
 def test_paths(spark):
     cases = {"/a/./b//c/../d/": "/a/b/d", "/": "/", "/../x": "/x", "/a/b/../../c": "/c"}
     frame = spark.createDataFrame(list(cases.items()), "p string, want string")
@@ -275,6 +290,16 @@ def test_grid_join_equals_all_pairs(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_overlaps_are_solved(spark):
+    random.seed(1)
+    rects = [(i, float(x), float(y), x + 60.0 + i % 7 * 5, y + 40.0 + i % 5 * 9) for i in range(7) for x, y in [(random.randint(0, 100), random.randint(0, 100))]]
+    frame = spark.createDataFrame(rects, "ord int, l double, t double, r double, b double")
+    out, steps = spatial.solved(frame, 40)
+    assert 0 < steps < 40 and spatial.overlapping_pairs(out, 64.0).count() == 0
+    found = {r.ord: (r.r - r.l, r.b - r.t) for r in out.collect()}
+    assert all(abs(found[o][0] - (r - l)) + abs(found[o][1] - (b - t)) < 1e-3 for o, l, t, r, b in rects)
+
+
 def test_pyramid_halves_each_level(spark, sf_dir):
     pixels = spark.createDataFrame([(1, x, y, (x * 31 + y * 17) % 256) for x in range(7) for y in range(6)], "img int, x int, y int, g int")
     sizes = {r.scale: r.n for r in raster.pyramid(pixels, ["g"], 2).groupBy("scale").agg(F.count("*").alias("n")).collect()}
