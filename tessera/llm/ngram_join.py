@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import U64, Words, documents, drop_scratch, free_shuffles, materialize, mix, parallelism, slices, spans
 from .components import connected_components
 
-SHINGLE, RARE, FILTER_BITS, ROUNDS, SMALL, LONGEST = 5, 24, 1 << 25, 3, 256, 4
+SHINGLE, RARE, FILTER_BITS, ROUNDS, SMALL, LONGEST = 5, 24, 1 << 28, 3, 256, 4
 _SIGNATURE = [f"g{k}" for k in range(16)]
 
 
@@ -173,11 +173,11 @@ def node_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sets, "doc_id long, n long, s1 long, s2 long")
 
 
-def _bit_filter(nodes: DataFrame) -> np.ndarray:
-    """A bit table of fixed size (FILTER_BITS) over node ids: no false negatives; a full one only lets more rows pass."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)) + 1  # SQL's bitmaps count from one
+def _bit_filter(nodes: DataFrame, bits: int) -> np.ndarray:
+    """A bit table over node ids: no false negatives."""
+    bit = F.pmod(F.xxhash64("node"), F.lit(bits)) + 1  # SQL's bitmaps count from one
     rows = nodes.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m")).collect()
-    out = np.zeros(FILTER_BITS // 8 + 8192, dtype=np.uint8)
+    out = np.zeros(bits // 8 + 8192, dtype=np.uint8)
     for r in rows:
         at = (r["k"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
@@ -403,8 +403,18 @@ def _tokens48(raw: bytes) -> np.ndarray:
     return eight.view("<u8").ravel()
 
 
-def candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(node, n, tokens, short, and the parities) of the documents that the bit table lets pass; short has 48 bits of each token."""
+def candidate_sets(docs: DataFrame, nodes: DataFrame, most_bits: int = FILTER_BITS) -> DataFrame:
+    """(node, n, tokens, short, and the parities) of the documents among nodes(node), and of some more; short has 48 bits of each token.
+
+    A bit table of 16 bits for each node goes to all tasks, so that texts are not shuffled. Where that would take more than
+    ``most_bits``, the texts meet their nodes by a join, and every bit is set.
+    """
+    size = 1 << max(16, (16 * nodes.count()).bit_length())
+    if size <= most_bits:
+        bits = _bit_filter(nodes, size)
+    else:
+        docs, size = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), 8
+        bits = np.full(1, 255, dtype=np.uint8)
     table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +432,7 @@ def candidate_sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             whole = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), cut(full, 8), cut(short, 6), *_parities(doc, token, batch.num_rows)], ["node", "n", "tokens", "short", *_SIGNATURE])
             yield whole.filter(pa.array(n > 0))
 
-    marked = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    marked = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
     return marked.mapInArrow(sets, "node long, n long, tokens binary, short binary" + "".join(f", {g} long" for g in _SIGNATURE))
 
 
@@ -529,8 +539,8 @@ def _settle(links: _Links, blocks: DataFrame, rounds: int, small: int) -> DataFr
     return None if rows.isEmpty() else rows
 
 
-def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = RARE, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
-    """doc_id, n_shingles and component_id for each row of docs(doc_id, text). ``rare``, ``rounds`` and ``small`` only move work between
+def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = RARE, rounds: int = ROUNDS, small: int = SMALL, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, n_shingles and component_id for each row of docs(doc_id, text). ``rare``, ``rounds``, ``small`` and ``filter_bits`` only move work between
     the steps above: the result is the same for all values."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -546,7 +556,7 @@ def link_components(docs: DataFrame, shard_bytes: int = 6_000_000, rare: int = R
     free_shuffles(spark)
 
     # one text for each node: rows that repeat a doc_id with another text were given the smallest id of their own set
-    sets = materialize(candidate_sets(docs.where("doc_id is not null and text is not null"), _bit_filter(likely)))
+    sets = materialize(candidate_sets(docs.where("doc_id is not null and text is not null"), likely, filter_bits))
     drop_scratch(likely)
     links, active = _Links(sets), sets
     for size in range(2, LONGEST + 1):

@@ -312,7 +312,7 @@ def test_ngram_join(spark, odd, rare):
     assert found == want
 
 
-@pytest.mark.parametrize("options", [{}, {"rounds": 1, "small": 1}])
+@pytest.mark.parametrize("options", [{}, {"rounds": 1, "small": 1, "filter_bits": 0}])
 def test_ngram_join_on_many_near_copies(spark, options):
     """With few rounds and small blocks, links are found by longer combinations and by tiles."""
     random.seed(9)
