@@ -395,6 +395,16 @@ def test_mixing_without_ids(spark):
         assert abs(taken[name] - target) <= 60, (taken, target)
 
 
+def test_mixing_of_more_sources_than_the_driver_takes(spark, odd):
+    for docs in (spark.read.parquet(f"{odd}/documents.parquet"), spark.range(900).selectExpr("id as doc_id", "repeat('w ', cast(id % 60 + 1 as int)) as text", "concat('s', id % 70) as source")):
+        drawn = mixing.sized(docs).drop("row").orderBy("doc_id").coalesce(1).checkpoint()
+        found = []
+        for bound in (100, 0):
+            plan, cut = mixing.plan_mix(drawn, max_sources=bound)
+            found.append(sorted((repr((r.doc_id, r["_size"], r["_tie"], r["_copies"], round(r["_target"], 6))) for r in mixing.copies(drawn, plan, cut).collect())))
+        assert found[0] == found[1]
+
+
 def test_mixing_equals_a_sorted_sample(spark, odd):
     """The plan and the cut against expectations and an order that are worked out for all rows at once."""
     for docs in (spark.read.parquet(f"{odd}/documents.parquet"), spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(1 + pow(id % 97, 2) as int)) as text", "concat('s', id % 5) as source")):
