@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,21 +124,47 @@ def md5_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- registries ------------------------------------------------------------------------------------------------------
 _EXTENDED = "select fileid, url, lower(regexp_extract(url, '([^.]*[.](gz|bz2|GZ|BZ2)|[^.]*)$', 1)) as extension from img_files"
 _IMAGES = values(IMAGE_EXTENSIONS, "r(loader, key, prio)")
-same("supported_files", f"with f as ({_EXTENDED}) select fileid, url from f where exists (select 1 from {_IMAGES} where r.key = f.extension)")
+
+
+@own("supported_files", f"with f as ({_EXTENDED}) select fileid, url from f where exists (select 1 from {_IMAGES} where r.key = f.extension)")
+def supported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = [key for keys in IMAGE_EXTENSIONS.values() for key in keys]
+    return fixture(spark, sf_dir, "img_files").where(extension(F.col("url")).isin(known)).select("fileid", "url")
+
+
+def first_loader(registry: dict[str, list[str]], met: Callable[[str], F.Column]) -> F.Column:
+    """The loader whose key is met; of several, the one that was entered first; else null."""
+    return F.coalesce(*[F.when(met(key), loader) for loader, keys in registry.items() for key in keys])
+
+
 _ARCHIVE = values(ARCHIVE_SUFFIXES, "r(loader, key, prio)")
 _HEADS = "select fileid, url, case fileid % 5 when 0 then '504B030414000000' when 1 then '526172211A070000' when 2 then '377ABCAF271C0004' when 3 then 'FFD8FFE000104A46' else '89504E470D0A1A0A' end as head from img_files"
-same(
+
+
+@own(
     "classify_archive",
     f"""with f as ({_HEADS}), s as (select f.fileid, min_by(r.loader, r.prio) as by_suffix from f join {_ARCHIVE} on right(f.url, length(r.key)) = r.key group by f.fileid),
 m as (select f.fileid, min_by(r.loader, r.prio) as by_magic from f join {values(ARCHIVE_MAGIC, "r(loader, key, prio)")} on substr(f.head, 1, length(r.key)) = r.key group by f.fileid)
 select f.fileid, s.by_suffix is not null as is_archive, s.by_suffix, m.by_magic, coalesce(s.by_suffix, m.by_magic) as loader from f left join s on s.fileid = f.fileid left join m on m.fileid = f.fileid""",
 )
-same(
+def classify_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, _HEADS)
+    suffix, magic = first_loader(ARCHIVE_SUFFIXES, F.col("url").endswith), first_loader(ARCHIVE_MAGIC, F.col("head").startswith)
+    return files.select("fileid", suffix.isNotNull().alias("is_archive"), suffix.alias("by_suffix"), magic.alias("by_magic"), F.coalesce(suffix, magic).alias("loader"))
+
+
+@own(
     "classify_format",
     f"""with e as ({_EXTENDED}), f as ({_HEADS}), x as (select e.fileid, min_by(r.loader, r.prio) as by_extension from e join {_IMAGES} on e.extension = r.key group by e.fileid),
 m as (select f.fileid, min_by(r.loader, r.prio) as by_magic from f join {values(IMAGE_MAGIC, "r(loader, key, prio)")} on substr(f.head, 1, length(r.key)) = r.key group by f.fileid)
 select f.fileid, x.by_extension, m.by_magic, coalesce(x.by_extension, m.by_magic) as loader from f left join x on x.fileid = f.fileid left join m on m.fileid = f.fileid""",
 )
+def classify_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, _HEADS)
+    name, magic = first_loader(IMAGE_EXTENSIONS, lambda key: extension(F.col("url")) == key), first_loader(IMAGE_MAGIC, F.col("head").startswith)
+    return files.select("fileid", name.alias("by_extension"), magic.alias("by_magic"), F.coalesce(name, magic).alias("loader"))
+
+
 #: Paths of a scan, and what the archives among them list.
 _SCANNED = "select fileid, url from img_files union all select cast(-1 as bigint), 'file:///a/sheet.workspace' union all select cast(-2 as bigint), 'file:///z/ImageProperties.xml' union all select cast(-3 as bigint), 'builtin://mandelbrot'"
 _LISTED = f"select f.url as archive, r.loader, concat(m.name, cast(f.fileid as string), m.ending) as member from img_files f join {_ARCHIVE} on right(f.url, length(r.key)) = r.key cross join (values ('dir/a', '.png'), ('b', '.txt'), ('c', '.JPG')) as m(name, ending)"
@@ -186,14 +213,44 @@ ZIP_ERRORS = {
 same("zip_error_message", f"with c as (select distinct cast(p_size as int) as code from part union select 80 union select 81 union select 82 union select 0) select c.code, coalesce(e.message, concat('unknown error code: ', cast(c.code as string))) as message from c left join (values {', '.join(f"({k}, '{v.replace(chr(39), chr(39) * 2)}')" for k, v in ZIP_ERRORS.items())}) as e(code, message) on e.code = c.code")
 #: EXIF orientations and their transformations (fixed values).
 ORIENTATIONS = {1: "Rot0", 2: "Rot180Flip", 3: "Rot180", 4: "Rot0Flip", 5: "Rot270Flip", 6: "Rot90", 7: "Rot90Flip", 8: "Rot270"}
-same(
+
+
+def modifier(orientation: F.Column) -> F.Column:
+    """How a picture is turned for an orientation; not at all for unknown ones."""
+    table = F.create_map(*[F.lit(x) for pair in ORIENTATIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, orientation), F.lit("Rot0"))
+
+
+def turned_size(orientation: F.Column, width: F.Column, height: F.Column) -> tuple[F.Column, F.Column]:
+    """A picture's size when it is turned; quarter turns swap its sides."""
+    quarter = orientation.between(5, 8)
+    return F.when(quarter, height).otherwise(width), F.when(quarter, width).otherwise(height)
+
+
+@own(
     "exif_orientation",
     f"select o.page_id, o.orientation, coalesce(m.modifier, 'Rot0') as modifier, case when o.orientation between 5 and 8 then 300 else 400 end as width, case when o.orientation between 5 and 8 then 400 else 300 end as height from (select page_id, cast(page_id % 10 as int) as orientation from pages) o left join (values {', '.join(f"({k}, '{v}')" for k, v in ORIENTATIONS.items())}) as m(orientation, modifier) on m.orientation = o.orientation",
 )
+def exif_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = run(spark, sf_dir, "select page_id, cast(page_id % 10 as int) as orientation from pages")
+    wide, high = turned_size(F.col("orientation"), F.lit(400), F.lit(300))
+    return pages.select("page_id", "orientation", modifier(F.col("orientation")).alias("modifier"), wide.alias("width"), high.alias("height"))
+
 
 # -- numbers ---------------------------------------------------------------------------------------------------------
 same("math_basic", "select ord, greatest(10d, least(l, 100d)) as clamped, least(l, r) as lo, greatest(l, r) as hi, abs(l) as a, round(sin(ord), 6) as s, round(cos(ord), 6) as c, round(sqrt(ord), 6) as q, ord % 7 as m, floor(l / 10d) * 10d as f, round(atan2(cast(ord as double), 10d), 6) as t from img_rects")
-same("math_round", "select ord, case when l >= 0 then floor(l + 0.5d) else ceil(l - 0.5d) end * 1d as rounded from img_rects")
+
+
+def half_away(value: F.Column) -> F.Column:
+    """The nearest whole number; halves go away from zero."""
+    return F.when(value >= 0, F.floor(value + 0.5)).otherwise(F.ceil(value - 0.5)).cast("double")
+
+
+@own("math_round", "select ord, case when l >= 0 then floor(l + 0.5d) else ceil(l - 0.5d) end * 1d as rounded from img_rects")
+def math_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "img_rects").select("ord", half_away(F.col("l")).alias("rounded"))
+
+
 same("math_pow2", "select ord, pow2(cast(ord % 20 as int)) as p, cast((ord + 255) ~/ 256 as int) as ceiling, (ord > 0 and ord = pow2(cast(floor(log2(greatest(ord, 1))) as int))) as is_power from img_rects")
 
 
@@ -230,8 +287,19 @@ def float_to_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 same("math_angle", "select ord, round(degrees(cast(ord as double) / 100), 6) as deg, round(radians(cast(ord as double)), 6) as rad from img_rects")
-same("thumbnail_scale", f"select fileid, cast({THUMBNAIL} as int) as thumbnail_scale from img_files")
-same("zoomify_max_scale", f"select fileid, cast({halvings('greatest(width, height)', '256')} as int) as max_scale from img_files")
+
+
+@own("thumbnail_scale", f"select fileid, cast({THUMBNAIL} as int) as thumbnail_scale from img_files")
+def thumbnail_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixture(spark, sf_dir, "img_files")
+    return files.select("fileid", F.expr(THUMBNAIL.replace("~/", "div")).cast("int").alias("thumbnail_scale"))
+
+
+@own("zoomify_max_scale", f"select fileid, cast({halvings('greatest(width, height)', '256')} as int) as max_scale from img_files")
+def zoomify_max_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixture(spark, sf_dir, "img_files")
+    return files.select("fileid", F.expr(halvings("greatest(width, height)", "256").replace("~/", "div")).cast("int").alias("max_scale"))
+
 
 # -- text formats of sources -----------------------------------------------------------------------------------------
 _ZOOM = "select page_id, concat('<IMAGE_PROPERTIES WIDTH=\"', cast(600 + page_id * 97 % 4000 as string), '\" HEIGHT=\"', cast(500 + page_id * 61 % 3000 as string), '\" NUMTILES=\"1\" NUMIMAGES=\"1\" VERSION=\"1.8\" TILESIZE=\"256\" />') as xml, concat('http://host/', cast(page_id as string), '/ImageProperties.xml') as url from pages"
@@ -245,9 +313,38 @@ x as (select *, [[0 : tw - 1]] as x from p), y as (select *, [[0 : th - 1]] as y
 select page_id, scale, cast(x as bigint) as x, cast(y as bigint) as y, concat(base, '/TileGroup', cast(cast((earlier + y * tw + x) as bigint) ~/ 256 as string), '/', cast(max_scale - scale as string), '-', cast(x as string), '-', cast(y as string), '.jpg') as url from y""",
 )
 _LISTING = "select fileid, concat('7-Zip listing', chr(10), 'Path = ', url, chr(10), '----------', chr(10), 'Path = a', cast(fileid as string), '.png', chr(10), 'Size = 10', chr(10), 'Path = dir/b.jpg', chr(10)) as listing from img_files"
-same("parse_archive_listing", f"with l as ({_LISTING}), b as (select fileid, split_part(listing, concat('----------', chr(10)), 2) as body from l), n as (select fileid, body, [[1 : 4]] as i from b), r as (select fileid, split_part(body, chr(10), cast(i as int)) as line from n) select fileid, substr(line, 8) as member from r where line like 'Path = %'")
+
+
+def seven_zip_members(listing: F.Column) -> F.Column:
+    """The paths that a listing names behind its line of dashes."""
+    lines = F.split(F.substring_index(listing, "----------\n", -1), "\n")
+    return F.transform(F.filter(lines, lambda x: x.startswith("Path = ")), lambda x: F.substr(x, F.lit(8)))
+
+
+def zip_members(listing: F.Column) -> F.Column:
+    """The names in the fourth column of a listing of lines without heading."""
+    lines = F.filter(F.split(listing, "\n"), lambda x: x.rlike(r"^\s*\S+\s+\S+\s+\S+\s+\S"))
+    return F.transform(lines, lambda x: F.regexp_extract(x, r"^\s*\S+\s+\S+\s+\S+\s+(.*)$", 1))
+
+
+@own("parse_archive_listing", f"with l as ({_LISTING}), b as (select fileid, split_part(listing, concat('----------', chr(10)), 2) as body from l), n as (select fileid, body, [[1 : 4]] as i from b), r as (select fileid, split_part(body, chr(10), cast(i as int)) as line from n) select fileid, substr(line, 8) as member from r where line like 'Path = %'")
+def parse_archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _LISTING).select("fileid", F.explode(seven_zip_members(F.col("listing"))).alias("member"))
+
+
 _XCF = "select page_id, concat('+ 640x480+0+0 RGB-alpha Normal Layer ', cast(page_id as string)) as line from pages union all select page_id, concat('- 32x16-4+8 RGB Multiply Background copy') from pages"
-same("parse_xcfinfo", f"with l as ({_XCF}) select page_id, regexp_extract(line, '^(.)', 1) as visible, cast(regexp_extract(line, '^. ([0-9]+)x', 1) as int) as width, cast(regexp_extract(line, '^. [0-9]+x([0-9]+)', 1) as int) as height, regexp_extract(line, '^. [0-9]+x[0-9]+[-+][0-9]+[-+][0-9]+ [^ ]+ [^ ]+ (.*)$', 1) as layer from l")
+
+
+def layer(line: F.Column) -> F.Column:
+    """A line that tells a layer: whether it is shown, its size and its name."""
+    pattern = r"^(.) ([0-9]+)x([0-9]+)[-+][0-9]+[-+][0-9]+ [^ ]+ [^ ]+ (.*)$"
+    part = lambda n: F.regexp_extract(line, pattern, n)
+    return F.struct(part(1).alias("visible"), part(2).cast("int").alias("width"), part(3).cast("int").alias("height"), part(4).alias("layer"))
+
+
+@own("parse_xcfinfo", f"with l as ({_XCF}) select page_id, regexp_extract(line, '^(.)', 1) as visible, cast(regexp_extract(line, '^. ([0-9]+)x', 1) as int) as width, cast(regexp_extract(line, '^. [0-9]+x([0-9]+)', 1) as int) as height, regexp_extract(line, '^. [0-9]+x[0-9]+[-+][0-9]+[-+][0-9]+ [^ ]+ [^ ]+ (.*)$', 1) as layer from l")
+def parse_xcfinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _XCF).select("page_id", layer(F.col("line")).alias("l")).select("page_id", "l.*")
 
 
 def inked(ink: F.Column, black: F.Column) -> F.Column:

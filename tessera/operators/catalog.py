@@ -64,6 +64,42 @@ def lookup_tiles(requests: DataFrame, tiles: DataFrame) -> DataFrame:
     return requests.join(first, TILE_KEY, "left").select(*requests.columns, F.col("t.rowid").alias("rowid"), F.col("t.nbytes").alias("nbytes"))
 
 
+def by_id(files: DataFrame, fileid: int) -> DataFrame:
+    return files.where(F.col("fileid") == fileid)
+
+
+def known_tiles(requests: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The requests whose tile is stored."""
+    return requests.join(tiles.select(*TILE_KEY), TILE_KEY, "left_semi")
+
+
+def unknown_tiles(requests: DataFrame, tiles: DataFrame) -> DataFrame:
+    """The requests whose tile has to be made."""
+    return requests.join(tiles.select(*TILE_KEY), TILE_KEY, "left_anti")
+
+
+def owned(tiles: DataFrame, files: DataFrame) -> DataFrame:
+    """The tiles of these files."""
+    return tiles.join(files.select("fileid"), "fileid", "left_semi").select(*tiles.columns)
+
+
+def with_thumbnails(files: DataFrame, tiles: DataFrame) -> DataFrame:
+    """files(fileid, thumbnail_scale) with the tiles that show all of them, or null."""
+    whole = tiles.where("x = 0 and y = 0").select("fileid", F.col("scale").alias("thumbnail_scale"), "rowid")
+    return files.join(whole, ["fileid", "thumbnail_scale"], "left")
+
+
+def purged(tiles: DataFrame, files: DataFrame) -> DataFrame:
+    """The tiles without those of JPEG files at their full size, which can be read from the files."""
+    jpeg = files.where(F.lower("url").rlike("[.]jpe?g$")).select("fileid", F.lit(0).alias("scale"))
+    return tiles.join(jpeg, ["fileid", "scale"], "left_anti").select(*tiles.columns)
+
+
+def merged_ranges(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Ranges (fileid, min_scale, max_scale) of two parts of a store, as of a cache and what is written, as one."""
+    return a.unionByName(b).groupBy("fileid").agg(F.min("min_scale").alias("min_scale"), F.max("max_scale").alias("max_scale"))
+
+
 def scale_ranges(files: DataFrame, tiles: DataFrame) -> DataFrame:
     spans = tiles.groupBy("fileid").agg(F.min("scale").alias("min_scale"), F.max("scale").alias("max_scale"))
     return files.join(spans, "fileid", "left")
@@ -97,8 +133,16 @@ def files_by_glob_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(fixture(spark, sf_dir, "img_files"), "*_[0-4][^0-5].*")
 
 
-same("file_by_url", "select f.* from img_files f join (select max(url) as url from img_files where fileid <= 100) u on f.url = u.url")
-same("file_by_id", "select * from img_files where fileid = 42")
+@own("file_by_url", "select f.* from img_files f join (select max(url) as url from img_files where fileid <= 100) u on f.url = u.url")
+def file_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixture(spark, sf_dir, "img_files")
+    wanted = files.where("fileid <= 100").agg(F.max("url").alias("url"))
+    return files.join(F.broadcast(wanted), "url", "left_semi")  # one row
+
+
+@own("file_by_id", "select * from img_files where fileid = 42")
+def file_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_id(fixture(spark, sf_dir, "img_files"), 42)
 
 
 @own("param_query", "select fileid, url, width from img_files where width > 3000 and format = 0")
@@ -137,7 +181,12 @@ def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select(F.lit("file").alias("kind"), "fileid", F.lit(None).cast("long").alias("rowid")).unionAll(rest.select(F.lit("tile"), "fileid", "rowid"))
 
 
-same("tiles_of_file", "select t.* from img_tiles t join img_files f on f.fileid = t.fileid where f.fileid between 10 and 30")
+@own("tiles_of_file", "select t.* from img_tiles t join img_files f on f.fileid = t.fileid where f.fileid between 10 and 30")
+def tiles_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = fixture(spark, sf_dir, "img_files").where("fileid between 10 and 30")
+    return fixture(spark, sf_dir, "img_tiles").join(files.select("fileid"), "fileid", "left_semi").select("rowid", "fileid", "scale", "x", "y", "nbytes", "quality", "format")
+
+
 same("tiles_ordered", "select rowid, fileid, scale, x, y from img_tiles order by fileid, rowid")
 same("tile_key_order", "select scale, x, y, fileid, rowid from img_tiles order by scale, x, y, rowid")
 _REQUESTED = "select distinct fileid, scale, x, y from img_requests where kind = 'request'"
@@ -149,8 +198,16 @@ def tile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ON = "q.fileid = t.fileid and q.scale = t.scale and q.x = t.x and q.y = t.y"
-same("tile_exists", f"select q.* from ({_REQUESTED}) q where exists (select 1 from img_tiles t where {_ON})")
-same("missing_tiles", f"select q.* from ({_REQUESTED}) q where not exists (select 1 from img_tiles t where {_ON})")
+
+
+@own("tile_exists", f"select q.* from ({_REQUESTED}) q where exists (select 1 from img_tiles t where {_ON})")
+def tile_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return known_tiles(run(spark, sf_dir, _REQUESTED), fixture(spark, sf_dir, "img_tiles"))
+
+
+@own("missing_tiles", f"select q.* from ({_REQUESTED}) q where not exists (select 1 from img_tiles t where {_ON})")
+def missing_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unknown_tiles(run(spark, sf_dir, _REQUESTED), fixture(spark, sf_dir, "img_tiles"))
 
 
 @own("tile_scale_range", "select f.fileid, f.url, r.min_scale, r.max_scale from img_files f left join (select fileid, min(scale) as min_scale, max(scale) as max_scale from img_tiles group by fileid) r on f.fileid = r.fileid")
@@ -158,17 +215,63 @@ def tile_scale_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scale_ranges(fixture(spark, sf_dir, "img_files"), fixture(spark, sf_dir, "img_tiles")).select("fileid", "url", "min_scale", "max_scale")
 
 
-same("tile_scale_range_merged", "with parts as (select fileid, min(scale) as lo, max(scale) as hi from img_tiles where rowid % 2 = 0 group by fileid union all select fileid, min(scale), max(scale) from img_tiles where rowid % 2 = 1 group by fileid) select fileid, min(lo) as min_scale, max(hi) as max_scale from parts group by fileid")
-same("append_tiles", "select fileid, scale, x, y, nbytes, quality, format from img_tiles union all select cast(fileid as bigint), scale, x, y, cast(0 as bigint), cast(0 as int), cast(0 as int) from img_requests where kind = 'arrive'")
-same("store_counts", "select (select count(*) from img_files) as files, (select count(*) from img_tiles) as tiles, (select count(distinct fileid) from img_tiles) as files_with_tiles")
-same("files_join_tiles", "select f.fileid, f.url, t.rowid, t.scale, t.x, t.y from img_files f join img_tiles t on f.fileid = t.fileid")
-same("thumbnail_join", f"with f as (select fileid, url, cast({THUMBNAIL} as int) as thumbnail_scale from img_files) select f.fileid, f.thumbnail_scale, t.rowid from f left join img_tiles t on t.fileid = f.fileid and t.scale = f.thumbnail_scale and t.x = 0 and t.y = 0")
+@own("tile_scale_range_merged", "with parts as (select fileid, min(scale) as lo, max(scale) as hi from img_tiles where rowid % 2 = 0 group by fileid union all select fileid, min(scale), max(scale) from img_tiles where rowid % 2 = 1 group by fileid) select fileid, min(lo) as min_scale, max(hi) as max_scale from parts group by fileid")
+def tile_scale_range_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = fixture(spark, sf_dir, "img_tiles")
+    parts = [tiles.where(f"rowid % 2 = {k}").groupBy("fileid").agg(F.min("scale").alias("min_scale"), F.max("scale").alias("max_scale")) for k in (0, 1)]
+    return merged_ranges(parts[0], parts[1])
+
+
+@own("append_tiles", "select fileid, scale, x, y, nbytes, quality, format from img_tiles union all select cast(fileid as bigint), scale, x, y, cast(0 as bigint), cast(0 as int), cast(0 as int) from img_requests where kind = 'arrive'")
+def append_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles, arrived = fixture(spark, sf_dir, "img_tiles").drop("rowid"), fixture(spark, sf_dir, "img_requests").where("kind = 'arrive'")
+    zero = F.lit(0)
+    return tiles.unionByName(arrived.select(*TILE_KEY, zero.cast("long").alias("nbytes"), zero.alias("quality"), zero.alias("format")))
+
+
+@own("store_counts", "select (select count(*) from img_files) as files, (select count(*) from img_tiles) as tiles, (select count(distinct fileid) from img_tiles) as files_with_tiles")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, tiles = fixture(spark, sf_dir, "img_files"), fixture(spark, sf_dir, "img_tiles")
+    return files.agg(F.count("*").alias("files")).crossJoin(tiles.agg(F.count("*").alias("tiles"), F.countDistinct("fileid").alias("files_with_tiles")))  # a row each
+
+
+@own("files_join_tiles", "select f.fileid, f.url, t.rowid, t.scale, t.x, t.y from img_files f join img_tiles t on f.fileid = t.fileid")
+def files_join_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, tiles = fixture(spark, sf_dir, "img_files"), fixture(spark, sf_dir, "img_tiles")
+    return files.select("fileid", "url").join(tiles.select("fileid", "rowid", "scale", "x", "y"), "fileid")
+
+
+@own("thumbnail_join", f"with f as (select fileid, url, cast({THUMBNAIL} as int) as thumbnail_scale from img_files) select f.fileid, f.thumbnail_scale, t.rowid from f left join img_tiles t on t.fileid = f.fileid and t.scale = f.thumbnail_scale and t.x = 0 and t.y = 0")
+def thumbnail_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, f"select fileid, cast({THUMBNAIL} as int) as thumbnail_scale from img_files")
+    return with_thumbnails(files, fixture(spark, sf_dir, "img_tiles"))
+
+
 _WANTED = "select concat(url, case when fileid % 5 = 0 then '.gone' else '' end) as url from img_files union all select url from img_urls"
-same("resolve_urls", f"select w.url, f.fileid from ({_WANTED}) w left join img_files f on f.url = w.url")
-same("missing_files", f"select w.url from ({_WANTED}) w where not exists (select 1 from img_files f where f.url = w.url)")
+
+
+@own("resolve_urls", f"select w.url, f.fileid from ({_WANTED}) w left join img_files f on f.url = w.url")
+def resolve_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _WANTED).join(fixture(spark, sf_dir, "img_files").select("url", "fileid"), "url", "left")
+
+
+@own("missing_files", f"select w.url from ({_WANTED}) w where not exists (select 1 from img_files f where f.url = w.url)")
+def missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _WANTED).join(fixture(spark, sf_dir, "img_files").select("url"), "url", "left_anti")
+
+
 _SPLIT = "url like '%promo%'"
-same("split_files", f"select * from img_files where {_SPLIT}")
-same("split_tiles", f"select * from img_tiles where fileid in (select fileid from img_files where {_SPLIT})")
+
+
+@own("split_files", f"select * from img_files where {_SPLIT}")
+def split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(fixture(spark, sf_dir, "img_files"), "*promo*")
+
+
+@own("split_tiles", f"select * from img_tiles where fileid in (select fileid from img_files where {_SPLIT})")
+def split_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = find(fixture(spark, sf_dir, "img_files"), "*promo*")
+    return owned(fixture(spark, sf_dir, "img_tiles"), files)
 
 
 @own("orphan_tiles", "select * from img_tiles t where not exists (select 1 from img_files f where f.fileid = t.fileid)")
@@ -176,7 +279,9 @@ def orphan_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(fixture(spark, sf_dir, "img_tiles"), fixture(spark, sf_dir, "img_files"))
 
 
-same("purge_highres_jpeg", "select t.* from img_tiles t where not (t.scale = 0 and exists (select 1 from img_files f where f.fileid = t.fileid and rx(lower(f.url), '[.]jpe?g$')))")
+@own("purge_highres_jpeg", "select t.* from img_tiles t where not (t.scale = 0 and exists (select 1 from img_files f where f.fileid = t.fileid and rx(lower(f.url), '[.]jpe?g$')))")
+def purge_highres_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return purged(fixture(spark, sf_dir, "img_tiles"), fixture(spark, sf_dir, "img_files"))
 
 
 @own("dedupe_tiles", "select * exclude (n) from (select *, row_number() over (partition by fileid, scale, x, y order by rowid) as n from img_tiles) where n = 1")

@@ -66,8 +66,14 @@ def pyramid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pyramid(fixture(spark, sf_dir, "img_pixels"), ["g"], 2).select("scale", "img", "x", "y", "g")
 
 
-same("scale_nearest", "with d as (select dx, [[0 : 4]] as dy from (select [[0 : 4]] as dx) q) select p.img, cast(d.dx as int) as x, cast(d.dy as int) as y, p.g from img_pixels p join d on p.x = d.dx * 8 ~/ 5 and p.y = d.dy * 8 ~/ 5")
-same("crop", "select img, x - 2 as x, y - 3 as y, r, g, b from img_colours where x >= 2 and x < 7 and y >= 3 and y < 8")
+@own("scale_nearest", "with d as (select dx, [[0 : 4]] as dy from (select [[0 : 4]] as dx) q) select p.img, cast(d.dx as int) as x, cast(d.dy as int) as y, p.g from img_pixels p join d on p.x = d.dx * 8 ~/ 5 and p.y = d.dy * 8 ~/ 5")
+def scale_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled(fixture(spark, sf_dir, "img_pixels"), ["g"], 8, 8, 5, 5)
+
+
+@own("crop", "select img, x - 2 as x, y - 3 as y, r, g, b from img_colours where x >= 2 and x < 7 and y >= 3 and y < 8")
+def crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cropped(fixture(spark, sf_dir, "img_colours"), ["r", "g", "b"], 2, 3, 7, 8)
 
 
 def blit(target: DataFrame, source: DataFrame, x: int, y: int, source_alpha: bool, target_alpha: bool) -> DataFrame:
@@ -119,6 +125,23 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blend(target.drop("a"), source)
 
 
+def scaled(pixels: DataFrame, channels: list[str], width: int, height: int, to_width: int, to_height: int) -> DataFrame:
+    """Surfaces of one size at another one: each place takes the pixel that it falls on."""
+    places = [(dx, dy, dx * width // to_width, dy * height // to_height) for dx in range(to_width) for dy in range(to_height)]
+    table = F.broadcast(pixels.sparkSession.createDataFrame(places, "dx int, dy int, x int, y int"))  # of the target's size
+    return pixels.join(table, ["x", "y"]).select("img", F.col("dx").alias("x"), F.col("dy").alias("y"), *channels)
+
+
+def cropped(pixels: DataFrame, channels: list[str], left: int, top: int, right: int, bottom: int) -> DataFrame:
+    inside = pixels.where(f"x >= {left} and x < {right} and y >= {top} and y < {bottom}")
+    return inside.select("img", (F.col("x") - left).alias("x"), (F.col("y") - top).alias("y"), *channels)
+
+
+def averages(pixels: DataFrame, channels: list[str]) -> DataFrame:
+    """The mean of each channel of each surface, truncated."""
+    return pixels.groupBy("img").agg(*(F.expr(f"cast(sum({c}) div count(*) as int)").alias(c) for c in channels))
+
+
 def put_pixels(pixels: DataFrame, new: DataFrame, channels: list[str]) -> DataFrame:
     """pixels with the values of new(img, x, y, channels) in their places; places that no surface has are passed over."""
     named = new.select("img", "x", "y", *(F.col(c).alias(f"_{c}") for c in channels))
@@ -147,8 +170,16 @@ from img_pixels p cross join (values ('Rot0'), ('Rot90'), ('Rot180'), ('Rot270')
 same("transform_all", _TURNS)
 
 
-same("to_rgb", "select img, x, y, r, g, b from (select *, 255 - r as a from img_colours) q")
-same("average_color", "select img, cast(sum(r) ~/ count(*) as int) as r, cast(sum(g) ~/ count(*) as int) as g, cast(sum(b) ~/ count(*) as int) as b from img_colours group by img")
+@own("to_rgb", "select img, x, y, r, g, b from (select *, 255 - r as a from img_colours) q")
+def to_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, _SURFACES).drop("a")
+
+
+@own("average_color", "select img, cast(sum(r) ~/ count(*) as int) as r, cast(sum(g) ~/ count(*) as int) as g, cast(sum(b) ~/ count(*) as int) as b from img_colours group by img")
+def average_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return averages(fixture(spark, sf_dir, "img_colours"), ["r", "g", "b"])
+
+
 same("merge_images", "select x, y, cast(floor(round(255d * greatest(0d, least(1d, power(s / n, 2.2d))), 6)) as int) as v from (select x, y, sum(power(g / 255d, 0.4545d)) as s, count(*) as n from img_pixels group by x, y) q")
 _NEAR = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
 #: Pairs of neighbours that, both dark, darken the pixel between them: opposite ones and knight's moves.
@@ -161,7 +192,14 @@ f as (select img, x, y, {" or ".join(f"({_FLAG.format(*a)} and {_FLAG.format(*b)
 select c.img, c.x, c.y, case when f.fill then 0 else c.r end as r, case when f.fill then 0 else c.g end as g, case when f.fill then 0 else c.b end as b from c left join f on f.img = c.img and f.x = c.x and f.y = c.y""",
 )
 same("extract_channel", "with h as (select img, x ~/ 2 as x, y ~/ 2 as y, sum(r) ~/ 4 as r, sum(g) ~/ 4 as g, sum(b) ~/ 4 as b from img_colours group by img, x ~/ 2, y ~/ 2) select img, cast(x as int) as x, cast(y as int) as y, cast(case when y % 2 = 0 then r else 0 end as int) as r, cast(case when y % 2 = 0 then r else g end as int) as g, cast(case when y % 2 = 0 then r else b end as int) as b from h")
-same("bit_plane", "select img, x, y, case when (r ~/ 8) % 2 = 1 then 255 else 0 end as r, case when (g ~/ 8) % 2 = 1 then 255 else 0 end as g, case when (b ~/ 8) % 2 = 1 then 255 else 0 end as b from img_colours")
+
+
+@own("bit_plane", "select img, x, y, case when (r ~/ 8) % 2 = 1 then 255 else 0 end as r, case when (g ~/ 8) % 2 = 1 then 255 else 0 end as g, case when (b ~/ 8) % 2 = 1 then 255 else 0 end as b from img_colours")
+def bit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bit = lambda c: F.when(F.col(c).bitwiseAND(F.lit(8)) != 0, 255).otherwise(0).alias(c)
+    return fixture(spark, sf_dir, "img_colours").select("img", "x", "y", bit("r"), bit("g"), bit("b"))
+
+
 _CORNER = "max(case when x = {} and y = {} then g end)"
 _PATCHES = f"with h as (select img, x ~/ 2 as x, y ~/ 2 as y, sum(g) ~/ 4 as g from img_pixels group by img, x ~/ 2, y ~/ 2), p as (select img, {_CORNER.format(0, 0)} as tl, {_CORNER.format(1, 0)} as tr, {_CORNER.format(0, 1)} as bl, {_CORNER.format(1, 1)} as br from h group by img)"
 
@@ -221,10 +259,44 @@ _SOURCES = "select *, case when fileid % 6 = 5 then replace(url, 'file:///', 'ht
 _REMOTE, _JPEG = "place not like 'file:%'", "rx(lower(place), '[.]jpe?g$')"
 _TS = f"select fileid, place, {_JPEG} and not ({_REMOTE}) as jpeg, {THUMBNAIL} as ts from ({_SOURCES}) q"
 _HAVE = "select fileid, min(scale) as lo, max(scale) as hi from img_tiles group by fileid"
-same("jpeg_decode_scale", f"with f as ({_TS}) select fileid, cast(least(pow2(cast(greatest(0, ts - 3) as int)), 8) as int) as denominator from f where jpeg")
-same("generation_range", f"with f as ({_TS}) select fileid, cast(case when jpeg then least(greatest(0, ts - 3), 3) else 0 end as int) as min_scale, cast(ts as int) as max_scale from f")
+
+
+#: SQL: by how much a JPEG decoder scales down, from the level of the thumbnail.
+DENOMINATOR = "least(shiftleft(1, greatest(0, cast(ts as int) - 3)), 8)"
+
+
+def generated_levels(jpeg: F.Column, ts: F.Column) -> tuple[F.Column, F.Column]:
+    """The levels that are made of a file: of JPEG files on this machine not those that its decoder gives, of others all."""
+    return F.when(jpeg, F.least(F.greatest(F.lit(0), ts - 3), F.lit(3))).otherwise(0).cast("int"), ts.cast("int")
+
+
+def incremental(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """The levels of files(fileid, low, high) that stored(fileid, lo, hi) still lacks, and whether there are any."""
+    known = files.join(stored, "fileid", "left")
+    low, high = F.least("low", F.coalesce("lo", "low")), F.least("high", F.coalesce(F.col("lo") - 1, F.col("high")))
+    return known.select("fileid", low.cast("int").alias("min_scale"), high.cast("int").alias("max_scale"), (F.col("lo").isNull() | (F.col("low") < F.col("lo"))).alias("runs"))
+
+
+@own("jpeg_decode_scale", f"with f as ({_TS}) select fileid, cast(least(pow2(cast(greatest(0, ts - 3) as int)), 8) as int) as denominator from f where jpeg")
+def jpeg_decode_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, f"with f as ({_TS}) select * from f").where("jpeg")
+    return files.select("fileid", F.expr(DENOMINATOR).cast("int").alias("denominator"))
+
+
+@own("generation_range", f"with f as ({_TS}) select fileid, cast(case when jpeg then least(greatest(0, ts - 3), 3) else 0 end as int) as min_scale, cast(ts as int) as max_scale from f")
+def generation_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, f"with f as ({_TS}) select * from f")
+    low, high = generated_levels(F.col("jpeg"), F.col("ts"))
+    return files.select("fileid", low.alias("min_scale"), high.alias("max_scale"))
+
+
 same("thumbgen_plan", f"with f as ({_TS}) select fileid, cast(greatest(0, ts - 3) as int) as min_scale, cast(ts as int) as max_scale, 0 as min_scale_all from f")
-same("incremental_plan", f"with f as ({_TS}), h as ({_HAVE}), p as (select f.fileid, greatest(0, f.ts - 3) as a, f.ts as b, h.lo, h.hi from f left join h on h.fileid = f.fileid) select fileid, cast(case when lo is null then a else least(a, lo) end as int) as min_scale, cast(case when lo is null then b else least(b, lo - 1) end as int) as max_scale, lo is null or a < lo as runs from p")
+
+
+@own("incremental_plan", f"with f as ({_TS}), h as ({_HAVE}), p as (select f.fileid, greatest(0, f.ts - 3) as a, f.ts as b, h.lo, h.hi from f left join h on h.fileid = f.fileid) select fileid, cast(case when lo is null then a else least(a, lo) end as int) as min_scale, cast(case when lo is null then b else least(b, lo - 1) end as int) as max_scale, lo is null or a < lo as runs from p")
+def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = run(spark, sf_dir, f"with f as ({_TS}) select fileid, greatest(0, ts - 3) as low, ts as high from f")
+    return incremental(files, run(spark, sf_dir, _HAVE))
 
 
 def on_demand_ranges(files: DataFrame, stored: DataFrame, requests: DataFrame) -> DataFrame:

@@ -124,6 +124,15 @@ def test_urls(spark):
         assert tuple(r.p) == cases[r.url] and r.again == r.url and r.plain == (r.p.protocol == "file" and r.p.plugin is None)
 
 
+def test_listings_of_archives(spark):
+    from tessera.functions.queries import seven_zip_members, zip_members
+
+    seven = "7-Zip\nPath = whole.7z\n----------\nPath = a b.png\nSize = 1\nPath = d/c.jpg\n"
+    plain = "   115  2010-05-01 11:44   a b.png\n     9  2010-05-01 11:45   d/c.jpg\n"
+    row = spark.createDataFrame([(seven, plain)], "s string, z string").select(seven_zip_members(F.col("s")).alias("s"), zip_members(F.col("z")).alias("z")).first()
+    assert row.s == row.z == ["a b.png", "d/c.jpg"]
+
+
 def test_paths(spark):
     cases = {"/a/./b//c/../d/": "/a/b/d", "/": "/", "/../x": "/x", "/a/b/../../c": "/c"}
     frame = spark.createDataFrame(list(cases.items()), "p string, want string")
