@@ -18,7 +18,8 @@ P answers the equality of any two spans: (P_(i+m) - P_i) * B^-i does not depend
 extended both ways as far as the texts agree, and the code points in such stretches are counted once in each text
 (``extended_likeness``).
 
-The form is ``length:whole hash:place,window hash,prefix value;...:prefix value;...`` with hexadecimal numbers. Equal texts
+The form is ``length:whole hash:anchors:prefix values`` with hexadecimal numbers, of 8, 16 and 16 digits for the place, window hash and
+prefix value of each anchor, and of 16 for each prefix value, without marks between them. Equal texts
 have equal fingerprints. Null texts are empty; a text of at most ``window`` code points has no places, and is compared from its
 beginning and its end; an empty one is alike (1.0) to an empty text and 0.0 to any other.
 """
@@ -123,6 +124,10 @@ def grid_step(n: int, most: int = 32) -> int:
     return 1 << max(0, (max(n, 1) // (most + 1)).bit_length())
 
 
+#: An anchor as it is written: 8, 16 and 16 hexadecimal digits.
+ANCHOR = np.dtype([("at", ">u4"), ("window", ">u8"), ("value", ">u8")])
+
+
 @dataclass(frozen=True)
 class Fingerprint:
     n: int
@@ -137,15 +142,15 @@ class Fingerprint:
         return grid_step(self.n)
 
     def __str__(self) -> str:
-        parts = ";".join(f"{a:x},{h:x},{v:x}" for a, h, v in zip(self.at.tolist(), self.window.tolist(), self.value.tolist()))
-        return f"{self.n:x}:{self.whole:x}:{parts}:{';'.join(f'{v:x}' for v in self.grid.tolist())}"
+        rows = np.empty(len(self.at), dtype=ANCHOR)
+        rows["at"], rows["window"], rows["value"] = self.at, self.window, self.value
+        return f"{self.n:x}:{self.whole:x}:{rows.tobytes().hex()}:{self.grid.astype('>u8').tobytes().hex()}"
 
     @staticmethod
     def parse(mark: str) -> Fingerprint:
         n, whole, parts, grid = mark.split(":")
-        rows = [[int(x, 16) for x in p.split(",")] for p in parts.split(";") if p]
-        at, window, value = (np.array([r[k] for r in rows], dtype=t) for k, t in enumerate((np.int64, U64, U64)))
-        return Fingerprint(int(n, 16), int(whole, 16), at, window, value, np.array([int(v, 16) for v in grid.split(";") if v], dtype=U64))
+        rows, values = np.frombuffer(bytes.fromhex(parts), ANCHOR), np.frombuffer(bytes.fromhex(grid), ">u8").astype(U64)
+        return Fingerprint(int(n, 16), int(whole, 16), rows["at"].astype(np.int64), rows["window"].astype(U64), rows["value"].astype(U64), values)
 
 
 def fingerprint(text: str, anchors: int = 64, window: int = 8, spacing: int = 32) -> Fingerprint:
@@ -265,23 +270,23 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("key"), "doc_id", "text", head.alias("head"))
     count = 8 * parts
     cuts = Counter(docs.agg(F.percentile_approx("key", [k / count for k in range(1, count)], 20_000).alias("c")).first()["c"] or [])
-    bounds = {(b, 0) for b in cuts}
-    for key, times in cuts.items():
-        if times > 1:
-            shares = [k / (times + 1) for k in range(1, times + 1)]
-            bounds |= {(key, h) for h in docs.where(F.col("key") == key).agg(F.percentile_approx("head", shares, 20_000).alias("c")).first()["c"]}
-    listed = F.array(*[F.struct(F.lit(b).cast("long").alias("key"), F.lit(h).cast("long").alias("head")) for b, h in sorted(bounds)])
-    at = F.struct("key", "head")
-    docs = docs.withColumn("bucket", F.size(F.filter(listed, lambda b: b <= at)) if bounds else F.lit(0))
-    lowest = {r["bucket"]: tuple(r["low"]) for r in docs.groupBy("bucket").agg(F.min(at).alias("low")).collect()}
+    array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
+    inner = F.lit(count)  # behind the parts of an id that begins the same range
+    for key in sorted(k for k, times in cuts.items() if times > 1):
+        shares = [k / (cuts[key] + 1) for k in range(1, cuts[key] + 1)]
+        found = docs.where(F.col("key") == key).agg(F.percentile_approx("head", shares, 20_000).alias("c")).first()["c"]
+        inner = F.when(F.col("key") == key, F.size(F.filter(array(sorted(set(found))), lambda b: b <= F.col("head")))).otherwise(inner)
+    outer = F.size(F.filter(array(sorted(cuts)), lambda b: b <= F.col("key")))
+    docs = docs.withColumn("bucket", outer.cast("long") * (count + 1) + inner)
+    lowest = {r["bucket"]: tuple(r["low"]) for r in docs.groupBy("bucket").agg(F.min(F.struct("key", "head")).alias("low")).collect()}
     order = sorted(lowest)
     goes = {lowest[b]: order[k - 1] for k, b in enumerate(order)}  # order[-1] peeks at order[0]
     place = F.concat_ws(":", "key", "head")
     named = {f"{a}:{h}": b for (a, h), b in goes.items()}
-    also = F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), place) if goes else F.lit(None).cast("int")
+    also = (F.element_at(F.create_map(*[F.lit(x) for pair in named.items() for x in pair]), place) if goes else F.lit(None)).cast("long")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("peek"))
     copy = F.struct(also.alias("bucket"), F.lit(True).alias("peek"))
-    both = F.when(place.isin(list(named)), F.array(own, copy)).otherwise(F.array(own))
+    both = F.when(F.col("key").isin([a for a, _ in goes]) & place.isin(list(named)), F.array(own, copy)).otherwise(F.array(own))
     rows = docs.withColumn("x", F.explode(both)).select("key", "doc_id", "text", "x.bucket", "x.peek")
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "peek", "key", "text")
 
