@@ -136,6 +136,15 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.first)
 
+    @classmethod
+    def hashed(cls, parts: Iterator["Words"]) -> "Words":
+        """The texts of several parts one after the other, of which only the words' hashes and counts are kept."""
+        some = [(p.hashes, p.counts) for p in parts]
+        words = cls.__new__(cls)
+        words.hashes, words.counts = (np.concatenate([x[k] for x in some]) for k in range(2))
+        words.first = np.concatenate([[0], np.cumsum(words.counts)])
+        return words
+
     def places(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of first word, text) of each run of ``size`` words inside one text."""
         per = np.maximum(self.counts - size + 1, 0)

@@ -236,6 +236,45 @@ def test_substring_dedup(spark, odd):
     assert all((r._n_words, r._n_removed) == want[r.doc_id][:2] for r in kept.where("doc_id is not null").collect())
 
 
+def test_substring_dedup_long_shard(monkeypatch):
+    """A shard beyond the bound, as a frequent pair of words makes it, is searched in parts and gives the same words."""
+    random.seed(21)
+    vocabulary = [f"w{k}" for k in range(60)]
+    shared = [" ".join(random.choices(vocabulary, k=16)) for _ in range(30)]
+    docs = [(i, " ".join(f"{random.choice(shared)} of the {' '.join(random.choices(vocabulary, k=9))}" for _ in range(12))) for i in range(150)]
+    docs += [(200, "of the " * 300), (201, "of the " * 20), (150, docs[3][1])]
+    box = substring_dedup.Outbox(1)
+    blobs = []
+    for k in range(0, len(docs), 20):
+        some = docs[k : k + 20]
+        box.add(Words(pa.array([t for _, t in some])), np.array([i for i, _ in some]), np.zeros(len(some), np.int64), 13)
+        blobs += box.send()
+    told = [substring_dedup._tell(b) for shard, b in blobs if shard < 0]
+    blobs = [b for shard, b in blobs if shard == 0]
+    sizes, search = [], substring_dedup.shard_intervals
+
+    def watched(blobs, size):
+        sizes.append(sum(len(substring_dedup._open(b)[5]) for b in blobs))
+        return search(blobs, size)
+
+    monkeypatch.setattr(substring_dedup, "shard_intervals", watched)
+    found = told + list(substring_dedup.bounded_intervals(blobs, 13, 30_000))
+    assert len(sizes) > 10 and max(sizes) <= 30_000 < sum(sizes)
+    gone = defaultdict(set)
+    for part in found:
+        for doc, low, high in zip(part["doc_id"].tolist(), part["low"].tolist(), part["high"].tolist()):
+            gone[doc] |= set(range(low, high))
+    want = brute_dedup(docs)
+    assert {i: len(gone[i]) for i, _ in docs} == {i: want[i][1] for i, _ in docs}
+
+
+def test_substring_dedup_small_bound(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    want = brute_dedup([(r[0], r[1]) for r in rows() if r[0] is not None], 5)
+    kept = substring_dedup.remove_repeats(docs, size=5, shard_bytes=5000, batch_bytes=700, most_bytes=600)
+    assert all((r._n_words, r._n_removed) == want[r.doc_id][:2] for r in kept.where("doc_id is not null").collect())
+
+
 def test_fm_index():
     random.seed(6)
     symbols = np.array([random.randint(1, 5) if random.random() < 0.95 else 0 for _ in range(400)])
