@@ -3,7 +3,8 @@
 A definition is SQL with a few marks: ``~/`` whole division, ``1.5d`` a double, ``pow2(n)``, ``rx(text, 'pattern')`` a search, and
 ``[[a : b]]`` in a select list for one row for each whole number from a to b. Relations ``img_*`` are the fixtures of FIXTURES.md
 and come in as common table expressions when a definition names them; a tile's rowid is put together from the columns that tell its
-rows apart, which orders them as a number would.
+rows apart, which orders them as a number would. Where that number does not fit a bigint in some row (DuckDB's SQL fails there),
+Spark's rowid is the same number as decimal(38, 0), for all rows of the table.
 """
 
 from __future__ import annotations
@@ -45,6 +46,17 @@ PIXELS = {
 COLOURS = "select r.img ~/ 3 as img, r.x, r.y, r.g as r, g.g as g, b.g as b from img_pixels r join img_pixels g on g.img = r.img + 1 and g.x = r.x and g.y = r.y join img_pixels b on b.img = r.img + 2 and b.x = r.x and b.y = r.y where r.img % 3 = 0"
 
 
+_ROWID = "cast((((l_orderkey * 8 + l_linenumber) * 262144 + l_partkey) * 16384 + l_suppkey) * 64 + cast(l_quantity as bigint) as bigint)"
+_WIDE_ROWID = "cast(cast(l_orderkey * 8 + l_linenumber as decimal(20, 0)) * 274877906944 + ((l_partkey * 16384 + l_suppkey) * 64 + cast(l_quantity as bigint)) as decimal(38, 0))"
+#: Rows whose number is beyond a bigint.
+_BEYOND = "try_add(try_multiply(try_add(try_multiply(try_add(try_multiply(try_add(try_multiply(l_orderkey, 8L), l_linenumber), 262144L), l_partkey), 16384L), l_suppkey), 64L), cast(l_quantity as bigint)) is null and l_orderkey is not null and l_linenumber is not null and l_partkey is not null and l_suppkey is not null and l_quantity is not null"
+
+
+def wide_rowids(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether some tile's rowid needs more than a bigint."""
+    return not spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(_BEYOND).isEmpty()
+
+
 def render(sql: str, dialect: str) -> str:
     names, text = [], sql
     if re.search(r"\bimg_colours\b", text):
@@ -74,6 +86,8 @@ def views(spark: SparkSession, sf_dir: str, sql: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     text = render(sql, "spark")
+    if _ROWID in text and re.search(r"\browid\b|\*", sql) and wide_rowids(spark, sf_dir):
+        text = text.replace(_ROWID, _WIDE_ROWID)
     views(spark, sf_dir, text)
     return spark.sql(text)
 

@@ -10,6 +10,7 @@ import subprocess
 import sys
 import time
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import glob_to_regex, halvings, natural_key, normalize_path
 from tessera.operators import catalog, layouts, matrices, ordering, raster, spatial
-from tessera.plans.dialect import fixture, render
+from tessera.plans.dialect import TABLES, fixture, render
 from tessera.plans.registry import QUERIES, SQL
 from tessera.streaming import requests
 
@@ -349,3 +350,34 @@ def test_stream_keeps_arrivals(spark, tmp_path):
     assert stream.exception() is None
     got = {r.req_id: (r.batch, r.answered) for r in spark.read.parquet(str(tmp_path / "out/answers")).collect()}
     assert got == {2: (0, False), 3: (1, True), 5: (2, True), 6: (2, False)}
+
+
+WIDE = ["dedupe_tiles", "delete_tiles", "delete_cascade", "export_plan", "files_join_tiles", "merge_databases", "orphan_tiles", "purge_highres_jpeg", "split_tiles", "thumbnail_join", "tile_fallback_children", "tile_fallback_parent", "tile_key_order", "tile_lookup", "tile_path_encode", "tile_path_parse", "tile_scale_range_merged", "tiles_of_file", "tiles_ordered"]
+
+
+@pytest.fixture(scope="module")
+def wide_dir(sf_dir, tmp_path_factory):
+    """The tables with orders so large that a tile's number is beyond a bigint in some rows."""
+    out = str(tmp_path_factory.mktemp("wide"))
+    for name in TABLES:
+        os.symlink(f"{sf_dir}/{name}.parquet", f"{out}/{name}.parquet") if name != "lineitem" else None
+    duckdb.sql(f"copy (select * replace (l_orderkey * 60000 as l_orderkey) from '{sf_dir}/lineitem.parquet') to '{out}/lineitem.parquet' (format parquet)")
+    return out
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_rowids_beyond_bigint(spark, wide_dir, name):
+    con = duckdb.connect()
+    for table in TABLES:
+        con.sql(f"create view {table} as select * from '{wide_dir}/{table}.parquet'")
+    exact = SQL[name].replace("cast((((l_orderkey * 8", "cast((((cast(l_orderkey as hugeint) * 8").replace("cast(l_quantity as bigint) as bigint) as rowid", "cast(l_quantity as bigint) as hugeint) as rowid")
+    assert exact != SQL[name]
+    want = con.sql(exact).fetchall()
+    found = [tuple(int(v) if isinstance(v, Decimal) else v for v in row) for row in QUERIES[name](spark, wide_dir).collect()]
+    ordered = name in ("tiles_ordered", "tile_key_order")
+    key = lambda row: tuple((v is None, str(v)) for v in row)
+    assert (found if ordered else sorted(found, key=key)) == (want if ordered else sorted(want, key=key))
+
+
+def test_rowids_that_fit(spark, sf_dir):
+    assert dict(fixture(spark, sf_dir, "img_tiles").dtypes)["rowid"] == "bigint"
