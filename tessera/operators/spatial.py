@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.image_exprs import THUMBNAIL
@@ -15,19 +15,38 @@ FAMILY = Family()
 same, own = FAMILY.same, FAMILY.own
 
 
+#: Rows of equal rectangles that go as one through the joins.
+BLOCK = 256
+
+
+def _overlapping_blocks(rects: DataFrame, cell: float) -> DataFrame:
+    """Pairs of blocks of rows (i_ords, i_l, i_t, i_r, i_b, and j_...) whose rectangles overlap strictly, each pair once; a block with
+    itself (``same``) too. A block is up to BLOCK rows with one rectangle, by ascending ord."""
+    place = F.row_number().over(Window.partitionBy("l", "t", "r", "b").orderBy("ord")) - 1
+    blocks = rects.where("ord is not null").withColumn("block", F.floor(place / BLOCK)).groupBy("l", "t", "r", "b", "block").agg(F.sort_array(F.collect_list("ord")).alias("ords"))
+    # each axis' whole cell numbers that the rectangle touches
+    cells = blocks.withColumn("cx", F.explode(F.sequence(F.floor(F.col("l") / cell), F.floor(F.col("r") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("t") / cell), F.floor(F.col("b") / cell))))
+    # a number of partitions of its own: the cells are few bytes, which says nothing about how many pairs come of them
+    spark = rects.sparkSession
+    cells = cells.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "cx", "cy")
+    left, right = (cells.select(*[F.col(c).alias(f"{p}_{c}") for c in ("ords", "l", "t", "r", "b", "block")], "cx", "cy") for p in ("i", "j"))
+    pairs = left.join(right, ["cx", "cy"]).where("i_l < j_r and j_l < i_r and i_t < j_b and j_t < i_b")
+    here = (F.floor(F.greatest("i_l", "j_l") / cell) == F.col("cx")) & (F.floor(F.greatest("i_t", "j_t") / cell) == F.col("cy"))
+    i, j = (F.struct(*[f"{p}_{c}" for c in ("l", "t", "r", "b", "block")]) for p in ("i", "j"))
+    return pairs.where(here).where(i <= j).withColumn("same", i == j)
+
+
 def overlapping_pairs(rects: DataFrame, cell: float = 1024.0) -> DataFrame:
     """(a, b) of rectangles (ord, l, t, r, b) that overlap strictly, a < b, by a grid of cells and an equi-join.
 
-    A rectangle stands in every cell it touches; a pair is reported only in the cell that holds the upper left corner of its
-    intersection, so no pair comes twice and no distinct is needed. Cells about as large as a typical rectangle keep the
-    copies to about four.
+    Rows with one rectangle go through the join as one, in blocks, and are told apart behind it. A block stands in every cell it touches;
+    a pair is reported only in the cell that holds the upper left corner of its intersection, so no pair comes twice and no distinct is
+    needed. Cells about as large as a typical rectangle keep the copies to about four.
     """
-    # each axis' whole cell numbers that the rectangle touches
-    cells = rects.withColumn("cx", F.explode(F.sequence(F.floor(F.col("l") / cell), F.floor(F.col("r") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("t") / cell), F.floor(F.col("b") / cell))))
-    left, right = (cells.select(*[F.col(c).alias(f"{p}_{c}") for c in ("ord", "l", "t", "r", "b")], "cx", "cy") for p in ("i", "j"))
-    pairs = left.join(right, ["cx", "cy"]).where("i_ord < j_ord and i_l < j_r and j_l < i_r and i_t < j_b and j_t < i_b")
-    here = (F.floor(F.greatest("i_l", "j_l") / cell) == F.col("cx")) & (F.floor(F.greatest("i_t", "j_t") / cell) == F.col("cy"))
-    return pairs.where(here)
+    pairs = _overlapping_blocks(rects, cell).withColumn("x", F.explode("i_ords")).withColumn("y", F.explode("j_ords")).where("x < y or (y < x and not same)")
+    swapped = F.col("y") < F.col("x")
+    columns = [F.when(swapped, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{p}_{c}") for p, q in ("ij", "ji") for c in ("l", "t", "r", "b")]
+    return pairs.select(F.least("x", "y").alias("i_ord"), F.greatest("x", "y").alias("j_ord"), *columns)
 
 
 _PAIRS = "select i.ord as a, j.ord as b from img_rects i join img_rects j on i.ord < j.ord and i.l < j.r and j.l < i.r and i.t < j.b and j.t < i.b"

@@ -300,6 +300,24 @@ def test_grid_join_equals_all_pairs(spark):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def _rects_with_copies():
+    random.seed(6)
+    some = [(float(x), float(y), x + random.choice([0.0, 30.0, 90.0]), y + random.choice([5.0, 50.0])) for _ in range(12) for x, y in [(random.randint(-100, 100), random.randint(-100, 100))]]
+    ords = random.sample(range(10_000), 318) + [10_001] * 3  # an ord of three rows of different rectangles
+    return [(o, *(some[0] if k < 300 else some[k % 12])) for k, o in enumerate(ords)] + [(None, *some[0])]
+
+
+def test_copies_go_through_the_grid_join_as_one(spark):
+    rects = _rects_with_copies()
+    rows = [r for r in rects if r[0] is not None]
+    want = Counter((*a, *b) for a in rows for b in rows if a[0] < b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4])
+    frame = spark.createDataFrame(rects, "ord int, l double, t double, r double, b double")
+    found = spatial.overlapping_pairs(frame, 64.0).select(*[f"{p}_{c}" for p in "ij" for c in ("ord", "l", "t", "r", "b")])
+    assert Counter(map(tuple, found.collect())) == want and sum(want.values()) > 40_000
+    # the join itself has two blocks of the 300 copies and one of each other rectangle
+    assert spatial._overlapping_blocks(frame, 64.0).count() < 100
+
+
 def test_overlaps_are_solved(spark):
     random.seed(1)
     rects = [(i, float(x), float(y), x + 60.0 + i % 7 * 5, y + 40.0 + i % 5 * 9) for i in range(7) for x, y in [(random.randint(0, 100), random.randint(0, 100))]]
