@@ -318,6 +318,25 @@ def test_copies_go_through_the_grid_join_as_one(spark):
     assert spatial._overlapping_blocks(frame, 64.0).count() < 100
 
 
+def test_pushes_of_copies(spark):
+    rects = _rects_with_copies()
+    want = {o: [0.0, 0.0, 0] for o, *_ in rects}
+    rows = [r for r in rects if r[0] is not None]
+    for a in rows:
+        for b in rows:
+            w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+            if a[0] < b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4]:
+                dx, dy = (0.0, h / 2 + 16) if w > h else (w / 2 + 16, 0.0)
+                for o, sign in ((a[0], -1), (b[0], 1)):
+                    want[o] = [want[o][0] + sign * dx, want[o][1] + sign * dy, want[o][2] + 1]
+    frame = spark.createDataFrame(rects, "ord int, l double, t double, r double, b double")
+    pushed = spatial.overlap_push(frame)
+    expected = Counter((o, round((l + r) / 2 + want[o][0], 6), round((t + b) / 2 + want[o][1], 6), want[o][2]) for o, l, t, r, b in rects)
+    assert Counter(map(tuple, pushed.collect())) == expected and pushed.schema["ord"].dataType.simpleString() == "int"
+    # no plan step makes a row for each pair of rows
+    assert "Generate explode(i_ords" not in pushed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_overlaps_are_solved(spark):
     random.seed(1)
     rects = [(i, float(x), float(y), x + 60.0 + i % 7 * 5, y + 40.0 + i % 5 * 9) for i in range(7) for x, y in [(random.randint(0, 100), random.randint(0, 100))]]
