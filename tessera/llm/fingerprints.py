@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,12 +74,42 @@ class PrefixHash:
             sums = np.zeros(self.n + 1, dtype=U64)
             np.cumsum(points * pw[: self.n] % U64(p), out=sums[1:])  # below 2^31 a term: no overflow before 2^33 of them
             self.prefix.append(sums % U64(p))
+        self._order: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def edited(cls, own: PrefixHash, following: PrefixHash, windows: Iterable[int] = ()) -> PrefixHash:
+        """The prefix arrays of the ``edited`` text from those of its two texts, and its ``order`` of the ``windows``."""
+        made = cls.__new__(cls)
+        kept = own.n - own.n // 4
+        taken = min(own.n // 4, following.n)
+        made.n, made.prefix, made._order = kept + taken, [], {}
+        for k, (p, (pw, _)) in enumerate(zip(PRIMES, _powers(made.n + 1))):
+            tail = (following.prefix[k][1 : taken + 1] * pw[kept] + own.prefix[k][kept]) % U64(p)
+            made.prefix.append(np.concatenate([own.prefix[k][: kept + 1], tail]))
+        for window in windows:
+            low, high = max(0, kept - window + 1), max(0, min(kept, made.n - window + 1))
+            across = made._ordered(low, high, window) if low < high else np.zeros(0, dtype=U64)
+            made._order[window] = np.concatenate([own.order(window)[:low], across, following.order(window)[: max(0, taken - window + 1)]])
+        return made
+
+    def _ordered(self, low: int, high: int, window: int) -> np.ndarray:
+        out = np.zeros(high - low, dtype=U64)
+        for k, (p, (_, inv)) in enumerate(zip(PRIMES, _powers(self.n + 1))):
+            part = self.prefix[k][low + window : high + window] + U64(p) - self.prefix[k][low:high]  # below 2^32, times 2^31
+            out = out << U64(31) | part * inv[low:high] % U64(p)
+        return _scramble(out)
+
+    def order(self, window: int) -> np.ndarray:
+        """The scrambled hash of the window at each place, from 0; kept."""
+        if window not in self._order:
+            self._order[window] = self._ordered(0, max(0, self.n - window + 1), window)
+        return self._order[window]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """62-bit hashes of the spans; they depend on the spans' code points alone."""
         out = np.zeros(len(starts), dtype=U64)
         for k, (p, (_, inv)) in enumerate(zip(PRIMES, _powers(self.n + 1))):
-            part = (self.prefix[k][ends] + U64(p) - self.prefix[k][starts]) % U64(p) * inv[starts] % U64(p)
+            part = (self.prefix[k][ends] + U64(p) - self.prefix[k][starts]) * inv[starts] % U64(p)
             out = out << U64(31) | part
         return out
 
@@ -102,15 +132,49 @@ def longest_common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> in
     return low
 
 
+def _extension(a: PrefixHash, i: int, b: PrefixHash, j: int, back: bool) -> int:
+    """``extensions`` of one pair, in plain numbers."""
+    low, high, way = 0, min(i, j) if back else min(a.n - i, b.n - j), -1 if back else 1
+    marks = []
+    for k, (p, (pw, inv)) in enumerate(zip(PRIMES, _powers(max(a.n, b.n) + 1))):
+        x, y = a.prefix[k].item, b.prefix[k].item
+        marks.append((x, x(i), y, y(j), pw.item(j - i) if j >= i else inv.item(i - j), p))
+    while low < high:
+        mid = min((low + high + 1) // 2, 2 * low + 32)  # most extensions are short
+        for x, begin, y, other, move, p in marks:  # a span of a is moved to where that of b lies
+            if ((x(i + way * mid) - begin) * move - y(j + way * mid) + other) % p:
+                high = mid - 1
+                break
+        else:
+            low = mid
+    return low
+
+
 def extensions(a: PrefixHash, i: np.ndarray, b: PrefixHash, j: np.ndarray, back: np.ndarray) -> np.ndarray:
     """``longest_common_extension`` from many pairs of places at once; where ``back`` holds, towards the beginning."""
+    if len(i) <= 24:  # as for most pairs of texts; numpy takes longer to begin
+        return np.array([_extension(a, x, b, y, z) for x, y, z in zip(i.tolist(), j.tolist(), back.tolist())], dtype=np.int64)
     low, high = np.zeros(len(i), dtype=np.int64), np.where(back, np.minimum(i, j), np.minimum(a.n - i, b.n - j))
-    while (low < high).any():
+    way, shift, marks = np.where(back, -1, 1), np.abs(j - i), []
+    for k, (p, (pw, inv)) in enumerate(zip(PRIMES, _powers(max(a.n, b.n) + 1))):
+        # a span of a is moved to where that of b lies, by the same power for all lengths
+        marks.append((U64(p) - a.prefix[k][i], np.where(j >= i, pw[shift], inv[shift]), U64(p) + b.prefix[k][j]))
+    found, live = low, np.arange(len(i))
+    while len(live):
         mid = np.minimum((low + high + 1) // 2, 2 * low + 32)  # most extensions are short
-        before, behind = np.where(back, mid, 0), np.where(back, 0, mid)
-        same = a.hashes(i - before, i + behind) == b.hashes(j - before, j + behind)
-        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-    return low
+        x, y, same = i + way * mid, j + way * mid, low < high
+        for k, p in enumerate(PRIMES):
+            ahead, move, behind = marks[k]
+            same &= ((a.prefix[k][x] + ahead) * move + (behind - b.prefix[k][y])) % U64(p) == 0  # below 2^32, times 2^31
+            if not same.any():
+                break
+        low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
+        open_ = low < high
+        if 2 * np.count_nonzero(open_) <= len(live):  # go on with those that are not at their ends
+            found[live] = low
+            live, low, high, i, j, way = (v[open_] for v in (live, low, high, i, j, way))
+            marks = [tuple(v[open_] for v in m) for m in marks]
+    return found
 
 
 def _scramble(h: np.ndarray) -> np.ndarray:
@@ -165,7 +229,7 @@ def marked(hashed: PrefixHash, anchors: int = 64, window: int = 8, spacing: int
     if n <= window:
         return Fingerprint(n, whole, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64), np.zeros(0, dtype=U64), grid)
     starts = np.arange(1, n - window + 1)
-    order = _scramble(hashed.hashes(starts, starts + window))
+    order = hashed.order(window)[1:]
     low = np.flatnonzero(order < U64((1 << 32) // spacing))
     chosen, first = np.unique(order[low], return_index=True)  # of a repeated window, the first place
     if len(chosen) >= anchors:
@@ -313,7 +377,7 @@ def fingerprints(docs: DataFrame, anchors: int = 64, window: int = 8, spacing: i
                 if last is not None and last[0] == bucket:
                     _, own_id, own, own_hashed, own_mark = last
                     changed = edited(own, text)
-                    changed_hashed = PrefixHash(changed)
+                    changed_hashed = PrefixHash.edited(own_hashed, hashed, [window])
                     changed_mark = marked(changed_hashed, anchors, window, spacing)
                     digest = hashlib.sha256(changed.encode("utf-8")).hexdigest()
                     near = (extended_likeness(own_hashed, own_mark, *other) for other in ((changed_hashed, changed_mark), (hashed, mark)))

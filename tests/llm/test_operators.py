@@ -128,6 +128,30 @@ def test_longest_common_extension():
     assert str(fingerprints.Fingerprint.parse(str(mark))) == str(mark)
 
 
+def test_prefix_arrays_of_edited_texts_are_put_together():
+    """Those of an edited text come from its two texts', with the window hashes, at every length around the window's."""
+    random.seed(14)
+    texts = ["".join(random.choices("ab\U0001F600 ", k=n)) for n in (0, 1, 3, 4, 7, 8, 9, 10, 11, 12, 13, 28, 31, 32, 33, 40, 500, 4_000)]
+    for own in texts:
+        for following in texts:
+            x, y = fingerprints.PrefixHash(own), fingerprints.PrefixHash(following)
+            want, found = fingerprints.PrefixHash(fingerprints.edited(own, following)), fingerprints.PrefixHash.edited(x, y, [8])
+            assert found.n == want.n and all((p == q).all() for p, q in zip(found.prefix, want.prefix))
+            assert found.order(8).tolist() == want.order(8).tolist()
+            assert str(fingerprints.marked(found)) == str(fingerprints.marked(want))
+
+
+def test_extensions_of_few_and_of_many_places():
+    random.seed(15)
+    a, b = ("".join(random.choice("ab") for _ in range(n)) + "c" * 300 for n in (60, 90))
+    x, y = fingerprints.PrefixHash(a), fingerprints.PrefixHash(b)
+    for count in (1, 5, 24, 25, 400):
+        i, j = (np.array([random.randint(0, len(t)) for _ in range(count)]) for t in (a, b))
+        back = np.array([random.random() < 0.5 for _ in range(count)])
+        want = [len(os.path.commonprefix([a[:p][::-1], b[:q][::-1]] if z else [a[p:], b[q:]])) for p, q, z in zip(i, j, back)]
+        assert fingerprints.extensions(x, i, y, j, back).tolist() == want
+
+
 def test_likeness_at_every_length():
     random.seed(8)
     for n, rate, least in ((2_000, 0.005, 0.9), (10_000, 0.005, 0.9), (120_000, 0.005, 0.9), (120_000, 0.001, 0.97)):
