@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,31 +69,36 @@ _CLIP = "select i.ord as a, j.ord as b, least(i.r, j.r) - greatest(i.l, j.l) as
 _PUSH = "with c as ({clip}), m as (select a as ord, case when w > h then 0d else -(w / 2d + 16d) end as dx, case when w > h then -(h / 2d + 16d) else 0d end as dy from c union all select b, case when w > h then 0d else w / 2d + 16d end, case when w > h then h / 2d + 16d else 0d end from c), s as (select ord, sum(dx) as dx, sum(dy) as dy, count(*) as n from m group by ord) select r.ord, round((r.l + r.r) / 2d + coalesce(s.dx, 0d), 6) as x, round((r.t + r.b) / 2d + coalesce(s.dy, 0d), 6) as y, coalesce(s.n, 0) as pushes from img_rects r left join s on s.ord = r.ord"
 
 
-def _pushes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, dx, dy, n) of pairs of blocks with what a pair of their rows pushes: a row is pushed forth by each row of the other block with
-    a smaller ord and back by each with a larger one, so it takes no more than its place among the other block's ords."""
-    for batch in batches:
-        sides = [batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c) for c in ("i_ords", "j_ords")]
-        dx, dy, same = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dx", "dy", "same"))
-        counts = [s.value_lengths().to_numpy().astype(np.int64) for s in sides]
-        ords, rank = np.unique(np.concatenate([s.flatten().to_numpy() for s in sides]), return_inverse=True)
-        if not len(ords):
-            continue
-        ranks = np.split(rank, [int(counts[0].sum())])
-        pairs = [np.repeat(np.arange(batch.num_rows), c) for c in counts]
-        # ascending in each block and over the batch
-        keys = [p * len(ords) + r for p, r in zip(pairs, ranks)]
-        total = np.zeros((3, len(ords)))
-        for own, other in ((0, 1), (1, 0)):
-            upto = np.cumsum(counts[other])
-            less = np.searchsorted(keys[other], keys[own], "left") - (upto - counts[other])[pairs[own]]
-            more = upto[pairs[own]] - np.searchsorted(keys[other], keys[own], "right")
-            if own:  # a block with itself is looked at from one side
-                less, more = (np.where(same[pairs[own]], 0, x) for x in (less, more))
-            for k, weight in enumerate(((less - more) * dx[pairs[own]], (less - more) * dy[pairs[own]], less + more)):
-                total[k] += np.bincount(ranks[own], weight, len(ords))
-        pushed = total[2] > 0
-        yield pa.RecordBatch.from_arrays([pa.array(ords[pushed].astype(np.int64)), pa.array(total[0][pushed]), pa.array(total[1][pushed]), pa.array(total[2][pushed].astype(np.int64))], ["ord", "dx", "dy", "n"])
+def _pusher() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function for overlap_push; made here, it goes to the workers whole, and they need not find this package."""
+
+    def pushes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(ord, dx, dy, n) of pairs of blocks with what a pair of their rows pushes: a row is pushed forth by each row of the other block with
+        a smaller ord and back by each with a larger one, so it takes no more than its place among the other block's ords."""
+        for batch in batches:
+            sides = [batch.column(c).combine_chunks() if isinstance(batch.column(c), pa.ChunkedArray) else batch.column(c) for c in ("i_ords", "j_ords")]
+            dx, dy, same = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dx", "dy", "same"))
+            counts = [s.value_lengths().to_numpy().astype(np.int64) for s in sides]
+            ords, rank = np.unique(np.concatenate([s.flatten().to_numpy() for s in sides]), return_inverse=True)
+            if not len(ords):
+                continue
+            ranks = np.split(rank, [int(counts[0].sum())])
+            pairs = [np.repeat(np.arange(batch.num_rows), c) for c in counts]
+            # ascending in each block and over the batch
+            keys = [p * len(ords) + r for p, r in zip(pairs, ranks)]
+            total = np.zeros((3, len(ords)))
+            for own, other in ((0, 1), (1, 0)):
+                upto = np.cumsum(counts[other])
+                less = np.searchsorted(keys[other], keys[own], "left") - (upto - counts[other])[pairs[own]]
+                more = upto[pairs[own]] - np.searchsorted(keys[other], keys[own], "right")
+                if own:  # a block with itself is looked at from one side
+                    less, more = (np.where(same[pairs[own]], 0, x) for x in (less, more))
+                for k, weight in enumerate(((less - more) * dx[pairs[own]], (less - more) * dy[pairs[own]], less + more)):
+                    total[k] += np.bincount(ranks[own], weight, len(ords))
+            pushed = total[2] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ords[pushed].astype(np.int64)), pa.array(total[0][pushed]), pa.array(total[1][pushed]), pa.array(total[2][pushed].astype(np.int64))], ["ord", "dx", "dy", "n"])
+
+    return pushes
 
 
 def overlap_push(rects: DataFrame, cell: float = 1024.0) -> DataFrame:
@@ -103,7 +108,7 @@ def overlap_push(rects: DataFrame, cell: float = 1024.0) -> DataFrame:
     w, h = F.least("i_r", "j_r") - F.greatest("i_l", "j_l"), F.least("i_b", "j_b") - F.greatest("i_t", "j_t")
     clip = _overlapping_blocks(rects, cell).select(F.col("i_ords").cast("array<long>"), F.col("j_ords").cast("array<long>"), "same", w.alias("w"), h.alias("h"))
     clip = clip.selectExpr("i_ords", "j_ords", "same", "case when w > h then 0D else w / 2D + 16D end as dx", "case when w > h then h / 2D + 16D else 0D end as dy")
-    moves = clip.mapInArrow(_pushes, "ord long, dx double, dy double, n long")
+    moves = clip.mapInArrow(_pusher(), "ord long, dx double, dy double, n long")
     total = moves.groupBy("ord").agg(F.sum("dx").alias("dx"), F.sum("dy").alias("dy"), F.sum("n").alias("n"))
     total = total.withColumn("ord", F.col("ord").cast(rects.schema["ord"].dataType))
     return rects.join(total, "ord", "left").selectExpr("ord", "round((l + r) / 2D + coalesce(dx, 0D), 6) as x", "round((t + b) / 2D + coalesce(dy, 0D), 6) as y", "coalesce(n, 0L) as pushes")
