@@ -29,8 +29,10 @@ _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows go to Python a thousand at a time, which bounds what a worker holds beside its own arrays."""
+    """Rows go to Python a thousand at a time, and about 8 MB at most, which bounds what a worker holds beside its own arrays. An
+    executor holds a batch off its heap two or three times, and Spark's own bound is 64 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -16,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import components, fingerprints, fm_index, license_scan, mixing, ngram_join, packing, quality_classifier, quality_rules, registry, substring_dedup, token_counts, toxicity
-from tessera.llm.common import Words
+from tessera.llm.common import Words, documents
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()), ("shard", pa.string()), ("bucket", pa.int32())])
 
@@ -299,6 +300,49 @@ def test_substring_dedup_small_bound(spark, odd):
     assert all((r._n_words, r._n_removed) == want[r.doc_id][:2] for r in kept.where("doc_id is not null").collect())
 
 
+def test_substring_dedup_streams_long_shard():
+    """The stretches of a shard beyond the bound are not in memory together."""
+
+    class Counted(bytes):
+        alive = most = 0
+
+        def __new__(cls, raw):
+            cls.alive += 1
+            cls.most = max(cls.most, cls.alive)
+            return super().__new__(cls, raw)
+
+        def __del__(self):
+            Counted.alive -= 1
+
+    random.seed(22)
+    box, blobs = substring_dedup.Outbox(1), []
+    docs = [(i, " ".join(random.choices("abcdefgh", k=60)) + (" x" * 14 if i % 9 == 0 else "")) for i in range(120)]
+    for i, text in docs:
+        box.add(Words(pa.array([text])), np.array([i]), np.zeros(1, np.int64), 13)
+        blobs += box.send()
+    found = list(substring_dedup.bounded_intervals((Counted(b) for _, b in blobs), 13, 2_000))
+    assert len(blobs) == 120 and Counted.most < 40
+    want = brute_dedup(docs)
+    gone = Counter()
+    for part in found:
+        for doc, low, high in zip(*(part[c].tolist() for c in ("doc_id", "low", "high"))):
+            gone.update((doc, p) for p in range(low, high))
+    assert Counter(doc for doc, _ in gone) == Counter({i: want[i][1] for i, _ in docs if want[i][1]})
+
+
+def test_group_batches_are_bounded(spark, odd):
+    """A group of long rows goes to Python in batches of a few MB."""
+    documents(spark, odd)
+    rows = spark.range(30).selectExpr("id % 1 as shard", "cast(repeat('x', 1000000) as binary) as blob")
+
+    def sizes(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    found = [r[0] for r in rows.groupBy("shard").applyInArrow(sizes, "bytes long").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 12_000_000
+
+
 def test_fm_index():
     random.seed(6)
     symbols = np.array([random.randint(1, 5) if random.random() < 0.95 else 0 for _ in range(400)])
